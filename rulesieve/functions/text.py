@@ -25,9 +25,22 @@ def fingerprint(col: Column) -> Column:
     return F.sha2(col, 256)
 
 
-def bucketed_key(key: Column, ts: Column, seconds: int = 60) -> Column:
-    """SHA-256 of ``key:bucket``: equal for all calls within one time bucket."""
-    bucket = F.floor(F.unix_millis(ts) / F.lit(seconds * 1000)).cast("long")
+def utc_millis(ts: Column) -> Column:
+    """Epoch milliseconds of a TIMESTAMP_NTZ read as UTC, whatever the session zone."""
+    seconds = F.unix_date(ts.cast("date")).cast("long") * 86_400 + F.hour(ts) * 3600 + F.minute(ts) * 60
+    return seconds * 1000 + F.floor(F.extract(F.lit("SECOND"), ts) * 1000).cast("long")
+
+
+def minute_text(millis: Column, zone: str = "UTC") -> Column:
+    """``yyyy-MM-dd HH:mm`` of epoch milliseconds in ``zone``."""
+    local = F.timestamp_millis(millis).cast("timestamp_ntz")
+    shifted = F.convert_timezone(F.current_timezone(), F.lit(zone), local)
+    return F.date_format(shifted, "yyyy-MM-dd HH:mm")
+
+
+def bucketed_key(key: Column, millis: Column, seconds: int = 60) -> Column:
+    """SHA-256 of ``key:bucket``: equal for all times (epoch ms) of one bucket."""
+    bucket = F.floor(millis / F.lit(seconds * 1000)).cast("long")
     return F.sha2(F.concat_ws(":", key.cast("string"), bucket.cast("string")), 256)
 
 

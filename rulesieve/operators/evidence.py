@@ -53,7 +53,7 @@ def manifest_haystack(elements: DataFrame, segment: int = 4096, lookahead: int =
     )
     if lookahead <= 0:
         return texts
-    # Each segment's own text has at least two characters, so this many rows suffice.
+    # Each segment has at least one character, so this many rows suffice.
     following = Window.partitionBy("artifact_id").orderBy("segment").rowsBetween(1, lookahead)
     heads = F.collect_list(F.left("haystack", F.lit(lookahead))).over(following)
     tail = F.left(F.array_join(heads, ""), F.lit(lookahead))

@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from rulesieve import schema
+from rulesieve.functions.text import minute_text
 
 _STORED = schema._struct(*[(f.name, f.dataType) for f in schema.HISTORY], ("batch", schema._L))
 
@@ -40,13 +41,12 @@ def _last_per_key(rows: DataFrame, key: str, *order: str) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n")
 
 
-def history(rows: DataFrame) -> DataFrame:
+def history(rows: DataFrame, zone: str = "UTC") -> DataFrame:
     """Newest first, with a minute timestamp and a 200-character preview."""
-    when = F.date_format(F.timestamp_millis("created_at"), "yyyy-MM-dd HH:mm")
     return rows.select(
         "label",
         "path",
         "created_at",
-        when.alias("created_minute"),
+        minute_text(F.col("created_at"), zone).alias("created_minute"),
         F.left("report", F.lit(schema.PREVIEW_CHARS)).alias("preview"),
     ).orderBy(F.col("created_at").desc())
