@@ -45,15 +45,12 @@ def cap_by_kind(
     of later patterns is cut from groups of at most ``n`` rows.
     """
     turn = F.when(F.col("kind").isin(*longest_kinds), F.lit(0)).otherwise(F.col("pattern_ord"))
-    ranked = _first_n(
-        matches.withColumn("_turn", turn), n, "_turn", "container_ord", "ordinal", "match_pos", "pattern_ord"
-    )
-    group = Window.partitionBy("artifact_id", "rule_id")
-    first = F.min("_turn").over(group)
-    return ranked.withColumn("_first", first).where("_turn = _first").drop("_turn", "_first")
+    ranked = _first_n(matches, n, turn, "container_ord", "ordinal", "match_pos", "pattern_ord")
+    first = F.min(turn).over(Window.partitionBy("artifact_id", "rule_id"))
+    return ranked.withColumn("_first", first).where(turn == F.col("_first")).drop("_first")
 
 
-def _first_n(matches: DataFrame, n: int, *order: str) -> DataFrame:
+def _first_n(matches: DataFrame, n: int, *order: str | Column) -> DataFrame:
     scan_order = Window.partitionBy("artifact_id", "rule_id").orderBy(*order)
     return matches.withColumn("evidence_rank", F.row_number().over(scan_order)).where(
         F.col("evidence_rank") <= n

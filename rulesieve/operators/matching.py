@@ -1,10 +1,11 @@
 """Matching evidence against the patterns of a rule catalogue.
 
-A catalogue that fits the bounds below is compiled, on the driver, into one
-regular expression per evidence kind: evidence is then matched in one pass
-without a join against patterns. A larger catalogue stays distributed: patterns
-and values meet in an equi-join on a fixed-length piece of the pattern, and the
-candidates are verified. Both ways give the same rows.
+A catalogue that fits the bounds below is compiled on the driver: evidence is
+screened in Arrow batches and the few rows with hits are matched exactly by one
+folded expression per kind, in one pass without a join against patterns. A
+larger catalogue stays distributed: patterns and values meet in an equi-join on
+a fixed-length piece of the pattern, and the candidates are verified. Both ways
+give the same rows.
 """
 
 from collections.abc import Sequence
@@ -14,13 +15,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from rulesieve import schema
 from rulesieve.functions.literals import TooDeep, literal_regex
+from rulesieve.functions.screen import evidence_screen, lists_literals, regex_found
 from rulesieve.sources.catalogue import local_table, pattern_rules
 
 # Bounds of a compiled catalogue. They bound what reaches the driver and what
 # is broadcast: at most MAX_PATTERNS strings of at most MAX_PATTERN_CHARS.
 MAX_PATTERNS = 20_000
 MAX_PATTERN_CHARS = 2_000
-MAX_REGEXES = 256
+REGEX_BLOCK = 256
 
 LONGEST_KINDS = ("dex_string",)
 ROW_KEY = ("artifact_id", "kind", "container", "container_ord", "ordinal")
@@ -44,10 +46,13 @@ class PatternSet:
     @classmethod
     def of(cls, rules: DataFrame) -> "PatternSet":
         table = pattern_rules(rules)
-        # One character and one row over the bound are enough to notice excess.
-        clipped = table.withColumn("pattern", F.substring("pattern", 1, MAX_PATTERN_CHARS + 1))
-        rows = [r.asDict() for r in clipped.limit(MAX_PATTERNS + 1).collect()]
-        if len(rows) > MAX_PATTERNS or any(len(r["pattern"]) > MAX_PATTERN_CHARS for r in rows):
+        if rules.isLocal():  # already on the driver, so no job is needed to look
+            rows = _exploded(rules)
+        else:
+            # One character and one row over the bound are enough to notice excess.
+            clipped = table.withColumn("pattern", F.substring("pattern", 1, MAX_PATTERN_CHARS + 1))
+            rows = [r.asDict() for r in clipped.limit(MAX_PATTERNS + 1).collect()]
+        if len(rows) > MAX_PATTERNS or any(len(r["pattern"] or "") > MAX_PATTERN_CHARS for r in rows):
             return cls(table, None)
         return cls(table, rows)
 
@@ -75,6 +80,15 @@ class PatternSet:
         )
 
 
+def _exploded(rules: DataFrame) -> list[dict]:
+    found = rules.select("id", "evidence_location", "is_regex", "patterns").collect()
+    return [
+        dict(kind=r[1], is_regex=r[2], pattern=pattern, rule_id=r[0], pattern_ord=i)
+        for r in found
+        for i, pattern in enumerate(r[3] or [])
+    ]
+
+
 def match(
     evidence: DataFrame,
     rules: DataFrame | PatternSet,
@@ -88,18 +102,10 @@ def match(
     :func:`match_longest`, :func:`match_contains` and :func:`match_regex`.
     """
     patterns = rules if isinstance(rules, PatternSet) else PatternSet.of(rules)
-    per_kind = _compiled_hits(patterns, longest, contains, regex)
-    if per_kind is None:
-        return _match_distributed(evidence, patterns, longest, contains, regex)
-    if not per_kind:
-        per_kind = {"": F.array().cast("array<struct<match_pos: int, is_regex: boolean, pattern: string>>")}
-    hits = None
-    for kind, found in per_kind.items():
-        test = F.col("kind") == kind
-        hits = F.when(test, found) if hits is None else hits.when(test, found)
-    # The kind filter reaches the scan, and prunes folders laid out by kind.
-    found = evidence.where(F.col("kind").isin(*per_kind)).select(*schema.EVIDENCE.names, F.inline(hits))
-    return patterns.fan_out(found)
+    hits = _compiled_match(evidence, patterns, longest, contains, regex)
+    if hits is None:
+        hits = _match_distributed(evidence, patterns, longest, contains, regex)
+    return patterns.fan_out(hits)
 
 
 def match_longest(
@@ -127,51 +133,64 @@ def match_regex(
     return match(evidence, rules, regex=kinds)
 
 
-def _compiled_hits(
-    patterns: PatternSet, longest: Sequence[str], contains: Sequence[str], regex: Sequence[str]
-) -> dict[str, Column] | None:
-    """Hits per kind as an array, or None where the catalogue is too large."""
+def _compiled_match(
+    evidence: DataFrame,
+    patterns: PatternSet,
+    longest: Sequence[str],
+    contains: Sequence[str],
+    regex: Sequence[str],
+) -> DataFrame | None:
+    """Hits of a catalogue within the bounds, or None where it is too large.
+
+    Screened first; only rows in which something occurs are matched exactly.
+    """
     if patterns.rows is None:
         return None
-    expressions = patterns.distinct(True, regex)
-    if sum(map(len, expressions.values())) > MAX_REGEXES:
-        return None
-    parts: dict[str, list[Column]] = {}
+    as_longest = patterns.distinct(False, longest)
+    as_contained = patterns.distinct(False, contains)
+    expressions = [(k, e) for k, found in patterns.distinct(True, regex).items() for e in found]
+    kinds = sorted({*as_longest, *as_contained, *(k for k, _ in expressions)})
+    found, some_literal = F.col("found"), F.exists("found", lambda f: f["pattern"].isNull())
+    exact = F.array().cast(_HITS)
     try:
-        for kind, literals in patterns.distinct(False, longest).items():
-            parts.setdefault(kind, []).append(_longest_hits(literals))
-        for kind, literals in patterns.distinct(False, contains).items():
-            parts.setdefault(kind, []).append(_contains_hits(literals))
+        for kind, literals in as_longest.items():
+            exact = F.when((F.col("kind") == kind) & some_literal, _longest_hits(literals)).otherwise(exact)
     except TooDeep:
         return None
-    for kind, found in expressions.items():
-        parts.setdefault(kind, []).append(_regex_hits(found))
-    return {kind: F.concat(*found) if len(found) > 1 else found[0] for kind, found in parts.items()}
+    for kind, literals in as_contained.items():
+        if not lists_literals(literals):
+            exact = F.when((F.col("kind") == kind) & some_literal, _contains_hits(literals)).otherwise(exact)
+    named = F.transform(
+        F.filter(found, lambda f: f["pattern"].isNotNull()),
+        lambda f: _hit(F.lit(0), f["is_regex"], f["pattern"]),
+    )
+    screen = evidence_screen({**as_longest, **as_contained}, tuple(as_contained), expressions)
+    # The kind filter reaches the scan, and prunes folders laid out by kind.
+    wanted = evidence.where(F.col("kind").isin(*kinds)) if kinds else evidence.where("false")
+    # Rows without hits go with inline; a filter on the screen would run it twice.
+    screened = wanted.select(
+        *schema.EVIDENCE.names, screen(F.col("kind"), F.col("value")).alias("found")
+    )
+    return screened.select(*schema.EVIDENCE.names, F.inline(F.concat(exact, named)))
 
 
-def _hit(match_pos: Column, is_regex: bool, pattern: Column) -> Column:
+_HITS = "array<struct<match_pos: int, is_regex: boolean, pattern: string>>"
+
+
+def _hit(match_pos: Column, is_regex: Column, pattern: Column) -> Column:
     return F.struct(
-        match_pos.cast("int").alias("match_pos"),
-        F.lit(is_regex).alias("is_regex"),
-        pattern.alias("pattern"),
+        match_pos.cast("int").alias("match_pos"), is_regex.alias("is_regex"), pattern.alias("pattern")
     )
 
 
 def _longest_hits(literals: list[str]) -> Column:
     found = F.regexp_extract_all("value", F.lit(literal_regex(literals)), F.lit(0))
-    return F.transform(found, lambda p, i: _hit(i, False, p))
+    return F.transform(found, lambda p, i: _hit(i, F.lit(False), p))
 
 
 def _contains_hits(literals: list[str]) -> Column:
-    """Literals are tested one by one only in values that hold at least one."""
     each = F.filter(F.array(*[F.lit(p) for p in literals]), lambda p: F.contains(F.col("value"), p))
-    some = F.rlike("value", F.lit(literal_regex(literals, shortest=True)))
-    return F.when(some, F.transform(each, lambda p: _hit(F.lit(0), False, p))).otherwise(F.array())
-
-
-def _regex_hits(expressions: list[str]) -> Column:
-    tests = [F.when(F.rlike("value", F.lit(e)), _hit(F.lit(0), True, F.lit(e))) for e in expressions]
-    return F.filter(F.array(*tests), lambda hit: hit.isNotNull())
+    return F.transform(each, lambda p: _hit(F.lit(0), F.lit(False), p))
 
 
 # --- catalogues beyond the compile bounds -----------------------------------
@@ -201,7 +220,7 @@ def _match_distributed(
     hits = parts[0].select(*columns)
     for part in parts[1:]:
         hits = hits.unionByName(part.select(*columns))
-    return patterns.fan_out(hits)
+    return hits
 
 
 def _contained(evidence: DataFrame, patterns: PatternSet, kinds: Sequence[str]) -> DataFrame:
@@ -261,14 +280,14 @@ def _regex_blocks(evidence: DataFrame, patterns: PatternSet, kinds: Sequence[str
     """
     wanted = F.col("kind").isin(*kinds)
     distinct = patterns.table.where(wanted & F.col("is_regex")).select("kind", "pattern").distinct()
-    blocks = max(1, -(-distinct.count() // MAX_REGEXES))
+    blocks = max(1, -(-distinct.count() // REGEX_BLOCK))
     block = F.pmod(F.xxhash64("kind", "pattern"), F.lit(blocks)).cast("int")
     copies = evidence.where(wanted).withColumn(
         "block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     )
     return (
         copies.join(distinct.withColumn("block", block), ["kind", "block"])
-        .where(F.rlike("value", F.col("pattern")))
+        .where(regex_found(F.col("value"), F.col("pattern")))
         .withColumn("match_pos", F.lit(0))
         .withColumn("is_regex", F.lit(True))
     )

@@ -23,12 +23,17 @@ def load_rules(spark: SparkSession, path: str, multiline: bool = False) -> DataF
         rules = _read_yaml(spark, path)
     else:
         rules = spark.read.schema(_INPUT).option("multiLine", multiline).json(path)
-    return with_defaults(rules)
+    rules = with_defaults(rules)
+    if rules.isEmpty():
+        raise EmptyCatalogue(f"no rules in {path}")
+    return rules
 
 
 def rules_frame(spark: SparkSession, rules: Iterable[Mapping]) -> DataFrame:
     """Rules from plain dictionaries, as a local relation with known size."""
     rows = [{name: rule.get(name) for name in _INPUT.names} for rule in rules]
+    if not rows:
+        raise EmptyCatalogue("no rules given")
     return with_defaults(local_table(spark, rows, _INPUT))
 
 
@@ -39,11 +44,11 @@ def local_table(spark: SparkSession, rows: list[dict], struct) -> DataFrame:
 
 
 def with_defaults(rules: DataFrame) -> DataFrame:
-    """Fill the optional fields and refuse an empty catalogue."""
+    """Fill the optional fields."""
     key = (
         F.coalesce("guidance_key", "bypass_hint") if "bypass_hint" in rules.columns else F.col("guidance_key")
     )
-    out = rules.select(
+    return rules.select(
         "id",
         "name",
         "category",
@@ -55,9 +60,6 @@ def with_defaults(rules: DataFrame) -> DataFrame:
         "description",
         key.alias("guidance_key"),
     )
-    if out.isEmpty():
-        raise EmptyCatalogue("the catalogue has no rules")
-    return out
 
 
 # Stored catalogues may use either name for the optional guidance key.

@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from rulesieve.functions import screen
 from rulesieve.operators import matching as m
 from rulesieve.operators.matching import PatternSet, match, match_contains, match_longest, match_regex
 
@@ -113,7 +114,7 @@ def test_too_large_a_catalogue_stays_distributed(make_rules, strings, monkeypatc
     text = strings("abcde", "bcd", "zzz")
     expected = [hits(f(text, rules)) for f in (match_longest, match_contains, match_regex)]
     monkeypatch.setattr(m, "MAX_PATTERNS", 2)
-    monkeypatch.setattr(m, "MAX_REGEXES", 1)
+    monkeypatch.setattr(m, "REGEX_BLOCK", 1)
     assert PatternSet.of(rules).rows is None
     assert [hits(f(text, rules)) for f in (match_longest, match_contains, match_regex)] == expected
 
@@ -125,11 +126,39 @@ def test_over_long_pattern_stays_distributed(make_rules, strings):
     assert fired(match_longest(strings(long + "yy"), rules)) == [(long + "yy", "A"), (long + "yy", "B")]
 
 
-def test_compiled_plan_has_one_scan_and_no_nested_loop(make_rules, strings):
+def test_compiled_plan_has_one_pass_and_no_nested_loop(make_rules, strings):
     df = match_longest(strings("a"), make_rules(("A", ["a", "b"]), ("B", ["c"])))
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    assert "NestedLoop" not in df._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Generate") == 1
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Exchange hashpartitioning" not in plan
+    assert plan.count("ArrowEvalPython") == 1 and plan.count("Generate inline") == 1
+
+
+@pytest.mark.parametrize("with_automaton", [True, False])
+def test_many_literals_are_screened_the_same(make_rules, make_evidence, monkeypatch, with_automaton):
+    """Beyond one alternation: by the automaton, or by several alternations."""
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("abé\n.") for _ in range(n))
+    rules = make_rules(*[(f"r{i}", [word(rng.choice([2, 3, 4, 6])) for _ in range(3)]) for i in range(20)])
+    evidence = make_evidence(*[("a", "dex_string", "c", 0, i, word(rng.randint(0, 50))) for i in range(150)])
+    want = [hits(f(evidence, rules)) for f in (match_longest, match_contains)]
+    monkeypatch.setattr(screen, "ALTERNATION_LIMIT", 7)
+    if not with_automaton:
+        monkeypatch.setattr(screen, "ahocorasick", None)
+    assert [hits(f(evidence, rules)) for f in (match_longest, match_contains)] == want and want[0]
+
+
+def test_missing_values_match_nothing(make_rules, make_evidence):
+    rules = make_rules(("A", ["x"]), ("R", ["x|^$"], dict(is_regex=True)))
+    evidence = make_evidence(
+        ("a", "dex_string", "c", 0, 0, None), ("a", None, "c", 0, 1, "x"), ("a", "dex_string", "c", 0, 2, "x")
+    )
+    for found in (match_longest, match_contains, match_regex):
+        assert {r["ordinal"] for r in found(evidence, rules).collect()} == {2}
+
+
+def test_faulty_expression_fails_before_the_job(make_rules, strings):
+    with pytest.raises(Exception, match="regular expression"):
+        match_regex(strings("x"), make_rules(("R", ["(x"], dict(is_regex=True))))
 
 
 def test_a_hot_artifact_sends_few_rows_to_the_cap(spark, make_rules):
