@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rulesieve import schema
+from rulesieve.functions.grams import bitmap_bits, pattern_pieces, piece_bitmap, text_pieces
 from rulesieve.functions.literals import TooDeep, literal_regex
 from rulesieve.functions.screen import evidence_screen, lists_literals, regex_found
 from rulesieve.sources.catalogue import local_table, pattern_rules
@@ -25,8 +26,6 @@ MAX_PATTERN_CHARS = 2_000
 REGEX_BLOCK = 256
 
 LONGEST_KINDS = ("dex_string",)
-ROW_KEY = ("artifact_id", "kind", "container", "container_ord", "ordinal")
-_GRAMS = (8, 4, 2, 1)
 _PATTERN = schema._struct(
     ("kind", schema._S),
     ("is_regex", schema._B),
@@ -196,11 +195,6 @@ def _contains_hits(literals: list[str]) -> Column:
 # --- catalogues beyond the compile bounds -----------------------------------
 
 
-def _grams(col: str, size: int) -> Column:
-    """All distinct ``size``-character pieces of a string, in linear time."""
-    return F.array_distinct(F.regexp_extract_all(col, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
-
-
 def _match_distributed(
     evidence: DataFrame,
     patterns: PatternSet,
@@ -227,33 +221,35 @@ def _contained(evidence: DataFrame, patterns: PatternSet, kinds: Sequence[str])
     """Evidence rows with every literal they contain, by equi-join on an anchor.
 
     Each pattern is represented by one of its pieces, the one fewest other
-    patterns share. Only row keys travel with the pieces of a value; the value
-    itself is joined back to the candidates and checked.
+    patterns share, so a row and a pattern meet at most once. A bitmap of the
+    anchors, bounded in size, drops nearly all other pieces of the evidence
+    before they leave the task; Spark broadcasts the anchors if they are small.
     """
     wanted = F.col("kind").isin(*kinds)
     evidence = evidence.where(wanted)
     table = patterns.table.where(wanted & ~F.col("is_regex") & (F.col("pattern") != ""))
-    length = F.char_length("pattern")
-    size = F.lit(_GRAMS[-1])
-    for n in reversed(_GRAMS[:-1]):
-        size = F.when(length >= n, F.lit(n)).otherwise(size)
-    table = table.select("kind", "pattern").distinct().withColumn("size", size)
-    candidates = None
-    for n in sorted(r["size"] for r in table.select("size").distinct().collect()):
-        found = _candidates(evidence, table.where(F.col("size") == n), n)
-        candidates = found if candidates is None else candidates.unionByName(found)
-    if candidates is None:
+    pieces = table.select("kind", "pattern").distinct().select(
+        "kind", "pattern", F.inline(pattern_pieces(F.col("pattern")))
+    )
+    shared = pieces.groupBy("kind", "size", "piece").agg(F.count("*").alias("n"))
+    rarest = F.min(F.struct("n", "piece", "size", "slot"))
+    anchors = (
+        pieces.join(shared, ["kind", "size", "piece"])
+        .groupBy("kind", "pattern")
+        .agg(rarest.alias("anchor"))
+        .select("kind", "pattern", "anchor.size", "anchor.piece", "anchor.slot")
+    )
+    sizes = {r["size"]: r["count"] for r in anchors.groupBy("size").count().collect()}
+    if not sizes:
         return evidence.where("false").withColumn("pattern", F.lit(None).cast("string"))
-    return evidence.join(candidates, list(ROW_KEY)).where(F.contains("value", F.col("pattern")))
-
-
-def _candidates(evidence: DataFrame, table: DataFrame, size: int) -> DataFrame:
-    pieces = table.select("kind", "pattern", F.explode(_grams("pattern", size)).alias("gram"))
-    shared = pieces.groupBy("kind", "gram").agg(F.count("*").alias("n"))
-    rarest = F.min(F.struct("n", "gram"))["gram"]
-    anchors = pieces.join(shared, ["kind", "gram"]).groupBy("kind", "pattern").agg(rarest.alias("gram"))
-    values = evidence.select(*ROW_KEY, F.explode(_grams("value", size)).alias("gram"))
-    return values.join(anchors, ["kind", "gram"]).select(*ROW_KEY, "pattern")
+    bits = bitmap_bits(sum(sizes.values()))
+    known = text_pieces(F.col("value"), sorted(sizes), bits, piece_bitmap(anchors, bits))
+    return (
+        evidence.select(*schema.EVIDENCE.names, F.inline(known))
+        .join(anchors.drop("slot"), ["kind", "size", "piece"])
+        .where(F.contains("value", F.col("pattern")))
+        .select(*schema.EVIDENCE.names, "pattern")
+    )
 
 
 def _longest_from_hits(contained: DataFrame) -> DataFrame:
@@ -263,9 +259,8 @@ def _longest_from_hits(contained: DataFrame) -> DataFrame:
     """
     quoted = F.regexp_replace("pattern", F.lit(r"(\p{Punct})"), F.lit(r"\\$1"))
     order = F.struct((-F.char_length("pattern")).alias("len"), quoted.alias("quoted"))
-    rows = contained.groupBy(*ROW_KEY).agg(
-        F.first("value").alias("value"),
-        F.array_sort(F.collect_list(order)).alias("found"),
+    rows = contained.groupBy(*schema.EVIDENCE.names).agg(
+        F.array_sort(F.collect_list(order)).alias("found")
     )
     alternation = F.array_join(F.col("found.quoted"), "|")
     found = F.regexp_extract_all("value", alternation, F.lit(0))

@@ -72,14 +72,20 @@ def _decision_rows(conditions: DataFrame) -> DataFrame:
     return conditions.groupBy("rule_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
 
 
-def _checks(found: DataFrame, conditions: DataFrame) -> DataFrame:
+def _checks(found: DataFrame, conditions: DataFrame, attributes: Sequence[str]) -> DataFrame:
     """Findings (or catalogue rules) with their decision rows as one struct."""
+    ranks = {"category": category_rank().alias("category_rank"), "severity": severity_rank().alias("severity_rank")}
+    carried = [*attributes, *[ranks[a] for a in attributes if a in ranks]]
     return found.join(_decision_rows(conditions), "rule_id", "left").withColumn(
-        "check", F.struct(category_rank().alias("category_rank"), severity_rank().alias("severity_rank"), *_CHECK, "rows")
+        "check", F.struct(*carried, "rows")
     )
 
 
-def _decide(check: Column, profile: Column) -> Column:
+def _carried(attributes: Sequence[str]) -> list[str]:
+    return [*attributes, *[f"{a}_rank" for a in attributes if a in ("category", "severity")]]
+
+
+def _decide(check: Column, profile: Column, attributes: Sequence[str]) -> Column:
     def holds(field: Column) -> Column:
         return F.coalesce(F.element_at(profile, field["key"]) == field["value"], F.lit(False))
 
@@ -89,48 +95,50 @@ def _decide(check: Column, profile: Column) -> Column:
         "no condition row matches this profile"
     )
     return F.struct(
-        check["category_rank"].alias("category_rank"),
-        check["severity_rank"].alias("severity_rank"),
-        *[check[c].alias(c) for c in _CHECK],
+        *[check[c].alias(c) for c in _carried(attributes)],
         F.coalesce(first["verdict"], F.lit("unknown")).alias("verdict"),
         F.when(first.isNull(), note).otherwise(first["detail"]).alias("detail"),
     )
 
 
 def evaluate_pairs(
-    findings: DataFrame, pairs: DataFrame, profiles: DataFrame, conditions: DataFrame
+    findings: DataFrame,
+    pairs: DataFrame,
+    profiles: DataFrame,
+    conditions: DataFrame,
+    attributes: Sequence[str] = _CHECK,
 ) -> DataFrame:
     """One row per pair: ``(artifact_id, profile_id, profile, entries)``.
 
     ``entries`` holds a verdict per finding of the artifact and is empty, not
-    missing, where there are none.
+    missing, where there are none. Only the ``attributes`` of the findings are
+    carried along; counts and overall results need no more than the rule id.
     """
     per_artifact = (
-        _checks(findings, conditions).groupBy("artifact_id").agg(F.collect_list("check").alias("checks"))
+        _checks(findings, conditions, attributes)
+        .groupBy("artifact_id")
+        .agg(F.collect_list("check").alias("checks"))
     )
     joined = pairs.join(profiles, "profile_id").join(per_artifact, "artifact_id", "left")
-    entries = F.transform("checks", lambda c: _decide(c, F.col("profile")))
+    entries = F.transform("checks", lambda c: _decide(c, F.col("profile"), attributes))
     return joined.select(
         "artifact_id",
         "profile_id",
         "profile",
-        F.coalesce(entries, F.array().cast(_entries_type())).alias("entries"),
+        F.coalesce(entries, F.array().cast(_entries_type(attributes))).alias("entries"),
     )
 
 
-def _entries_type() -> str:
-    names = ", ".join(f"{c}: string" for c in (*_CHECK, "verdict", "detail"))
-    return f"array<struct<category_rank: int, severity_rank: int, {names}>>"
+def _entries_type(attributes: Sequence[str]) -> str:
+    kinds = [f"{c}: {'int' if c.endswith('_rank') else 'string'}" for c in _carried(attributes)]
+    return f"array<struct<{', '.join([*kinds, 'verdict: string', 'detail: string'])}>>"
 
 
 def verdict_rows(evaluated: DataFrame) -> DataFrame:
     """Evaluated pairs as one row per (artifact, profile, rule)."""
-    return evaluated.select(
-        *[c for c in ("artifact_id", "profile_id") if c in evaluated.columns], F.explode("entries").alias("e")
-    ).select(
-        *[c for c in ("artifact_id", "profile_id") if c in evaluated.columns],
-        *[F.col("e")[c].alias(c) for c in (*_CHECK, "verdict", "detail")],
-    )
+    keys = [c for c in ("artifact_id", "profile_id") if c in evaluated.columns]
+    rows = evaluated.select(*keys, F.inline("entries"))
+    return rows.drop("category_rank", "severity_rank")
 
 
 def evaluate(
@@ -141,10 +149,14 @@ def evaluate(
 
 
 def evaluate_blocking(
-    findings: DataFrame, pairs: DataFrame, profiles: DataFrame, conditions: DataFrame
+    findings: DataFrame,
+    pairs: DataFrame,
+    profiles: DataFrame,
+    conditions: DataFrame,
+    attributes: Sequence[str] = _CHECK,
 ) -> DataFrame:
     """:func:`evaluate_pairs` for the findings that restrict the user."""
-    return evaluate_pairs(findings.where(is_blocking()), pairs, profiles, conditions)
+    return evaluate_pairs(findings.where(is_blocking()), pairs, profiles, conditions, attributes)
 
 
 def evaluate_catalogue(
@@ -174,13 +186,13 @@ def evaluate_catalogue(
     )
     n_chunks = found.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / chunk)).cast("int")).scalar()
     chunks = (
-        _checks(found, conditions)
+        _checks(found, conditions, _CHECK)
         .withColumn("chunk", F.pmod(F.xxhash64("rule_id"), n_chunks).cast("int"))
         .groupBy("chunk")
         .agg(F.collect_list("check").alias("checks"))
     )
     spread = profiles.withColumn("chunk", F.explode(F.sequence(F.lit(0), n_chunks - 1)))
-    entries = F.transform("checks", lambda c: _decide(c, F.col("profile")))
+    entries = F.transform("checks", lambda c: _decide(c, F.col("profile"), _CHECK))
     return verdict_rows(spread.join(chunks, "chunk").select("profile_id", entries.alias("entries")))
 
 

@@ -93,7 +93,10 @@ def order_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
         _pair("qty", F.col("l_quantity").cast("long")),
         _pair("flag", F.col("l_returnflag")),
     )
-    return table(spark, sf_dir, "lineitem").select(
+    lines = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_returnflag"
+    )
+    return spread_small(lines, "l_orderkey").select(
         F.col("l_orderkey").cast("string").alias("artifact_id"),
         F.col("l_linenumber").cast("long").alias("elem_ord"),
         F.lit("item").alias("tag"),

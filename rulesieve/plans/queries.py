@@ -600,13 +600,17 @@ def host_diff(spark, sf_dir):
 # --- policy ------------------------------------------------------------------
 
 
-def _evaluated(spark: SparkSession, sf_dir: str, blocking: bool = True) -> DataFrame:
+def _evaluated(
+    spark: SparkSession, sf_dir: str, *attributes: str, blocking: bool = True
+) -> DataFrame:
+    """Findings per source, for the users who met it, carrying some attributes."""
     evaluate = policy.evaluate_blocking if blocking else policy.evaluate_pairs
     return evaluate(
         corpus.findings(spark, sf_dir, "source"),
         corpus.pairs(spark, sf_dir),
         corpus.profile_maps(spark, sf_dir),
         corpus.conditions(spark),
+        attributes or ("rule_id",),
     )
 
 
@@ -665,10 +669,11 @@ def overall_verdict(spark, sf_dir):
 
 @query
 def verdict_documents(spark, sf_dir):
-    return policy.verdict_documents(_evaluated(spark, sf_dir))
+    shown = ("rule_id", "rule_name", "category", "severity", "evidence")
+    return policy.verdict_documents(_evaluated(spark, sf_dir, *shown))
 
 
 @query
 def ordered_verdicts(spark, sf_dir):
-    rows = policy.verdict_rows(_evaluated(spark, sf_dir))
+    rows = policy.verdict_rows(_evaluated(spark, sf_dir, "rule_id", "category", "severity"))
     return policy.order_verdicts(rows).select("artifact_id", "profile_id", "verdict", "category", "rule_id")
