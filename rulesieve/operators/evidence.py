@@ -53,11 +53,19 @@ def manifest_haystack(elements: DataFrame, segment: int = 4096, lookahead: int =
     )
     if lookahead <= 0:
         return texts
-    # Each segment has at least one character, so this many rows suffice.
+    # Each segment has at least one character, so this many rows suffice. Only
+    # the heads pass through the per-artifact window, never the texts.
     following = Window.partitionBy("artifact_id").orderBy("segment").rowsBetween(1, lookahead)
-    heads = F.collect_list(F.left("haystack", F.lit(lookahead))).over(following)
-    tail = F.left(F.array_join(heads, ""), F.lit(lookahead))
-    return texts.withColumn("haystack", F.concat("haystack", tail))
+    head = F.left("haystack", F.lit(lookahead))
+    tails = (
+        texts.select("artifact_id", "segment", head.alias("head"))
+        .withColumn("tail", F.left(F.array_join(F.collect_list("head").over(following), ""), F.lit(lookahead)))
+        .where(F.col("tail") != "")
+        .drop("head")
+    )
+    return texts.join(tails, ["artifact_id", "segment"], "left").select(
+        "artifact_id", "segment", F.concat("haystack", F.coalesce("tail", F.lit(""))).alias("haystack")
+    )
 
 
 def manifest_evidence(elements: DataFrame, longest_pattern: int, segment: int = 4096) -> DataFrame:
@@ -148,7 +156,8 @@ def build_evidence(parts: Sequence[DataFrame]) -> DataFrame:
 def search(df: DataFrame, columns: Sequence[str], query: str, label: str, source: str) -> DataFrame:
     """Rows whose ``columns`` contain ``query``, any letter case, by label.
 
-    A blank query keeps all rows; rows without a source are dropped.
+    A blank query keeps all rows; rows without a source are dropped. Equal labels
+    are ordered further, so that a label many rows share can still be split.
     """
     kept = df.where(F.col(source).isNotNull() & (F.col(source).cast("string") != ""))
     if query.strip():
@@ -157,4 +166,4 @@ def search(df: DataFrame, columns: Sequence[str], query: str, label: str, source
         for column in columns:
             hit = hit | F.coalesce(F.contains(F.lower(F.col(column)), needle), F.lit(False))
         kept = kept.where(hit)
-    return kept.orderBy(F.lower(F.col(label)))
+    return kept.orderBy(F.lower(F.col(label)), label, *columns, source)

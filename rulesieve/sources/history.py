@@ -49,4 +49,4 @@ def history(rows: DataFrame, zone: str = "UTC") -> DataFrame:
         "created_at",
         minute_text(F.col("created_at"), zone).alias("created_minute"),
         F.left("report", F.lit(schema.PREVIEW_CHARS)).alias("preview"),
-    ).orderBy(F.col("created_at").desc())
+    ).orderBy(F.col("created_at").desc(), "path")
