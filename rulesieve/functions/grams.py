@@ -55,32 +55,30 @@ def _cutter(sizes: tuple[int, ...], largest_only: bool, known: tuple[int, np.nda
     spread, chunk_bytes = _SPREAD, _CHUNK_BYTES
 
     # Shipped by value: it uses only what it closes over.
-    def windows(data: np.ndarray, size: int) -> np.ndarray:
-        """The ``size`` bytes from each position on, as one number."""
-        out, width = data.astype(np.uint64), 1
-        while width < size:
-            out = out[:-width] | (out[width:] << np.uint64(8 * width))
-            width *= 2
-        return out
-
     def cut_chunk(data: np.ndarray, ends: np.ndarray, lengths: np.ndarray):
         """(row, size, piece, slot) of a run of rows laid end to end."""
-        row_of = np.repeat(np.arange(len(ends)), lengths)
-        for size in sizes:
-            if len(data) < size:
-                continue
-            piece = windows(data, size)
-            row = row_of[: len(piece)]
-            fits = np.arange(len(piece)) + size <= ends[row]
-            if largest_only:
-                larger = [s for s in sizes if s > size]
-                fits &= lengths[row] < min(larger) if larger else True
-            slot = (piece + np.uint64(size)) * spread
-            if known is not None:
+        window, width = data.astype(np.uint64), 1  # the bytes from each position on, as a number
+        for size in sorted(sizes):
+            while width < size:
+                window = window[:-width] | (window[width:] << np.uint64(8 * width))
+                width *= 2
+            if not len(window):
+                return
+            slot = (window + np.uint64(size)) * spread
+            if known is None:
+                at = np.arange(len(window))
+            else:
                 bits, bitmap = known
                 index = slot >> np.uint64(64 - bits)
-                fits &= (bitmap[index >> np.uint64(3)] >> (index & np.uint64(7)).astype(np.uint8)) & 1 == 1
-            row, piece, slot = row[fits], piece[fits], slot[fits]
+                bit = bitmap[index >> np.uint64(3)] >> (index & np.uint64(7)).astype(np.uint8)
+                at = np.flatnonzero(bit & 1)
+            row = np.searchsorted(ends, at, "right")
+            fits = at + size <= ends[row]
+            larger = [s for s in sizes if s > size]
+            if largest_only and larger:
+                fits &= lengths[row] < min(larger)
+            row, at = row[fits], at[fits]
+            piece, slot = window[at], slot[at]
             order = np.lexsort((piece, row))
             row, piece, slot = row[order], piece[order], slot[order]
             new = np.ones(len(row), bool)

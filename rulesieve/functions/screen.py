@@ -19,8 +19,10 @@ except ImportError:  # more alternations are scanned instead
     ahocorasick = None
 
 # Up to this many literals one alternation is fastest; above, it would outgrow
-# the engine's state cache, and one automaton for all literals is built.
+# the engine's state cache, and one automaton for all literals is built. For the
+# same reason an alternation holds only the beginnings of the literals.
 ALTERNATION_LIMIT = 400
+SCREENED_CHARS = 16
 
 FOUND_TYPE = "array<struct<is_regex: boolean, pattern: string>>"
 
@@ -33,25 +35,28 @@ def evidence_screen(
     """Function of ``(kind, value)`` giving what was found, as ``FOUND_TYPE``.
 
     ``literals`` are given per kind; an entry with a null pattern says that some
-    literal of the row's kind occurs. For the kinds in ``listed`` every literal
-    that occurs is an entry of its own, where the automaton is used for them
-    (see :func:`lists_literals`). ``expressions`` are ``(kind, expression)``;
-    each one found is an entry.
+    literal of the row's kind may occur (no entry: that none does). For the
+    kinds in ``listed`` every literal that occurs is an entry of its own
+    instead, where there is an automaton to name them (see
+    :func:`names_literals`). ``expressions`` are ``(kind, expression)``; each
+    one found is an entry.
     """
     tests = []  # (kind, is_regex, reported pattern, expression)
     automata = {}
     for kind, values in literals.items():
-        if len(values) > ALTERNATION_LIMIT and ahocorasick is not None:
+        if ahocorasick is not None and (kind in listed or len(values) > ALTERNATION_LIMIT):
             automata[kind] = list(values)
-            continue
+            if len(values) > ALTERNATION_LIMIT:
+                continue
         for start in range(0, len(values), ALTERNATION_LIMIT):
-            part = values[start : start + ALTERNATION_LIMIT]
+            part = sorted({v[:SCREENED_CHARS] for v in values[start : start + ALTERNATION_LIMIT]})
             tests.append((kind, False, None, "|".join(re2_quote(v) for v in part)))
     tests += [(kind, True, expression, expression) for kind, expression in expressions]
     for *_, expression in tests:  # a faulty expression fails here, not in a task
         pc.match_substring_regex(pa.array([""]), pattern=expression)
     kinds = sorted({test[0] for test in tests} | set(automata))
     listed_kinds = {kind for kind in listed if kind in automata}
+    screened_kinds = {kind for kind, is_regex, *_ in tests if not is_regex}
     built = {}
 
     # Everything below is shipped by value: it uses only what it closes over.
@@ -91,14 +96,15 @@ def evidence_screen(
                     rows.append(of_kind[hit])
                     is_regex.append(np.full(len(rows[-1]), regex))
                     patterns += [pattern] * len(rows[-1])
-            rows.append(of_kind[some_literal])
-            is_regex.append(np.zeros(len(rows[-1]), bool))
-            patterns += [None] * len(rows[-1])
             if name in automata:
+                if name in screened_kinds:  # the automaton need only see what the alternation found
+                    of_kind, values = of_kind[some_literal], values.filter(pa.array(some_literal))
                 hits = automaton_hits(name, values.cast(pa.binary()).to_pylist())
-                rows.append(of_kind[np.array([i for i, _ in hits], np.int64)])
-                is_regex.append(np.zeros(len(hits), bool))
-                patterns += [literal for _, literal in hits]
+            else:
+                hits = [(i, None) for i in np.flatnonzero(some_literal)]
+            rows.append(of_kind[np.array([i for i, _ in hits], np.int64)])
+            is_regex.append(np.zeros(len(hits), bool))
+            patterns += [literal for _, literal in hits]
         row = np.concatenate(rows)
         order = np.argsort(row, kind="stable")
         entries = pa.StructArray.from_arrays(
@@ -114,9 +120,9 @@ def evidence_screen(
     return F.arrow_udf(found, FOUND_TYPE)
 
 
-def lists_literals(values: Sequence[str]) -> bool:
-    """Whether so many literals are found by the automaton, which names each."""
-    return len(values) > ALTERNATION_LIMIT and ahocorasick is not None
+def names_literals() -> bool:
+    """Whether the literals of listed kinds come named out of the screen."""
+    return ahocorasick is not None
 
 
 def regex_found(value: Column, pattern: Column) -> Column:

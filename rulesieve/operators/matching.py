@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from rulesieve import schema
 from rulesieve.functions.grams import bitmap_bits, pattern_pieces, piece_bitmap, text_pieces
 from rulesieve.functions.literals import TooDeep, literal_regex
-from rulesieve.functions.screen import evidence_screen, lists_literals, regex_found
+from rulesieve.functions.screen import evidence_screen, names_literals, regex_found
 from rulesieve.sources.catalogue import local_table, pattern_rules
 
 # Bounds of a compiled catalogue. They bound what reaches the driver and what
@@ -157,7 +157,7 @@ def _compiled_match(
     except TooDeep:
         return None
     for kind, literals in as_contained.items():
-        if not lists_literals(literals):
+        if not names_literals():
             exact = F.when((F.col("kind") == kind) & some_literal, _contains_hits(literals)).otherwise(exact)
     named = F.transform(
         F.filter(found, lambda f: f["pattern"].isNotNull()),

@@ -142,6 +142,7 @@ def test_many_literals_are_screened_the_same(make_rules, make_evidence, monkeypa
     evidence = make_evidence(*[("a", "dex_string", "c", 0, i, word(rng.randint(0, 50))) for i in range(150)])
     want = [hits(f(evidence, rules)) for f in (match_longest, match_contains)]
     monkeypatch.setattr(screen, "ALTERNATION_LIMIT", 7)
+    monkeypatch.setattr(screen, "SCREENED_CHARS", 3)
     if not with_automaton:
         monkeypatch.setattr(screen, "ahocorasick", None)
     assert [hits(f(evidence, rules)) for f in (match_longest, match_contains)] == want and want[0]
