@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rulesieve import schema
-from rulesieve.operators.matching import LONGEST_KINDS, match
+from rulesieve.operators.matching import LONGEST_KINDS, PatternSet, match
 
 # Evidence text per kind, as (opening, separator, closing).
 LABELS = {
@@ -107,7 +107,7 @@ def to_findings(capped: DataFrame, rules: DataFrame) -> DataFrame:
     )
 
 
-def scan(evidence: DataFrame, rules: DataFrame, cap: int = schema.EVIDENCE_CAP) -> DataFrame:
+def scan(evidence: DataFrame, rules: DataFrame | PatternSet, cap: int = schema.EVIDENCE_CAP) -> DataFrame:
     """All rules against all evidence.
 
     Code strings are matched leftmost-longest and keep the first ``cap``
@@ -115,8 +115,9 @@ def scan(evidence: DataFrame, rules: DataFrame, cap: int = schema.EVIDENCE_CAP)
     listed pattern that hits. One pass over the evidence, one shuffle of matches.
     """
     other_kinds = [k for k in schema.KINDS if k not in LONGEST_KINDS]
-    matches = match(evidence, rules, longest=LONGEST_KINDS, contains=other_kinds, regex=schema.KINDS)
-    return to_findings(cap_by_kind(matches, cap), rules)
+    patterns = PatternSet.of(rules)
+    matches = match(evidence, patterns, longest=LONGEST_KINDS, contains=other_kinds, regex=schema.KINDS)
+    return to_findings(cap_by_kind(matches, cap), patterns.rules)
 
 
 def clean_artifacts(artifacts: DataFrame, findings: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ give the same rows.
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -37,13 +38,19 @@ _PATTERN = schema._struct(
 
 @dataclass
 class PatternSet:
-    """Patterns of a catalogue: as a table, and on the driver if they are few."""
+    """A catalogue with its patterns: as a table, and on the driver if they are few.
 
+    Made once, it serves any number of scans.
+    """
+
+    rules: DataFrame
     table: DataFrame
     rows: list[dict] | None
 
     @classmethod
-    def of(cls, rules: DataFrame) -> "PatternSet":
+    def of(cls, rules: "DataFrame | PatternSet") -> "PatternSet":
+        if isinstance(rules, PatternSet):
+            return rules
         table = pattern_rules(rules)
         if rules.isLocal():  # already on the driver, so no job is needed to look
             rows = _exploded(rules)
@@ -52,13 +59,21 @@ class PatternSet:
             clipped = table.withColumn("pattern", F.substring("pattern", 1, MAX_PATTERN_CHARS + 1))
             rows = [r.asDict() for r in clipped.limit(MAX_PATTERNS + 1).collect()]
         if len(rows) > MAX_PATTERNS or any(len(r["pattern"] or "") > MAX_PATTERN_CHARS for r in rows):
-            return cls(table, None)
-        return cls(table, rows)
+            return cls(rules, table, None)
+        return cls(rules, table, rows)
 
     @classmethod
     def distributed(cls, rules: DataFrame) -> "PatternSet":
         """The same without the look at its size; nothing reaches the driver."""
-        return cls(pattern_rules(rules), None)
+        return cls(rules, pattern_rules(rules), None)
+
+    @cached_property
+    def fan_out_side(self) -> DataFrame:
+        """Patterns with the rules that list them, for the join after matching."""
+        if self.rows is None:
+            return self.table
+        small = local_table(self.table.sparkSession, self.rows, _PATTERN)
+        return F.broadcast(small)  # bounded by MAX_PATTERNS x MAX_PATTERN_CHARS
 
     def distinct(self, is_regex: bool, kinds: Sequence[str]) -> dict[str, list[str]]:
         """Distinct non-empty patterns per kind."""
@@ -70,11 +85,7 @@ class PatternSet:
 
     def fan_out(self, hits: DataFrame) -> DataFrame:
         """Join matched patterns to every rule that lists them."""
-        side = self.table
-        if self.rows is not None:
-            small = local_table(hits.sparkSession, self.rows, _PATTERN)
-            side = F.broadcast(small)  # bounded by MAX_PATTERNS x MAX_PATTERN_CHARS
-        return hits.join(side, ["kind", "is_regex", "pattern"]).select(
+        return hits.join(self.fan_out_side, ["kind", "is_regex", "pattern"]).select(
             *schema.EVIDENCE.names, "match_pos", "pattern", "rule_id", "pattern_ord"
         )
 
@@ -100,7 +111,7 @@ def match(
     ``longest``, ``contains`` and ``regex`` name the kinds to be matched as in
     :func:`match_longest`, :func:`match_contains` and :func:`match_regex`.
     """
-    patterns = rules if isinstance(rules, PatternSet) else PatternSet.of(rules)
+    patterns = PatternSet.of(rules)
     hits = _compiled_match(evidence, patterns, longest, contains, regex)
     if hits is None:
         hits = _match_distributed(evidence, patterns, longest, contains, regex)

@@ -1,22 +1,48 @@
 """Artifacts, evidence, catalogues and profiles derived from the given tables."""
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rulesieve import schema
 from rulesieve.operators import evidence as ev
 from rulesieve.operators.findings import scan
+from rulesieve.operators.matching import PatternSet
 from rulesieve.operators.policy import profile_map
 from rulesieve.plans import pack
 from rulesieve.session import spread_small
 from rulesieve.sources.catalogue import local_table, rules_frame
 
 
+# Columns of the given tables; stated, so that no job has to read footers first.
+COLUMNS = {
+    "documents": "doc_id long, text string, lang string, source string, n_chars long",
+    "pages": "page_id long, url string, html string",
+    "conversations": "conv_id long, turn long, role string, text string",
+    "benchmark": "item_id long, text string",
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string",
+    "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+    "l_shipdate timestamp_ntz",
+    "part": "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(COLUMNS[name]).parquet(f"{sf_dir}/{name}.parquet")
+
+
+@lru_cache(maxsize=4)
+def catalogue(spark: SparkSession) -> PatternSet:
+    """The rule pack, compiled once per session."""
+    return PatternSet.of(rules_frame(spark, pack.RULES))
 
 
 def rules(spark: SparkSession) -> DataFrame:
-    return rules_frame(spark, pack.RULES)
+    return catalogue(spark).rules
 
 
 def conditions(spark: SparkSession) -> DataFrame:
@@ -149,13 +175,13 @@ def document_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def findings(spark: SparkSession, sf_dir: str, artifact: str = "doc_id") -> DataFrame:
-    return scan(document_evidence(spark, sf_dir, artifact), rules(spark))
+    return scan(document_evidence(spark, sf_dir, artifact), catalogue(spark))
 
 
 # --- catalogues that grow with the data --------------------------------------
 
 
-def _pick(values: tuple[str, ...], number: Column) -> Column:
+def pick(values: tuple[str, ...], number: Column) -> Column:
     return F.get(F.array(*[F.lit(v) for v in values]), F.pmod(number, F.lit(len(values))).cast("int"))
 
 
@@ -166,9 +192,9 @@ def part_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(
         F.concat_ws("/", "p_name", "p_brand").alias("id"),
         F.col("p_name").alias("name"),
-        _pick(schema.CATEGORIES, size).alias("category"),
-        _pick(schema.SEVERITIES, size).alias("severity"),
-        _pick(schema.BEHAVIORS, size).alias("behavior"),
+        pick(schema.CATEGORIES, size).alias("category"),
+        pick(schema.SEVERITIES, size).alias("severity"),
+        pick(schema.BEHAVIORS, size).alias("behavior"),
         F.lit("dex_string").alias("evidence_location"),
         F.split("p_name", " ").alias("patterns"),
         F.lit(False).alias("is_regex"),
@@ -184,9 +210,9 @@ def benchmark_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(
         F.concat(F.lit("item-"), F.col("item_id").cast("string")).alias("id"),
         F.lit("Benchmark passage").alias("name"),
-        _pick(schema.CATEGORIES, number).alias("category"),
-        _pick(schema.SEVERITIES, number).alias("severity"),
-        _pick(schema.BEHAVIORS, number).alias("behavior"),
+        pick(schema.CATEGORIES, number).alias("category"),
+        pick(schema.SEVERITIES, number).alias("severity"),
+        pick(schema.BEHAVIORS, number).alias("behavior"),
         F.lit("dex_string").alias("evidence_location"),
         lines.alias("patterns"),
         F.lit(False).alias("is_regex"),

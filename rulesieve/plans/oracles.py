@@ -309,12 +309,14 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT 'unclassified_behavior', id, CAST(1 AS BIGINT) FROM part_rules WHERE behavior = 'unknown'
         UNION ALL SELECT 'empty_pattern', id, CAST(1 AS BIGINT) FROM part_rules
           WHERE len(patterns) = 0 OR list_contains(patterns, '')""",
-    "catalogue_condition_gaps": f"""WITH r AS (SELECT CAST(p_partkey AS VARCHAR) AS id FROM part),
+    "catalogue_condition_gaps": f"""WITH r AS (SELECT CAST(p_partkey AS VARCHAR) AS id,
+          {pick(schema.CATEGORIES, 'p_size')} AS category FROM part),
         c AS (SELECT DISTINCT l_partkey || CASE WHEN l_returnflag = 'R' THEN 'R' ELSE '' END AS id
               FROM lineitem WHERE l_quantity = 50)
         SELECT 'duplicate_id' AS "check", id AS subject, count(*) AS n FROM r GROUP BY id HAVING count(*) > 1
         UNION ALL SELECT 'empty_category', c, CAST(0 AS BIGINT) FROM
-          (SELECT unnest([{", ".join(lit(c) for c in schema.CATEGORIES[1:])}]) AS c)
+          (SELECT unnest([{", ".join(lit(c) for c in schema.CATEGORIES)}]) AS c)
+          WHERE c NOT IN (SELECT category FROM r)
         UNION ALL SELECT 'rule_without_condition', id, CAST(1 AS BIGINT) FROM r WHERE id NOT IN (SELECT id FROM c)
         UNION ALL SELECT 'condition_without_rule', id, CAST(1 AS BIGINT) FROM c WHERE id NOT IN (SELECT id FROM r)""",
     "catalogue_listing": f"""WITH {PART_RULES} SELECT id, '{{"id":"' || id || '","name":"' || name ||

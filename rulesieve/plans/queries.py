@@ -73,14 +73,14 @@ def catalogue_violations(spark, sf_dir):
 
 @query
 def catalogue_condition_gaps(spark, sf_dir):
-    """Also both directions of missing conditions: here parts never ordered at
-    full quantity, and the other way round."""
-    rules = (
-        corpus.table(spark, sf_dir, "part")
-        .select(F.col("p_partkey").cast("string").alias("id"))
-        .withColumn("category", F.lit(schema.CATEGORIES[0]))
-        .withColumn("behavior", F.lit("log_only"))
-        .withColumn("patterns", F.array("id"))
+    """Missing conditions in both directions: parts never ordered at full
+    quantity, and returned full-quantity orders, which are named apart."""
+    number = F.col("p_size").cast("long")
+    rules = corpus.table(spark, sf_dir, "part").select(
+        F.col("p_partkey").cast("string").alias("id"),
+        corpus.pick(schema.CATEGORIES, number).alias("category"),
+        F.lit("log_only").alias("behavior"),
+        F.split("p_name", " ").alias("patterns"),
     )
     conditions = (
         corpus.table(spark, sf_dir, "lineitem")
@@ -331,30 +331,30 @@ _MATCH = ("artifact_id", "kind", "container_ord", "ordinal", "match_pos", "patte
 @query
 def match_contains_documents(spark, sf_dir):
     lines = corpus.document_evidence(spark, sf_dir)
-    return matching.match_contains(lines, corpus.rules(spark)).select(*_MATCH, "value")
+    return matching.match_contains(lines, corpus.catalogue(spark)).select(*_MATCH, "value")
 
 
 @query
 def match_longest_documents(spark, sf_dir):
     lines = corpus.document_evidence(spark, sf_dir)
-    return matching.match_longest(lines, corpus.rules(spark)).select(*_MATCH, "value")
+    return matching.match_longest(lines, corpus.catalogue(spark)).select(*_MATCH, "value")
 
 
 @query
 def match_longest_pages(spark, sf_dir):
-    return matching.match_longest(corpus.page_evidence(spark, sf_dir), corpus.rules(spark)).select(*_MATCH)
+    return matching.match_longest(corpus.page_evidence(spark, sf_dir), corpus.catalogue(spark)).select(*_MATCH)
 
 
 @query
 def match_regex_documents(spark, sf_dir):
     lines = corpus.document_evidence(spark, sf_dir)
-    return matching.match_regex(lines, corpus.rules(spark)).select(*_MATCH)
+    return matching.match_regex(lines, corpus.catalogue(spark)).select(*_MATCH)
 
 
 @query
 def match_entry_names(spark, sf_dir):
     evidence = corpus.page_evidence(spark, sf_dir)
-    return matching.match_contains(evidence, corpus.rules(spark), ["zip_entry"]).select(*_MATCH)
+    return matching.match_contains(evidence, corpus.catalogue(spark), ["zip_entry"]).select(*_MATCH)
 
 
 @query
@@ -362,7 +362,7 @@ def match_all_kinds(spark, sf_dir):
     """Every kind in its own way; a rule only ever sees evidence of its kind."""
     matches = matching.match(
         corpus.all_evidence(spark, sf_dir),
-        corpus.rules(spark),
+        corpus.catalogue(spark),
         longest=["dex_string"],
         contains=["zip_entry", "native_lib_name", "manifest"],
         regex=["dex_string"],
@@ -375,7 +375,7 @@ def match_shared_patterns(spark, sf_dir):
     """Matches of patterns that several rules list: all of those rules fire."""
     shared = catalogue.pattern_table(corpus.rules(spark)).where("n_rules > 1").select("pattern")
     lines = corpus.document_evidence(spark, sf_dir)
-    matches = matching.match_longest(lines, corpus.rules(spark)).join(shared, "pattern", "left_semi")
+    matches = matching.match_longest(lines, corpus.catalogue(spark)).join(shared, "pattern", "left_semi")
     return matches.select(*_MATCH)
 
 
@@ -404,14 +404,14 @@ def match_longest_distributed(spark, sf_dir):
 
 @query
 def first_pattern_pages(spark, sf_dir):
-    matches = matching.match_contains(corpus.page_evidence(spark, sf_dir), corpus.rules(spark))
+    matches = matching.match_contains(corpus.page_evidence(spark, sf_dir), corpus.catalogue(spark))
     return fi.first_pattern_hits(matches).select(*_MATCH)
 
 
 @query
 def capped_evidence(spark, sf_dir):
     lines = corpus.document_evidence(spark, sf_dir, "source")
-    capped = fi.cap_evidence(matching.match_longest(lines, corpus.rules(spark)))
+    capped = fi.cap_evidence(matching.match_longest(lines, corpus.catalogue(spark)))
     return capped.select(*_MATCH, "evidence_rank")
 
 
@@ -428,7 +428,7 @@ def findings_by_source(spark, sf_dir):
 @query
 def findings_all_kinds(spark, sf_dir):
     """The full scan; evidence text takes the form of its kind."""
-    return fi.scan(corpus.all_evidence(spark, sf_dir), corpus.rules(spark))
+    return fi.scan(corpus.all_evidence(spark, sf_dir), corpus.catalogue(spark))
 
 
 @query
@@ -553,7 +553,7 @@ def rule_prevalence(spark, sf_dir):
 def _two_corpora(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Findings per language: over the sources before the boundary, and the rest."""
     lines = corpus.document_lines(spark, sf_dir)
-    rules = corpus.rules(spark)
+    rules = corpus.catalogue(spark)
     old = corpus.line_evidence(lines.where(F.col("source") < DIFF_BOUNDARY), "lang")
     new = corpus.line_evidence(lines.where(F.col("source") >= DIFF_BOUNDARY), "lang")
     return fi.scan(old, rules), fi.scan(new, rules)
@@ -592,7 +592,7 @@ def host_diff(spark, sf_dir):
     """Hosts over plain and over encrypted connections."""
     urls = ev.entry_evidence(corpus.page_entries(spark, sf_dir))
     plain = F.startswith(F.col("value"), F.lit("http://"))
-    rules = corpus.rules(spark)
+    rules = corpus.catalogue(spark)
     changes = diff.diff(fi.scan(urls.where(plain), rules), fi.scan(urls.where(~plain), rules))
     return changes.select("artifact_id", "rule_id", "category", "status", "evidence")
 

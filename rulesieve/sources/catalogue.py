@@ -123,11 +123,12 @@ def rule_violations(rules: DataFrame, conditions: DataFrame | None = None) -> Da
     categories = local_table(
         spark, [{"category": c} for c in schema.CATEGORIES], schema._struct(("category", schema._S))
     )
+    used = rules.select("category").distinct()
     repeated = rules.groupBy("id").count().where("count > 1")
     blank = rules.where(F.exists("patterns", lambda p: p == "") | (F.size("patterns") <= 0))
     checks = [
         rows(repeated, "duplicate_id", F.col("id"), F.col("count")),
-        rows(categories.join(rules, "category", "left_anti"), "empty_category", F.col("category"), F.lit(0)),
+        rows(categories.join(used, "category", "left_anti"), "empty_category", F.col("category"), F.lit(0)),
         rows(rules.where("behavior = 'unknown'"), "unclassified_behavior", F.col("id"), one),
         rows(blank, "empty_pattern", F.col("id"), one),
     ]
