@@ -448,7 +448,7 @@ def byte_budget_sources(spark, sf_dir):
 @query
 def byte_budget_orders(spark, sf_dir):
     """Line quantities of an order while they add up to the limit."""
-    lines = corpus.table(spark, sf_dir, "lineitem").select(
+    lines = spread_small(corpus.table(spark, sf_dir, "lineitem"), "l_orderkey").select(
         F.col("l_orderkey").alias("artifact_id"),
         F.col("l_linenumber").alias("container_ord"),
         F.col("l_partkey"),
