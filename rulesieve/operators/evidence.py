@@ -41,7 +41,9 @@ def manifest_haystack(elements: DataFrame, segment: int = 4096, lookahead: int =
     length minus one, a search over the rows finds exactly what a search over
     the undivided string would.
     """
-    parts = elements.select(
+    # The null test is what the join below implies for one of its sides; stated
+    # for both, the two sides share one shuffle.
+    parts = elements.where(F.col("artifact_id").isNotNull()).select(
         "artifact_id",
         F.floor(F.col("elem_ord") / segment).cast("long").alias("segment"),
         F.struct("elem_ord", element_text().alias("text")).alias("part"),

@@ -31,10 +31,18 @@ def load_rules(spark: SparkSession, path: str, multiline: bool = False) -> DataF
 
 def rules_frame(spark: SparkSession, rules: Iterable[Mapping]) -> DataFrame:
     """Rules from plain dictionaries, as a local relation with known size."""
-    rows = [{name: rule.get(name) for name in _INPUT.names} for rule in rules]
+    rows = [
+        {
+            **{name: rule.get(name) for name in schema.RULE.names},
+            "behavior": rule.get("behavior") or schema.DEFAULT_BEHAVIOR,
+            "is_regex": bool(rule.get("is_regex")),
+            "guidance_key": rule.get("guidance_key") or rule.get("bypass_hint"),
+        }
+        for rule in rules
+    ]
     if not rows:
         raise EmptyCatalogue("no rules given")
-    return with_defaults(local_table(spark, rows, _INPUT))
+    return local_table(spark, rows, schema.RULE)
 
 
 def local_table(spark: SparkSession, rows: list[dict], struct) -> DataFrame:
