@@ -107,23 +107,32 @@ def evaluate_pairs(
     profiles: DataFrame,
     conditions: DataFrame,
     attributes: Sequence[str] = _CHECK,
+    chunks: int = 1,
 ) -> DataFrame:
     """One row per pair: ``(artifact_id, profile_id, profile, entries)``.
 
     ``entries`` holds a verdict per finding of the artifact and is empty, not
     missing, where there are none. Only the ``attributes`` of the findings are
     carried along; counts and overall results need no more than the rule id.
+
+    An artifact has at most as many checks as the catalogue has rules. For a
+    catalogue of more than some thousands, ``chunks`` cuts them: a pair then has
+    one row per ``chunk``, which the functions below add up.
     """
+    chunk = F.pmod(F.xxhash64("rule_id"), F.lit(chunks)).cast("int")
     per_artifact = (
         _checks(findings, conditions, attributes)
-        .groupBy("artifact_id")
+        .groupBy("artifact_id", chunk.alias("chunk"))
         .agg(F.collect_list("check").alias("checks"))
     )
-    joined = pairs.join(profiles, "profile_id").join(per_artifact, "artifact_id", "left")
+    every_chunk = F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))
+    spine = pairs.join(profiles, "profile_id").withColumn("chunk", every_chunk)
+    joined = spine.join(per_artifact, ["artifact_id", "chunk"], "left")
     entries = F.transform("checks", lambda c: _decide(c, F.col("profile"), attributes))
     return joined.select(
         "artifact_id",
         "profile_id",
+        *(["chunk"] if chunks > 1 else []),
         "profile",
         F.coalesce(entries, F.array().cast(_entries_type(attributes))).alias("entries"),
     )
@@ -154,9 +163,12 @@ def evaluate_blocking(
     profiles: DataFrame,
     conditions: DataFrame,
     attributes: Sequence[str] = _CHECK,
+    chunks: int = 1,
 ) -> DataFrame:
     """:func:`evaluate_pairs` for the findings that restrict the user."""
-    return evaluate_pairs(findings.where(is_blocking()), pairs, profiles, conditions, attributes)
+    return evaluate_pairs(
+        findings.where(is_blocking()), pairs, profiles, conditions, attributes, chunks
+    )
 
 
 def evaluate_catalogue(
@@ -205,12 +217,16 @@ def _count(verdict: str) -> Column:
 
 def verdict_counts(evaluated: DataFrame) -> DataFrame:
     """Verdicts per (artifact, profile), zeros included."""
-    return evaluated.select(
+    counts = evaluated.select(
         "artifact_id",
         "profile_id",
         *[_count(v).alias(f"n_{v}") for v in schema.VERDICTS],
         F.size("entries").cast("long").alias("n_total"),
     )
+    if "chunk" not in evaluated.columns:
+        return counts
+    numbers = [c for c in counts.columns if c.startswith("n_")]
+    return counts.groupBy("artifact_id", "profile_id").agg(*[F.sum(c).alias(c) for c in numbers])
 
 
 def overall(evaluated: DataFrame) -> DataFrame:
@@ -228,7 +244,8 @@ def overall(evaluated: DataFrame) -> DataFrame:
 def verdict_documents(evaluated: DataFrame) -> DataFrame:
     """One JSON document per (artifact, profile): header, summary, entries.
 
-    Entries follow report order: category, severity, rule.
+    Entries follow report order: category, severity, rule. Where pairs are cut
+    into chunks there is a document per chunk, with a summary of its own.
     """
     ranked = F.array_sort(
         F.transform(
@@ -255,7 +272,8 @@ def verdict_documents(evaluated: DataFrame) -> DataFrame:
         summary.alias("summary"),
         F.transform(ranked, lambda x: x["entry"]).alias("entries"),
     )
-    return evaluated.select("artifact_id", "profile_id", F.to_json(document).alias("document"))
+    keys = [c for c in ("artifact_id", "profile_id", "chunk") if c in evaluated.columns]
+    return evaluated.select(*keys, F.to_json(document).alias("document"))
 
 
 def order_verdicts(verdicts: DataFrame) -> DataFrame:

@@ -147,6 +147,20 @@ def test_counts_need_no_shuffle_after_the_pairs(make_findings, conditions, profi
     assert shuffles(p.verdict_documents(done)) <= shuffles(done)
 
 
+def test_chunks_add_up(make_findings, conditions, profiles, pairs):
+    rules = [f"c{i}" for i in range(25)]
+    findings = make_findings(*[("a", r, "root", "low", "hard_block") for r in rules], ("b", "c1", "root", "low", "log_only"))
+    table = conditions(*[(r, 1, {"rooted": i % 2 == 0}, "triggered") for i, r in enumerate(rules[:20])])
+    some = pairs(("a", "x"), ("a", "y"), ("b", "x"), ("none", "y"))
+    people = profiles(x=dict(rooted=True), y={})
+    whole = p.evaluate_pairs(findings, some, people, table)
+    cut = p.evaluate_pairs(findings, some, people, table, chunks=4)
+    assert cut.count() == 4 * whole.count()
+    for result in (p.verdict_counts, p.overall, p.verdict_rows):
+        assert sorted(map(str, result(cut).collect())) == sorted(map(str, result(whole).collect()))
+    assert p.verdict_documents(cut).columns == ["artifact_id", "profile_id", "chunk", "document"]
+
+
 # --- profile text ------------------------------------------------------------
 
 TEXTS = {
