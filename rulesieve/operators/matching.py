@@ -17,13 +17,20 @@ from pyspark.sql import Column, DataFrame, functions as F
 from rulesieve import schema
 from rulesieve.functions.grams import bitmap_bits, pattern_pieces, piece_bitmap, text_pieces
 from rulesieve.functions.literals import TooDeep, literal_regex
-from rulesieve.functions.screen import evidence_screen, names_literals, regex_found
+from rulesieve.functions.screen import (
+    ALTERNATION_LIMIT,
+    evidence_screen,
+    names_literals,
+    regex_found,
+)
 from rulesieve.sources.catalogue import local_table, pattern_rules
 
-# Bounds of a compiled catalogue. They bound what reaches the driver and what
-# is broadcast: at most MAX_PATTERNS strings of at most MAX_PATTERN_CHARS.
-MAX_PATTERNS = 20_000
+# Bounds of a compiled catalogue. They bound what reaches the driver (at most
+# MAX_PATTERNS strings of MAX_PATTERN_CHARS) and what is shipped and broadcast
+# (at most MAX_TOTAL_CHARS).
+MAX_PATTERNS = 100_000
 MAX_PATTERN_CHARS = 2_000
+MAX_TOTAL_CHARS = 4_000_000
 REGEX_BLOCK = 256
 
 LONGEST_KINDS = ("dex_string",)
@@ -58,9 +65,13 @@ class PatternSet:
             # One character and one row over the bound are enough to notice excess.
             clipped = table.withColumn("pattern", F.substring("pattern", 1, MAX_PATTERN_CHARS + 1))
             rows = [r.asDict() for r in clipped.limit(MAX_PATTERNS + 1).collect()]
-        if len(rows) > MAX_PATTERNS or any(len(r["pattern"] or "") > MAX_PATTERN_CHARS for r in rows):
-            return cls(rules, table, None)
-        return cls(rules, table, rows)
+        lengths = [len(r["pattern"] or "") for r in rows]
+        fits = (
+            len(rows) <= MAX_PATTERNS
+            and max(lengths, default=0) <= MAX_PATTERN_CHARS
+            and sum(lengths) <= MAX_TOTAL_CHARS
+        )
+        return cls(rules, table, rows if fits else None)
 
     @classmethod
     def distributed(cls, rules: DataFrame) -> "PatternSet":
@@ -73,7 +84,7 @@ class PatternSet:
         if self.rows is None:
             return self.table
         small = local_table(self.table.sparkSession, self.rows, _PATTERN)
-        return F.broadcast(small)  # bounded by MAX_PATTERNS x MAX_PATTERN_CHARS
+        return F.broadcast(small)  # bounded by MAX_TOTAL_CHARS
 
     def distinct(self, is_regex: bool, kinds: Sequence[str]) -> dict[str, list[str]]:
         """Distinct non-empty patterns per kind."""
@@ -160,21 +171,32 @@ def _compiled_match(
     as_contained = patterns.distinct(False, contains)
     expressions = [(k, e) for k, found in patterns.distinct(True, regex).items() for e in found]
     kinds = sorted({*as_longest, *as_contained, *(k for k, _ in expressions)})
-    found, some_literal = F.col("found"), F.exists("found", lambda f: f["pattern"].isNull())
-    exact = F.array().cast(_HITS)
-    try:
-        for kind, literals in as_longest.items():
-            exact = F.when((F.col("kind") == kind) & some_literal, _longest_hits(literals)).otherwise(exact)
-    except TooDeep:
-        return None
+    found = F.col("found")
+    some_literal = F.exists(found, lambda f: f["pattern"].isNull())
+    literals_found = F.filter(found, lambda f: f["pattern"].isNotNull() & ~f["is_regex"])
+    exact, named_longest = F.array().cast(_HITS), []
+    for kind, literals in as_longest.items():
+        of_kind = F.col("kind") == kind
+        expression = _folded(literals)
+        if expression is not None:
+            exact = F.when(of_kind & some_literal, _longest_hits(F.lit(expression))).otherwise(exact)
+        elif names_literals():
+            named_longest.append(kind)
+            own = _longest_hits(_alternation(F.transform(literals_found, lambda f: f["pattern"])))
+            exact = F.when(of_kind & (F.size(literals_found) > 0), own).otherwise(exact)
+        else:
+            return None
     for kind, literals in as_contained.items():
         if not names_literals():
             exact = F.when((F.col("kind") == kind) & some_literal, _contains_hits(literals)).otherwise(exact)
+    final = F.lit(True) if not named_longest else ~F.col("kind").isin(*named_longest)
     named = F.transform(
-        F.filter(found, lambda f: f["pattern"].isNotNull()),
+        F.filter(found, lambda f: f["pattern"].isNotNull() & (f["is_regex"] | final)),
         lambda f: _hit(F.lit(0), f["is_regex"], f["pattern"]),
     )
-    screen = evidence_screen({**as_longest, **as_contained}, tuple(as_contained), expressions)
+    screen = evidence_screen(
+        {**as_longest, **as_contained}, (*as_contained, *named_longest), expressions
+    )
     # The kind filter reaches the scan, and prunes folders laid out by kind.
     wanted = evidence.where(F.col("kind").isin(*kinds)) if kinds else evidence.where("false")
     # Rows without hits go with inline; a filter on the screen would run it twice.
@@ -193,11 +215,32 @@ def _hit(match_pos: Column, is_regex: Column, pattern: Column) -> Column:
     )
 
 
-def _longest_hits(literals: list[str]) -> Column:
-    found = F.regexp_extract_all("value", F.lit(literal_regex(literals)), F.lit(0))
+def _folded(literals: list[str]) -> str | None:
+    """One expression for the literals, unless there are too many for it."""
+    if len(literals) > ALTERNATION_LIMIT and names_literals():
+        return None
+    try:
+        return literal_regex(literals)
+    except TooDeep:
+        return None
+
+
+def _longest_hits(expression: Column) -> Column:
+    found = F.regexp_extract_all("value", expression, F.lit(0))
     return F.transform(found, lambda p, i: _hit(i, F.lit(False), p))
 
 
+def _alternation(literals: Column) -> Column:
+    """The literals of one row as that row's own expression, longest first."""
+
+    def entry(literal: Column) -> Column:
+        quoted = F.regexp_replace(literal, F.lit(r"(\p{Punct})"), F.lit(r"\\$1"))
+        return F.struct((-F.char_length(literal)).alias("rank"), quoted.alias("quoted"))
+
+    ordered = F.array_sort(F.transform(literals, entry))
+    return F.array_join(F.transform(ordered, lambda e: e["quoted"]), "|")
+
+
 def _contains_hits(literals: list[str]) -> Column:
     each = F.filter(F.array(*[F.lit(p) for p in literals]), lambda p: F.contains(F.col("value"), p))
     return F.transform(each, lambda p: _hit(F.lit(0), F.lit(False), p))
@@ -264,17 +307,9 @@ def _contained(evidence: DataFrame, patterns: PatternSet, kinds: Sequence[str])
 
 
 def _longest_from_hits(contained: DataFrame) -> DataFrame:
-    """Leftmost-longest matches from the literals each row is known to contain.
-
-    The literals of one row, longest first, form that row's own alternation.
-    """
-    quoted = F.regexp_replace("pattern", F.lit(r"(\p{Punct})"), F.lit(r"\\$1"))
-    order = F.struct((-F.char_length("pattern")).alias("len"), quoted.alias("quoted"))
-    rows = contained.groupBy(*schema.EVIDENCE.names).agg(
-        F.array_sort(F.collect_list(order)).alias("found")
-    )
-    alternation = F.array_join(F.col("found.quoted"), "|")
-    found = F.regexp_extract_all("value", alternation, F.lit(0))
+    """Leftmost-longest matches from the literals each row is known to contain."""
+    rows = contained.groupBy(*schema.EVIDENCE.names).agg(F.collect_list("pattern").alias("literals"))
+    found = F.regexp_extract_all("value", _alternation(F.col("literals")), F.lit(0))
     return rows.select(*schema.EVIDENCE.names, F.posexplode(found).alias("match_pos", "pattern"))
 
 

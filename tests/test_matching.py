@@ -25,10 +25,10 @@ def test_nested_pattern(make_rules, strings):
 
 
 def test_longest_goes_on_after_a_match(make_rules, strings):
-    rules = make_rules(("A", ["frida"]), ("B", ["frida-server"]))
-    assert hits(match_longest(strings("frida-serverfrida"), rules)) == [
-        ("a", 0, 0, "frida-server", "B", 0),
-        ("a", 0, 1, "frida", "A", 0),
+    rules = make_rules(("A", ["proxy"]), ("B", ["proxy-server"]))
+    assert hits(match_longest(strings("proxy-serverproxy"), rules)) == [
+        ("a", 0, 0, "proxy-server", "B", 0),
+        ("a", 0, 1, "proxy", "A", 0),
     ]
 
 
@@ -41,8 +41,8 @@ def test_shared_pattern_fires_both_rules(make_rules, strings):
 
 
 def test_case_matters_and_substrings_count(make_rules, strings):
-    rules = make_rules(("A", ["frida"]))
-    assert fired(match_longest(strings("blackfriday", "FRIDA"), rules)) == [("blackfriday", "A")]
+    rules = make_rules(("A", ["proxy"]))
+    assert fired(match_longest(strings("reproxying", "PROXY"), rules)) == [("reproxying", "A")]
 
 
 def test_rule_sees_only_its_kind(make_rules, make_evidence):
@@ -119,6 +119,13 @@ def test_too_large_a_catalogue_stays_distributed(make_rules, strings, monkeypatc
     assert [hits(f(text, rules)) for f in (match_longest, match_contains, match_regex)] == expected
 
 
+def test_deeply_nested_literals(make_rules, strings):
+    """Too deep for one folded expression; each row then gets its own."""
+    rules = make_rules(("A", ["a" * n for n in range(1, 230)]), ("B", ["aab"]))
+    found = match_longest(strings("a" * 240 + "b", "xaaby"), rules)
+    assert [(o, p, len(t)) for _, o, p, t, _, _ in hits(found)] == [(0, 0, 229), (0, 1, 11), (1, 0, 3)]
+
+
 def test_over_long_pattern_stays_distributed(make_rules, strings):
     long = "x" * (m.MAX_PATTERN_CHARS + 1)
     rules = make_rules(("A", [long]), ("B", ["yy"]))
@@ -142,6 +149,7 @@ def test_many_literals_are_screened_the_same(make_rules, make_evidence, monkeypa
     evidence = make_evidence(*[("a", "dex_string", "c", 0, i, word(rng.randint(0, 50))) for i in range(150)])
     want = [hits(f(evidence, rules)) for f in (match_longest, match_contains)]
     monkeypatch.setattr(screen, "ALTERNATION_LIMIT", 7)
+    monkeypatch.setattr(m, "ALTERNATION_LIMIT", 7)
     monkeypatch.setattr(screen, "SCREENED_CHARS", 3)
     if not with_automaton:
         monkeypatch.setattr(screen, "ahocorasick", None)
