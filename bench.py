@@ -51,10 +51,10 @@ def main() -> None:
         return time.perf_counter() - start
 
     lines = QUERIES["document_strings"](spark, sf_dir).count()
-    best = {}
-    for name in sys.argv[1:] or HEADLINE:
-        run(name)  # warm the JVM and the Python workers for this plan
-        best[name] = round(min(run(name) for _ in range(rounds)), 3)
+    names = sys.argv[1:] or HEADLINE
+    for name in names:  # warm the JVM and the Python workers
+        run(name)
+    best = {name: round(min(run(name) for _ in range(rounds)), 3) for name in names}
     per_second = {
         name: round(lines / best[name])
         for name in ("match_longest_documents", "match_contains_documents", "category_rollup")
