@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rulesieve.llm import packing, simhash
+from rulesieve.llm import packing, secret_scan, simhash, substrings
 from rulesieve.llm.common import documents, id_text
 
 WINDOW = 1024
@@ -26,6 +26,32 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the 13-word windows that earlier documents hold."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return substrings.without_repeats(docs).select(
+        "doc_id", "cut.n_words", "cut.n_removed", F.sha2("cut.kept", 256).alias("kept_sha256")
+    )
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every text, plain and confirmed."""
+    docs = documents(spark, sf_dir).select("doc_id", secret_scan.secret_spans(F.col("text")).alias("found"))
+
+    def of_kind(*kinds: str):
+        return F.filter("found", lambda s: s["kind"].isin(*kinds))
+
+    def listed(spans):
+        return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])))
+
+    return docs.select(
+        "doc_id",
+        *[F.size(of_kind(kind)).cast("long").alias(f"n_{kind}") for kind in secret_scan.BASE_KINDS],
+        F.sha2(listed(of_kind(*secret_scan.BASE_KINDS)), 256).alias("base_sha256"),
+        listed(F.col("found")).alias("spans"),
+    )
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into windows of 1024 ids."""
     pieces = packing.token_pieces(
@@ -41,6 +67,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op3_substrings": op3_substrings,
+    "op7_secret_scan": op7_secret_scan,
     "op10_packing": op10_packing,
 }
 
