@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +40,14 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id (as long) and the text, under the names ``id`` and ``text``."""
     return docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
@@ -79,27 +87,6 @@ class WordHashes(dict):
         return np.frombuffer(b"".join(map(self.__getitem__, words)), np.uint64)
 
 
-def per_text(
-    docs: DataFrame, make: Callable[[], Callable[[bytes], dict]], columns: dict[str, pa.DataType], schema: str
-) -> DataFrame:
-    """One row per document: id and the values that a function of the text gives.
-
-    ``make`` is called once per task and returns that function. Rows pass in
-    Arrow batches; ``columns`` and ``schema`` name the values in one order.
-    """
-
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of_text = make()
-        for batch in batches(rows, 500):
-            found = [of_text(t) for t in text_bytes(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id")] + [pa.array([x[c] for x in found], kind) for c, kind in columns.items()],
-                ["id", *columns],
-            )
-
-    return docs.mapInArrow(run, f"id long, {schema}")
-
-
 def connected_components(edges: DataFrame) -> DataFrame:
     """``(node, component)`` for every node of the undirected ``edges(u, v)``.
 

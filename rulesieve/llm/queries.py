@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rulesieve.llm import packing, secret_scan, simhash, substrings
+from rulesieve.llm import packing, quality, secret_scan, simhash, substrings, toxicity
 from rulesieve.llm.common import documents, id_text
 
 WINDOW = 1024
@@ -34,6 +34,12 @@ def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity; labels of the held-out fold teach nothing."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return toxicity.toxicity(docs, documents(spark, sf_dir, "labels")).drop("text")
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every text, plain and confirmed."""
     docs = documents(spark, sf_dir).select("doc_id", secret_scan.secret_spans(F.col("text")).alias("found"))
@@ -52,6 +58,12 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality; labels of the held-out fold teach nothing."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return quality.quality(docs, documents(spark, sf_dir, "labels")).drop("text")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into windows of 1024 ids."""
     pieces = packing.token_pieces(
@@ -68,7 +80,9 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op3_substrings": op3_substrings,
+    "op4_toxicity": op4_toxicity,
     "op7_secret_scan": op7_secret_scan,
+    "op9_quality": op9_quality,
     "op10_packing": op10_packing,
 }
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from rulesieve.llm.common import WordHashes, batches, id_text, stored, text_bytes
+from rulesieve.llm.common import WordHashes, batches, fresh, id_text, stored, text_bytes
 
 #: Largest size of the bitmap of repeated minimisers, in bits (16 MiB).
 MAX_BITMAP_BITS = 1 << 27
@@ -230,12 +230,11 @@ def without_repeats(
 
     Other columns pass through. An empty table gives an empty result.
     """
-    found = repeated_windows(docs, id_col, text_col, window, gram).select(
-        F.col("id").alias("_id"), F.col("digest").alias("_digest"), F.col("positions").alias("_positions")
-    )
-    same = (docs[id_col].cast("long") == F.col("_id")) & (F.xxhash64(docs[text_col].cast("string")) == F.col("_digest"))
+    key, digest, positions = (fresh(docs, c) for c in ("_id", "_digest", "_positions"))
+    found = repeated_windows(docs, id_col, text_col, window, gram).toDF(key, digest, positions)
+    same = (docs[id_col].cast("long") == F.col(key)) & (F.xxhash64(docs[text_col].cast("string")) == F.col(digest))
     return (
         docs.join(found, same, "left")
-        .withColumn(into, cut(docs[text_col].cast("string"), F.col("_positions"), window))
-        .drop("_id", "_digest", "_positions")
+        .withColumn(into, cut(docs[text_col].cast("string"), F.col(positions), window))
+        .drop(key, digest, positions)
     )
