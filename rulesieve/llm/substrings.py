@@ -1,18 +1,20 @@
 """Removal of passages that earlier documents hold too.
 
 A window is a fixed number of consecutive words. Its Rabin-Karp hashes (two
-polynomials over independent word hashes, 128 bits together) are counted in
+polynomials over independent word hashes, 96 bits together) are counted in
 Spark: a window whose smallest document is not its own is repeated, and
 repeated windows merge into maximal intervals of words.
 
 Most windows occur once, and shipping all of them would cost several times the
 input. Equal windows have equal minimisers (the smallest hash among their runs
-of ``gram`` words), so a window whose minimiser stays within one document
-cannot repeat. The minimisers, a fifth as many, are counted first; those in
-two documents or more become a bitmap of bounded size, and only windows that
-pass it are counted in full. What the bitmap lets through in error, or all
-windows where it is too small for the data, is settled by that count: the bitmap
-only saves work.
+of ``gram`` words), so a window whose minimiser occurs once cannot repeat. The
+minimisers, a fifth as many, are counted first; those that occur again become a
+bitmap of bounded size, and only windows that pass it are counted in full. What
+the bitmap lets through in error, or all windows where it is too small for the
+data, is settled by that count: the bitmap only saves work. Of texts that are
+equal as a whole only the smallest id has windows at all; the others are
+repeated from end to end. Another bitmap tells which documents lose words, so
+that only their texts are shuffled.
 """
 
 from __future__ import annotations
@@ -26,8 +28,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from rulesieve.llm.common import WordHashes, batches, fresh, id_text, stored, text_bytes
 
-#: Largest size of the bitmap of repeated minimisers, in bits (16 MiB).
-MAX_BITMAP_BITS = 1 << 27
+#: Largest size of a bitmap, in bits (32 MiB).
+MAX_BITMAP_BITS = 1 << 28
 _BITMAP_BUCKET = 1 << 15  # bits per row of Spark's bitmap aggregate
 
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # odd multipliers of the two polynomials
@@ -73,8 +75,44 @@ class Windows:
             self.least = np.empty(0, np.uint64)
 
 
+class Bitmap:
+    """A set of numbers by their lowest bits: never denies a member, may take others for one."""
+
+    def __init__(self, numbers: DataFrame, spare: int = 64):
+        """Of the one column of ``numbers``, with ``spare`` bits a row if that is not over the bound."""
+        bits = _BITMAP_BUCKET
+        while bits < min(spare * numbers.count(), MAX_BITMAP_BITS):
+            bits *= 2
+        bit = F.col(numbers.columns[0]).bitwiseAND(F.lit(bits - 1)) + F.lit(1)
+        # Spark's bucket n holds the places (n - 1) * 32768 + 1 to n * 32768.
+        rows = (
+            numbers.select(bit.alias("bit"))
+            .groupBy(F.expr("bitmap_bucket_number(bit)").alias("bucket"))
+            .agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit))").alias("set"))
+            .collect()
+        )
+        table = np.zeros((bits // _BITMAP_BUCKET, _BITMAP_BUCKET // 8), np.uint8)
+        for row in rows:
+            table[row["bucket"] - 1] = np.frombuffer(row["set"], np.uint8)
+        self.bits, self.table = bits, table.reshape(-1)
+
+    def has(self, numbers: np.ndarray) -> np.ndarray:
+        bit = (numbers.astype(np.uint64, copy=False) & np.uint64(self.bits - 1)).astype(np.int64)
+        return (self.table[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 > 0
+
+    def column(self, numbers: Column) -> Column:
+        """Whether a column's numbers are in; a null is not."""
+
+        @F.arrow_udf("boolean")
+        def run(column: pa.Array) -> pa.Array:
+            found = self.has(column.fill_null(0).to_numpy(zero_copy_only=False))
+            return pa.array(found & column.is_valid().to_numpy(zero_copy_only=False))
+
+        return run(numbers)
+
+
 def _minimisers(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """``(m, id)``: every minimiser of every document, runs of equal ones once."""
+    """``m``: every minimiser of every document to 40 bits, runs of equal ones once."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -82,124 +120,108 @@ def _minimisers(docs: DataFrame, window: int, gram: int) -> DataFrame:
             w = Windows(text_bytes(batch.column("text")), hashes, window, gram)
             new = np.ones(len(w.least), bool)
             new[1:] = (w.least[1:] != w.least[:-1]) | (w.text[1:] != w.text[:-1])
-            ids = batch.column("id").take(pa.array(w.text[new]))
-            yield pa.RecordBatch.from_arrays([pa.array(w.least[new].view(np.int64)), ids], ["m", "id"])
+            own = (w.least[new] & np.uint64((1 << 40) - 1)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(own)], ["m"])
 
-    return docs.mapInArrow(run, "m long, id long")
+    return docs.mapInArrow(run, "m long")
 
 
-def _repeated_bitmap(minimisers: DataFrame) -> tuple[int, dict[int, bytes]]:
-    """Bits (a power of two) and the set bits of minimisers in two documents or more."""
-    repeated = stored(
-        minimisers.groupBy("m").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("m"),
-        "minimisers",
-    )
-    wanted, bits = 8 * repeated.count(), _BITMAP_BUCKET
-    while bits < min(wanted, MAX_BITMAP_BITS):
-        bits *= 2
-    bit = F.col("m").bitwiseAND(F.lit(bits - 1)).alias("bit")
-    rows = (
-        repeated.select(bit)
-        .groupBy(F.expr("bitmap_bucket_number(bit)").alias("bucket"))
-        .agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit))").alias("set"))
-        .collect()
-    )
-    return bits, {r["bucket"]: bytes(r["set"]) for r in rows}
+def _windows(docs: DataFrame, window: int, gram: int, repeated: Bitmap) -> DataFrame:
+    """``(h1, h2, id, place)`` of windows whose minimiser is in the bitmap.
 
-
-def _windows(docs: DataFrame, window: int, gram: int, bits: int, found: dict[int, bytes]) -> DataFrame:
-    """``(h1, h2, id, digest, position)`` of windows whose minimiser is in the bitmap."""
+    ``place`` holds 16 bits of the text's hash above 40 bits of the position.
+    """
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, second = WordHashes(), WordHashes(1)
-        # As Spark numbers them: bucket n holds bits (n - 1) * 32768 + 1 to n * 32768, from 0 in bucket 1.
-        table = np.zeros(bits + 2 * _BITMAP_BUCKET, bool)
-        for bucket, content in found.items():
-            at = bucket * _BITMAP_BUCKET
-            table[at : at + _BITMAP_BUCKET] = np.unpackbits(
-                np.frombuffer(content, np.uint8), bitorder="little", count=_BITMAP_BUCKET
-            )
         for batch in batches(rows, 200):
             texts = text_bytes(batch.column("text"))
             w = Windows(texts, first, window, gram)
-            bit = (w.least & np.uint64(bits - 1)).astype(np.int64)
-            bucket, place = _bucket_of(bit), _place_of(bit)
-            keep = table[bucket * _BITMAP_BUCKET + place]
-            texts_kept = np.unique(w.text[keep])
-            if not len(texts_kept):
+            keep = repeated.has(w.least)
+            if not keep.any():
                 continue
             other = np.zeros(len(w.hashes), np.uint64)
             offsets = np.cumsum([0] + [len(x) for x in w.words])
             digests = np.zeros(len(texts), np.int64)
-            for i in texts_kept:
+            for i in np.unique(w.text[keep]):
                 other[offsets[i] : offsets[i + 1]] = second.of(w.words[i])
-                digests[i] = np.uint64(xxhash.xxh64_intdigest(texts[i], 42)).view(np.int64)
-            start = w.start[keep]
+                digests[i] = xxhash.xxh64_intdigest(texts[i], 42) & 0xFFFF
+            start, text = w.start[keep], w.text[keep]
             h1 = rolling(w.hashes, window, _BASES[0])[start].view(np.int64)
-            h2 = rolling(other, window, _BASES[1])[start].view(np.int64)
-            text = w.text[keep]
+            h2 = (rolling(other, window, _BASES[1])[start] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            place = digests[text] << 40 | w.position[keep]
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(h1),
-                    pa.array(h2),
-                    batch.column("id").take(pa.array(text)),
-                    pa.array(digests[text]),
-                    pa.array(w.position[keep].astype(np.int32)),
-                ],
-                ["h1", "h2", "id", "digest", "position"],
+                [pa.array(h1), pa.array(h2), batch.column("id").take(pa.array(text)), pa.array(place)],
+                ["h1", "h2", "id", "place"],
             )
 
-    return docs.mapInArrow(run, "h1 long, h2 long, id long, digest long, position int")
-
-
-def _bucket_of(bit: np.ndarray) -> np.ndarray:
-    """Spark's ``bitmap_bucket_number`` of values from 0."""
-    return np.where(bit > 0, 1 + (bit - 1) // _BITMAP_BUCKET, bit // _BITMAP_BUCKET)
-
-
-def _place_of(bit: np.ndarray) -> np.ndarray:
-    """Spark's ``bitmap_bit_position`` of values from 0."""
-    return np.where(bit > 0, (bit - 1) % _BITMAP_BUCKET, -bit % _BITMAP_BUCKET)
+    return docs.mapInArrow(run, "h1 long, h2 int, id long, place long")
 
 
 def repeated_windows(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, gram: int = 5
 ) -> DataFrame:
-    """``(id, digest, positions)``: first words of windows that a smaller id holds too.
-
-    ``digest`` is Spark's ``xxhash64`` of the text, so rows that share an id
-    stay apart. Only rows with such windows appear. Null and short texts have
-    no windows; a null id is not smaller or larger than any. Windows are judged
-    on the input, not on what is left of it.
+    """``(id, digest, positions, whole)`` of rows that hold windows of a smaller id.
+
+    ``positions`` are the first words of these windows; ``whole`` says that the
+    whole text is that of a smaller id, so all windows are. ``digest`` is the
+    low 16 bits of Spark's ``xxhash64`` of the text, which keeps rows apart that
+    share an id. Null and short texts have no windows; a null id is not
+    smaller or larger than any. Windows are judged on the input, not on what is
+    left of it.
     """
     if not 0 < gram <= window:
         raise ValueError("gram must be between 1 and window")
-    rows = id_text(docs, id_col, text_col)
-    bits, found = _repeated_bitmap(_minimisers(rows.where("id is not null"), window, gram))
-    windows = _windows(rows.where("id is not null"), window, gram, bits, found)
-    windows = stored(windows, "windows")
+    rows = id_text(docs, id_col, text_col).where("id is not null and text is not null")
+    named = rows.withColumns({"d1": F.xxhash64("text"), "d2": F.xxhash64(F.lit(1), "text")})
+    names = stored(named.select("id", "d1", "d2"), "names")
+    several = stored(
+        names.groupBy("d1", "d2").agg(F.min("id").alias("least"), F.max("id").alias("last")).where("least < last").drop("last"),
+        "several",
+    )
+    # Each text once: those that may be there several times are looked up.
+    maybe = Bitmap(several.select("d1")).column(F.col("d1"))
+    looked_up = named.where(maybe).join(several, ["d1", "d2"], "left").where("least is null or id = least")
+    texts = named.where(~maybe).select("id", "text").union(looked_up.select("id", "text"))
+
+    minimisers = _minimisers(texts, window, gram)
+    again = stored(minimisers.groupBy("m").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("m"), "minimisers")
+    windows = stored(_windows(texts, window, gram, Bitmap(again)), "windows")
     first = (
         windows.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
     )
-    return (
-        windows.join(first.drop("last"), ["h1", "h2"])
-        .where("id > first")
-        .groupBy("id", "digest")
-        .agg(F.collect_set("position").alias("positions"))
+    repeated = windows.join(first.drop("last"), ["h1", "h2"]).where("id > first")
+    digest, position = F.shiftright("place", 40).alias("digest"), F.col("place").bitwiseAND(F.lit((1 << 40) - 1))
+    parts = (
+        repeated.groupBy("id", digest)
+        .agg(F.collect_set(position).alias("positions"))
+        .withColumn("whole", F.lit(False))
+    )
+    copies = names.join(several, ["d1", "d2"]).where("id > least")
+    whole = copies.select(
+        "id",
+        F.col("d1").bitwiseAND(F.lit(0xFFFF)).alias("digest"),
+        F.array().cast("array<long>").alias("positions"),
+        F.lit(True).alias("whole"),
     )
+    return parts.union(whole.distinct())
 
 
-def cut(text: Column, positions: Column, window: int = 13) -> Column:
+def cut(text: Column, positions: Column, whole: Column, window: int = 13) -> Column:
     """What is left of a text without the words that the windows at ``positions`` cover.
 
+    ``whole`` stands for all positions.
+
     A struct: ``n_words``, ``removed`` (maximal intervals of removed words, ends
     exclusive), ``n_removed``, ``kept`` (kept words joined by one blank). Words
     are runs without ASCII white space. A null text is empty.
     """
 
-    def of_text(text: bytes, at: np.ndarray | None) -> tuple[int, list[dict], int, bytes]:
+    def of_text(text: bytes, at: list[int] | None, every: bool | None) -> tuple[int, list[dict], int, bytes]:
         words = text.split()
-        if at is None or not len(at):
+        if every:
+            at = range(len(words) - window + 1)
+        if not at:
             return len(words), [], 0, b" ".join(words)
         step = np.zeros(len(words) + 1, np.int64)
         np.add.at(step, at, 1)
@@ -214,13 +236,13 @@ def cut(text: Column, positions: Column, window: int = 13) -> Column:
     kinds = {"n_words": pa.int64(), "removed": pa.list_(interval), "n_removed": pa.int64(), "kept": pa.string()}
 
     @F.arrow_udf("n_words long, removed array<struct<start: int, end: int>>, n_removed long, kept string")
-    def run(texts: pa.Array, places: pa.Array) -> pa.Array:
-        found = [of_text(t, p) for t, p in zip(text_bytes(texts), places.to_pylist())]
+    def run(texts: pa.Array, places: pa.Array, every: pa.Array) -> pa.Array:
+        found = [of_text(t, p, e) for t, p, e in zip(text_bytes(texts), places.to_pylist(), every.to_pylist())]
         columns = list(zip(*found)) or [[]] * 4
         arrays = [pa.array(c, pa.binary()).cast(k) if k == pa.string() else pa.array(c, k) for c, k in zip(columns, kinds.values())]
         return pa.StructArray.from_arrays(arrays, list(kinds))
 
-    return run(text, positions)
+    return run(text, positions, whole)
 
 
 def without_repeats(
@@ -230,11 +252,12 @@ def without_repeats(
 
     Other columns pass through. An empty table gives an empty result.
     """
-    key, digest, positions = (fresh(docs, c) for c in ("_id", "_digest", "_positions"))
-    found = repeated_windows(docs, id_col, text_col, window, gram).toDF(key, digest, positions)
-    same = (docs[id_col].cast("long") == F.col(key)) & (F.xxhash64(docs[text_col].cast("string")) == F.col(digest))
-    return (
-        docs.join(found, same, "left")
-        .withColumn(into, cut(docs[text_col].cast("string"), F.col(positions), window))
-        .drop(key, digest, positions)
-    )
+    own = [fresh(docs, c) for c in ("_id", "_digest", "_positions", "_whole")]
+    found = stored(repeated_windows(docs, id_col, text_col, window, gram), "repeated").toDF(*own)
+    key, digest, positions, whole = map(F.col, own)
+    text, doc_id = docs[text_col].cast("string"), docs[id_col].cast("long")
+    maybe = Bitmap(found.select(F.xxhash64(key))).column(F.xxhash64(doc_id))
+    same = (doc_id == key) & (F.xxhash64(text).bitwiseAND(F.lit(0xFFFF)) == digest)
+    nothing = [F.lit(None).cast("array<long>"), F.lit(False)]
+    touched = docs.where(maybe).join(found, same, "left").withColumn(into, cut(text, positions, whole, window)).drop(*own)
+    return touched.union(docs.where(~maybe).withColumn(into, cut(text, *nothing, window)))
