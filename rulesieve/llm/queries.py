@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rulesieve.llm import packing, quality, secret_scan, simhash, substrings, toxicity
+from rulesieve.llm import matroska, packing, quality, secret_scan, sentencepieces, simhash, substrings, topk, toxicity
 from rulesieve.llm.common import documents, id_text
 
 WINDOW = 1024
@@ -26,6 +26,12 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best other vectors of every twentieth vector."""
+    vectors = documents(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the 13-word windows that earlier documents hold."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
@@ -40,6 +46,42 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(docs, documents(spark, sf_dir, "labels")).drop("text")
 
 
+def op6_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored as samples in Matroska, and what is read back from the packets."""
+    docs = documents(spark, sf_dir).select(
+        "doc_id",
+        F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
+        matroska.media(matroska.padded_payload(F.col("text"))).alias("media"),
+    )
+    read = docs.withColumn("file", matroska.parsed(F.col("media")))
+    read = read.withColumn("payload", matroska.samples(F.col("media"), F.col("file.packets")))
+    last = F.element_at("file.packets", -1)
+    cued = F.forall("file.cues", lambda c: F.array_contains("file.clusters", c["cluster"]))
+    feature = F.concat_ws(
+        ":",
+        "file.codec",
+        F.size("file.packets"),
+        F.size("file.clusters"),
+        F.size("file.cues"),
+        cued.cast("string"),
+        F.aggregate("file.packets", F.lit(0).cast("long"), lambda total, p: total + p["size"]),
+        last["track"],
+        last["timestamp_ns"],
+        last["offset"],
+        F.coalesce("file.error", F.lit("complete")),
+    )
+    return read.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -32, 32)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        feature.alias("feature"),
+    )
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every text, plain and confirmed."""
     docs = documents(spark, sf_dir).select("doc_id", secret_scan.secret_spans(F.col("text")).alias("found"))
@@ -58,6 +100,22 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded, and decoded from its ids again."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    docs = documents(spark, sf_dir).select(
+        "doc_id", "text", sentencepieces.encoded(F.col("text"), model).alias("ids")
+    )
+    both = docs.withColumn("back", sentencepieces.decoded(F.col("ids"), model))
+    return both.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_ids"),
+        F.crc32("ids").alias("ids_crc32"),
+        F.sha2("back", 256).alias("decoded_sha256"),
+        (F.coalesce("text", F.lit("")) == F.col("back")).alias("round_trip"),
+    )
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's quality; labels of the held-out fold teach nothing."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
@@ -79,11 +137,45 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_topk": op2_topk,
     "op3_substrings": op3_substrings,
     "op4_toxicity": op4_toxicity,
+    "op6_matroska": op6_matroska,
     "op7_secret_scan": op7_secret_scan,
+    "op8_sentencepieces": op8_sentencepieces,
     "op9_quality": op9_quality,
     "op10_packing": op10_packing,
 }
 
-ORACLES: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+ORACLES: dict[str, str] = {
+    "op2_topk": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e FROM embeddings
+            WHERE embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+        r AS (
+            SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+            FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+    "op3_substrings": f"""
+        WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+        x AS (
+            SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS win
+            FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)),
+        f AS (SELECT win, min(doc_id) AS first FROM x GROUP BY win),
+        g AS (
+            SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS at
+            FROM x JOIN f USING (win) WHERE doc_id > first),
+        p AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS at FROM d),
+        k AS (
+            SELECT p.doc_id, string_agg(p.w[p.at], ' ' ORDER BY p.at) AS kept, count(*) AS n
+            FROM p ANTI JOIN g ON p.doc_id = g.doc_id AND p.at = g.at GROUP BY p.doc_id)
+        SELECT d.doc_id, len(d.w) AS n_words, len(d.w) - coalesce(k.n, 0) AS n_removed,
+               sha256(coalesce(k.kept, '')) AS kept_sha256
+        FROM d LEFT JOIN k ON d.doc_id = k.doc_id""",
+}
