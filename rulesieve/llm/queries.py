@@ -9,7 +9,18 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rulesieve.llm import matroska, packing, quality, secret_scan, sentencepieces, simhash, substrings, topk, toxicity
+from rulesieve.llm import (
+    language_model,
+    matroska,
+    packing,
+    quality,
+    secret_scan,
+    sentencepieces,
+    simhash,
+    substrings,
+    topk,
+    toxicity,
+)
 from rulesieve.llm.common import documents, id_text
 
 WINDOW = 1024
@@ -46,6 +57,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(docs, documents(spark, sf_dir, "labels")).drop("text")
 
 
+def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's log10 probability under the mixture, learned from all but the held-out fold."""
+    return language_model.interpolated(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
 def op6_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text stored as samples in Matroska, and what is read back from the packets."""
     docs = documents(spark, sf_dir).select(
@@ -140,6 +156,7 @@ QUERIES = {
     "op2_topk": op2_topk,
     "op3_substrings": op3_substrings,
     "op4_toxicity": op4_toxicity,
+    "op5_language_model": op5_language_model,
     "op6_matroska": op6_matroska,
     "op7_secret_scan": op7_secret_scan,
     "op8_sentencepieces": op8_sentencepieces,
