@@ -77,7 +77,7 @@ class WordHashes(dict):
         self.seed = seed
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= CACHE_ENTRIES:
+        if len(self) >= CACHE_ENTRIES // 2:
             self.clear()
         value = xxhash.xxh64_intdigest(word, self.seed).to_bytes(8, "little")
         self[word] = value

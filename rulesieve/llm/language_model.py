@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 from rulesieve.llm.common import WordHashes, batches, fold, stored, text_bytes
 
 #: Tokens of a block, and n-grams of a bucket, about.
-BLOCK_TOKENS, BUCKET_KEYS = 2_500_000, 1_500_000
+BLOCK_TOKENS, BUCKET_KEYS = 1_500_000, 1_000_000
 #: Names of the token that ends a text and of the one before its first.
 END, BEGIN = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
@@ -53,13 +53,17 @@ def _unpacked(content: bytes, kind: str) -> np.ndarray:
 def _blocks(docs: DataFrame) -> DataFrame:
     """``docs(id, text, held)`` as blocks of tokens.
 
-    ``codes`` index the sorted ``words``. The name of a block is drawn at
+    ``codes`` index ``words``, the most frequent first. The name of a block is drawn at
     random, so the table must be stored before it is used.
     """
 
     def block(ids: list, held: list, parts: list[np.ndarray]) -> pa.RecordBatch:
         tokens = np.concatenate(parts)
-        words, codes = np.unique(tokens, return_inverse=True)
+        words, codes, often = np.unique(tokens, return_inverse=True, return_counts=True)
+        by_count = np.argsort(-often, kind="stable")
+        turn = np.empty(len(words), np.int64)
+        turn[by_count] = np.arange(len(words))
+        words, codes = words[by_count], turn[codes]
         lengths = np.array([len(p) for p in parts], "<i8")
         train = int(lengths[~np.array(held, bool)].sum())
         return pa.RecordBatch.from_arrays(
@@ -126,7 +130,7 @@ class Tokens:
 
 def _below(bits: int) -> int:
     """Bits of a key below those of the bucket."""
-    return min(48, 64 - bits)
+    return min(40, 64 - bits)
 
 
 def _keys(grams: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -146,8 +150,8 @@ def _requests(blocks: DataFrame, order: int, bits: int) -> DataFrame:
                     keys, place = _keys(block.grams(n), bits)
                     counts = np.bincount(place[train], minlength=len(keys)).astype("<u4")
                     cuts = np.searchsorted(keys >> np.uint64(_below(bits)), np.arange((1 << bits) + 1, dtype=np.uint64))
-                    low = (keys & np.uint64(0xFFFFFFFF)).astype("<u4")
-                    high = ((keys >> np.uint64(32)) & np.uint64(0xFFFF)).astype("<u2")
+                    low = keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :3]
+                    high = ((keys >> np.uint64(24)) & np.uint64(0xFFFF)).astype("<u2")
                     out = [
                         (bucket, low[a:b].tobytes(), _packed(np.diff(high[a:b], prepend=zero)), _packed(counts[a:b]))
                         for bucket, (a, b) in enumerate(zip(cuts, cuts[1:]))
@@ -175,13 +179,14 @@ def _replies(requests: DataFrame) -> DataFrame:
     """Per request the counts of its keys over all blocks; ``types`` counts trained keys, once a bucket."""
 
     def run(table: pa.Table) -> pa.Table:
-        lows = [np.frombuffer(x, "<u4") for x in table.column("low").to_pylist()]
         highs = [np.cumsum(_unpacked(x, "<u2"), dtype="<u2") for x in table.column("high").to_pylist()]
-        keys = np.concatenate(highs).astype(np.uint64) << np.uint64(32) | np.concatenate(lows)
+        keys = np.concatenate(highs).astype("<u8") << np.uint64(24)
+        low = np.frombuffer(b"".join(table.column("low").to_pylist()), np.uint8).reshape(-1, 3)
+        keys.view(np.uint8).reshape(-1, 8)[:, :3] = low
         counts = np.concatenate([_unpacked(x, "<u4") for x in table.column("counts").to_pylist()])
         found, place = np.unique(keys, return_inverse=True)
         totals = np.bincount(place, weights=counts, minlength=len(found)).astype("<u8")
-        ends = np.cumsum([len(x) for x in lows])
+        ends = np.cumsum([len(x) for x in highs])
         answers = [_packed(x.astype("<u8")) for x in np.split(totals[place], ends[:-1])]
         types = [int((totals > 0).sum())] + [0] * (len(answers) - 1)
         return pa.table(
@@ -249,9 +254,9 @@ def interpolated(
     ``folds`` is ``held_out`` are scored but teach nothing; a null id teaches.
     ``base_score`` is the add-one unigram log10 probability, ``score`` that of the
     mixture. Repeated rows teach and are scored each time. An empty table gives
-    an empty result. N-grams are told apart by 48 bits and those of their
-    bucket (64 at most), so the chance of a mix-up stays below one in a million
-    for each up to some 10 ** 13 tokens.
+    an empty result. N-grams are told apart by 40 bits and those of their
+    bucket (64 at most), so the chance of a mix-up stays near one in a million
+    for each however large the input.
     """
     held = F.coalesce(fold(docs[id_col].cast("long"), s.folds) == s.held_out, F.lit(False))
     given = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"), held.alias("held"))
@@ -319,8 +324,13 @@ def interpolated(
                 counts = [_unpacked(c, "<u8").astype(np.int64) for c in row["counts"]]
                 first = np.cumsum(lengths) - lengths
                 contexts = _contexts(counts, first, begun, trained)
-                p = np.column_stack([estimates(counts[::-1], contexts), np.full(len(counts[0]), 1 / (types + 1))])
-                mixed = (weights[context_classes(contexts[:-1] or contexts)] * p).sum(1)
+                scores = np.empty(len(counts[0]))
+                for at in range(0, len(scores), 1 << 18):  # bounds the memory of what follows
+                    own = slice(at, at + (1 << 18))
+                    seen = [c[own] for c in contexts]
+                    p = estimates([c[own] for c in counts[::-1]], seen)
+                    w = weights[context_classes(seen[:-1] or seen)]
+                    scores[own] = np.log10((w[:, :order] * p).sum(1) + w[:, order] / (types + 1))
                 base = np.log10((counts[0] + 1) / (trained + 1 * (types + 1)))
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -330,7 +340,7 @@ def interpolated(
                         pa.array(np.add.reduceat((counts[0] > 0).astype(np.int64), first)),
                         pa.array(np.full(len(lengths), trained)),
                         pa.array(np.add.reduceat(base, first)),
-                        pa.array(np.add.reduceat(np.log10(mixed), first)),
+                        pa.array(np.add.reduceat(scores, first)),
                     ],
                     ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
