@@ -28,8 +28,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from rulesieve.llm.common import WordHashes, batches, fresh, id_text, stored, text_bytes
 
-#: Largest size of a bitmap, in bits (32 MiB).
-MAX_BITMAP_BITS = 1 << 28
+#: Largest size of a bitmap, in bits (16 MiB).
+MAX_BITMAP_BITS = 1 << 27
 _BITMAP_BUCKET = 1 << 15  # bits per row of Spark's bitmap aggregate
 
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # odd multipliers of the two polynomials
