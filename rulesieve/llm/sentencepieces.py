@@ -22,13 +22,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, functions as F
 
-from rulesieve.llm.common import CACHE_ENTRIES
 
 MARK = "▁"
-# A run that no piece reaches beyond: marks with what follows them, or a line feed.
-_RUNS = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
+# A run that no piece reaches beyond: marks with what follows them, or a line feed;
+# where no piece holds a letter before a stop, letters end before it too.
+_RUNS = f"{MARK}*[^{MARK}\n]+|{MARK}+|\n"
+_STOPS = ".,;:!?#$%&*|"
+_LETTER = "[A-Za-z\u00c0-\u024f]"
+_RUNS_TO_STOPS = f"{MARK}*{_LETTER}+(?=[{_STOPS}])|" + _RUNS
 _LONGEST_KEPT = 64  # characters of a run that is remembered
-_PAIRS_KEPT = 2_000_000
+_RUNS_KEPT, _PAIRS_KEPT = 400_000, 1_000_000
 
 
 class Transducer:
@@ -55,6 +58,8 @@ class Transducer:
         inner = [name for name in self.piece if MARK in name.lstrip(MARK) or "\n" in name]
         if inner or len(self.bytes) != 256:
             raise ValueError("the model needs byte fallback and marks only at the beginning of pieces")
+        joined = re.compile(f"{_LETTER}[{_STOPS}]")
+        self.runs = re.compile(_RUNS if any(map(joined.search, self.piece)) else _RUNS_TO_STOPS)
         self.spelled = [b""] * size
         for value, i in self.bytes.items():
             self.spelled[i] = bytes([value])
@@ -124,7 +129,7 @@ class Transducer:
         if found is None:
             found = np.array(self.shortest_path(run), "<i4").tobytes()
             if len(run) <= _LONGEST_KEPT:
-                if len(self.known) >= CACHE_ENTRIES:
+                if len(self.known) >= _RUNS_KEPT:
                     self.known.clear()
                 self.known[run] = found
         return found
@@ -133,7 +138,7 @@ class Transducer:
         """Ids of a whole text as little-endian 32-bit numbers; an empty text has none."""
         if not text:
             return b""
-        return b"".join(map(self.ids, _RUNS.findall(MARK + text.replace(" ", MARK))))
+        return b"".join(map(self.ids, self.runs.findall(MARK + text.replace(" ", MARK))))
 
     def decode(self, ids: bytes) -> str:
         """The text of ids; bytes that are no UTF-8 become replacement characters."""
