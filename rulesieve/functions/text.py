@@ -6,7 +6,8 @@ from pyspark.sql import Column, functions as F
 
 from rulesieve.schema import PREVIEW_CHARS
 
-# Fixed value: the counter line that stored reports carry.
+# The counter line that stored reports carry, as it is written and as it is read.
+COUNTS_TEXT = "**Findings:** %d total — %d triggered, %d bypassed, %d unknown"
 COUNTS_LINE = r"(\d+)\s+total\s+—\s+(\d+)\s+triggered,\s+(\d+)\s+bypassed,\s+(\d+)\s+unknown"
 COUNT_NAMES = ("total", "triggered", "bypassed", "unknown")
 

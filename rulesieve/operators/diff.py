@@ -2,7 +2,7 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from rulesieve import schema
 from rulesieve.functions.ranks import category_rank, rank_in
@@ -11,9 +11,9 @@ KEYS = ("artifact_id", "rule_id", "category")
 
 
 def latest_by_key(findings: DataFrame, keys: Sequence[str] = KEYS, seq: str = "seq") -> DataFrame:
-    """One row per key, the last by ``seq``; combined before the shuffle."""
+    """One row per key, the last by ``seq`` (among equals the largest); combined before the shuffle."""
     rest = [c for c in findings.columns if c not in keys and c != seq]
-    last = F.max_by(F.struct(*rest), F.col(seq)).alias("_last")
+    last = F.max_by(F.struct(*rest), F.struct(seq, *rest)).alias("_last")
     return findings.groupBy(*keys).agg(last, F.max(seq).alias(seq)).select(*keys, seq, "_last.*")
 
 
@@ -22,19 +22,29 @@ def diff(
 ) -> DataFrame:
     """Keys added, removed and unchanged, with the newer row's attributes.
 
-    Repeated keys are reduced to the last row by ``seq``. Both sides are
-    aggregated together: one shuffle of pre-combined rows, no join.
+    Repeated keys are reduced to the last row by ``seq``; without it, or among
+    equal ``seq``, to the row with the largest attributes, so the result does not
+    depend on arrival. Both sides are aggregated together: one shuffle of
+    pre-combined rows, no join.
     """
     rest = [c for c in new.columns if c not in keys and c != seq]
+    return _changes(_side(old, F.lit(False), rest, keys, seq).unionByName(_side(new, F.lit(True), rest, keys, seq)), keys)
+
+
+def diff_marked(findings: DataFrame, is_new: str, keys: Sequence[str] = KEYS, seq: str | None = None) -> DataFrame:
+    """:func:`diff` of one table whose column ``is_new`` tells the sides apart."""
+    rest = [c for c in findings.columns if c not in keys and c not in (seq, is_new)]
+    return _changes(_side(findings, F.col(is_new), rest, keys, seq), keys)
+
+
+def _side(df: DataFrame, is_new: Column, rest: Sequence[str], keys: Sequence[str], seq: str | None) -> DataFrame:
     order = F.col(seq) if seq else F.lit(0)
+    return df.select(*keys, is_new.alias("_new"), order.alias("_seq"), F.struct(*rest).alias("_row"))
 
-    def side(df: DataFrame, is_new: bool) -> DataFrame:
-        row = F.struct(*rest)
-        return df.select(*keys, F.lit(is_new).alias("_new"), order.alias("_seq"), row.alias("_row"))
 
-    both = side(old, False).unionByName(side(new, True))
+def _changes(both: DataFrame, keys: Sequence[str]) -> DataFrame:
     last = both.groupBy(*keys).agg(
-        F.max_by("_row", F.struct("_new", "_seq")).alias("_last"),
+        F.max_by("_row", F.struct("_new", "_seq", "_row")).alias("_last"),
         F.max("_new").alias("_in_new"),
         F.min("_new").alias("_only_new"),
     )

@@ -32,20 +32,29 @@ def element_text(tag: str = "tag", attrs: str = "attrs") -> Column:
     return F.concat(F.col(tag), F.lit(" "), F.array_join(pairs, ""))
 
 
-def manifest_haystack(elements: DataFrame, segment: int = 4096, lookahead: int = 0) -> DataFrame:
+def manifest_haystack(elements: DataFrame, segment: int | None = None, lookahead: int | None = None) -> DataFrame:
     """One searchable string per artifact, in document order.
 
-    An artifact with more than ``segment`` element positions gets several rows,
-    so no task ever gathers a whole huge artifact. ``lookahead`` appends that
-    many characters of the following segments: with the longest pattern's
-    length minus one, a search over the rows finds exactly what a search over
-    the undivided string would.
+    By default an artifact is one row, whatever its size: a string that rules
+    search is one value. Only for a search of literals in huge artifacts,
+    ``segment`` cuts it into rows of so many element positions, and
+    ``lookahead``, which must then be named, appends that many characters of the
+    following ones: with the longest literal's length minus one, every literal
+    is found in some row if it is found in the undivided string; one that begins
+    in a lookahead is found in two rows. Rows without an artifact id are left
+    out; null positions come first.
     """
+    if segment is None:
+        lookahead = 0
+    elif lookahead is None:
+        raise ValueError("segments need a lookahead: the longest literal's length minus one")
     # The null test is what the join below implies for one of its sides; stated
     # for both, the two sides share one shuffle.
     parts = elements.where(F.col("artifact_id").isNotNull()).select(
         "artifact_id",
-        F.floor(F.col("elem_ord") / segment).cast("long").alias("segment"),
+        (F.lit(0) if segment is None else F.coalesce(F.floor(F.col("elem_ord") / segment), F.lit(-1)))
+        .cast("long")
+        .alias("segment"),
         F.struct("elem_ord", element_text().alias("text")).alias("part"),
     )
     texts = (
@@ -70,9 +79,9 @@ def manifest_haystack(elements: DataFrame, segment: int = 4096, lookahead: int =
     )
 
 
-def manifest_evidence(elements: DataFrame, longest_pattern: int, segment: int = 4096) -> DataFrame:
+def manifest_evidence(elements: DataFrame, segment: int | None = None, lookahead: int | None = None) -> DataFrame:
     """Manifest haystacks as evidence rows (see :func:`manifest_haystack`)."""
-    hay = manifest_haystack(elements, segment, max(longest_pattern - 1, 0))
+    hay = manifest_haystack(elements, segment, lookahead)
     return evidence(
         hay, "manifest", F.col("artifact_id"), F.lit("manifest"), F.col("segment"), F.lit(0), F.col("haystack")
     )

@@ -61,16 +61,17 @@ class PatternSet:
         table = pattern_rules(rules)
         if rules.isLocal():  # already on the driver, so no job is needed to look
             rows = _exploded(rules)
-        else:
-            # One character and one row over the bound are enough to notice excess.
-            clipped = table.withColumn("pattern", F.substring("pattern", 1, MAX_PATTERN_CHARS + 1))
-            rows = [r.asDict() for r in clipped.limit(MAX_PATTERNS + 1).collect()]
-        lengths = [len(r["pattern"] or "") for r in rows]
-        fits = (
-            len(rows) <= MAX_PATTERNS
-            and max(lengths, default=0) <= MAX_PATTERN_CHARS
-            and sum(lengths) <= MAX_TOTAL_CHARS
-        )
+            sizes = [(len(r["pattern"] or ""), len(r["rule_id"] or ""), len(r["kind"] or "")) for r in rows]
+            seen = len(sizes), max((s[0] for s in sizes), default=0), sum(map(sum, sizes))
+        else:  # sizes first, so that a catalogue over the bounds never reaches the driver
+            length = F.coalesce(F.char_length("pattern"), F.lit(0))
+            others = [F.coalesce(F.char_length(c), F.lit(0)) for c in ("rule_id", "kind")]
+            found = table.agg(F.count(F.lit(1)), F.max(length), F.sum(length + others[0] + others[1])).first()
+            seen = found[0], found[1] or 0, found[2] or 0
+            rows = None
+        fits = seen[0] <= MAX_PATTERNS and seen[1] <= MAX_PATTERN_CHARS and seen[2] <= MAX_TOTAL_CHARS
+        if fits and rows is None:
+            rows = [r.asDict() for r in table.collect()]
         return cls(rules, table, rows if fits else None)
 
     @classmethod
@@ -84,7 +85,7 @@ class PatternSet:
         if self.rows is None:
             return self.table
         small = local_table(self.table.sparkSession, self.rows, _PATTERN)
-        return F.broadcast(small)  # bounded by MAX_TOTAL_CHARS
+        return F.broadcast(small)  # patterns, rule ids and kinds are within MAX_TOTAL_CHARS
 
     def distinct(self, is_regex: bool, kinds: Sequence[str]) -> dict[str, list[str]]:
         """Distinct non-empty patterns per kind."""
@@ -258,13 +259,18 @@ def _match_distributed(
 ) -> DataFrame:
     parts = []
     if longest:
-        parts.append(_longest_from_hits(_contained(evidence, patterns, longest)))
+        # Numbered before anything is multiplied, so rows that repeat stay apart.
+        numbered = evidence.withColumn("_row", F.monotonically_increasing_id())
+        parts.append(_longest_from_hits(_contained(numbered, patterns, longest)))
     if contains:
         parts.append(_contained(evidence, patterns, contains).withColumn("match_pos", F.lit(0)))
     parts = [part.withColumn("is_regex", F.lit(False)) for part in parts]
     if regex:
         parts.append(_regex_blocks(evidence, patterns, regex))
     columns = [*schema.EVIDENCE.names, "match_pos", "is_regex", "pattern"]
+    if not parts:
+        nothing = {"match_pos": F.lit(0), "is_regex": F.lit(False), "pattern": F.lit("")}
+        return evidence.where("false").withColumns(nothing).select(*columns)
     hits = parts[0].select(*columns)
     for part in parts[1:]:
         hits = hits.unionByName(part.select(*columns))
@@ -286,7 +292,8 @@ def _contained(evidence: DataFrame, patterns: PatternSet, kinds: Sequence[str])
         "kind", "pattern", F.inline(pattern_pieces(F.col("pattern")))
     )
     shared = pieces.groupBy("kind", "size", "piece").agg(F.count("*").alias("n"))
-    rarest = F.min(F.struct("n", "piece", "size", "slot"))
+    # Among equally rare pieces a hash decides: the smallest numbers end in blanks, which text is full of.
+    rarest = F.min(F.struct("n", F.xxhash64("piece").alias("turn"), "piece", "size", "slot"))
     anchors = (
         pieces.join(shared, ["kind", "size", "piece"])
         .groupBy("kind", "pattern")
@@ -299,16 +306,21 @@ def _contained(evidence: DataFrame, patterns: PatternSet, kinds: Sequence[str])
     bits = bitmap_bits(sum(sizes.values()))
     known = text_pieces(F.col("value"), sorted(sizes), bits, piece_bitmap(anchors, bits))
     return (
-        evidence.select(*schema.EVIDENCE.names, F.inline(known))
+        evidence.select(*evidence.columns, F.inline(known))
         .join(anchors.drop("slot"), ["kind", "size", "piece"])
         .where(F.contains("value", F.col("pattern")))
-        .select(*schema.EVIDENCE.names, "pattern")
+        .select(*evidence.columns, "pattern")
     )
 
 
 def _longest_from_hits(contained: DataFrame) -> DataFrame:
     """Leftmost-longest matches from the literals each row is known to contain."""
-    rows = contained.groupBy(*schema.EVIDENCE.names).agg(F.collect_list("pattern").alias("literals"))
+    rest = F.struct(*[c for c in schema.EVIDENCE.names])
+    rows = (
+        contained.groupBy("_row")
+        .agg(F.collect_list("pattern").alias("literals"), F.first(rest).alias("_rest"))
+        .select("literals", "_rest.*")
+    )
     found = F.regexp_extract_all("value", _alternation(F.col("literals")), F.lit(0))
     return rows.select(*schema.EVIDENCE.names, F.posexplode(found).alias("match_pos", "pattern"))
 

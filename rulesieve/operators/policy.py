@@ -9,7 +9,9 @@ empty ``fields`` always does, and where nothing matches the verdict is unknown.
 ``pairs(artifact_id, profile_id)`` says which artifacts are evaluated against
 which profiles. The checks of one artifact are at most the catalogue, so they
 travel as one array: a pair is one row, every verdict and every count is
-computed within it, and no later step shuffles again.
+computed within it, and no later step shuffles again. A decision table of up to
+``MAX_SHARED_ROWS`` rows is read once and shared by all tasks; a larger one
+meets the findings by rule.
 """
 
 from collections.abc import Sequence
@@ -19,7 +21,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from rulesieve import __version__, schema
 from rulesieve.functions.ranks import category_rank, is_blocking, severity_rank, verdict_rank
 
-_CHUNK = 1000
+# Decision rows that every task may hold as one map.
+MAX_SHARED_ROWS = 2_000
 _CHECK = ("rule_id", "rule_name", "category", "severity", "behavior", "evidence")
 
 
@@ -69,29 +72,29 @@ def _decision_rows(conditions: DataFrame) -> DataFrame:
     if "detail" not in conditions.columns:
         conditions = conditions.withColumn("detail", F.lit(None).cast("string"))
     row = F.struct("row_no", F.map_entries("fields").alias("fields"), "verdict", "detail")
-    return conditions.groupBy("rule_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    return conditions.where("rule_id is not null").groupBy("rule_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
 
 
-def _checks(found: DataFrame, conditions: DataFrame, attributes: Sequence[str]) -> DataFrame:
-    """Findings (or catalogue rules) with their decision rows as one struct."""
+def _checks(found: DataFrame, attributes: Sequence[str], decisions: DataFrame | None = None) -> DataFrame:
+    """Findings (or catalogue rules) as one struct, with their decision rows if these are given."""
     ranks = {"category": category_rank().alias("category_rank"), "severity": severity_rank().alias("severity_rank")}
-    carried = [*attributes, *[ranks[a] for a in attributes if a in ranks]]
-    return found.join(_decision_rows(conditions), "rule_id", "left").withColumn(
-        "check", F.struct(*carried, "rows")
-    )
+    carried = [*dict.fromkeys(["rule_id", *attributes]), *[ranks[a] for a in attributes if a in ranks]]
+    if decisions is None:
+        return found.withColumn("check", F.struct(*carried))
+    return found.join(decisions, "rule_id", "left").withColumn("check", F.struct(*carried, "rows"))
 
 
 def _carried(attributes: Sequence[str]) -> list[str]:
     return [*attributes, *[f"{a}_rank" for a in attributes if a in ("category", "severity")]]
 
 
-def _decide(check: Column, profile: Column, attributes: Sequence[str]) -> Column:
+def _decide(check: Column, rows: Column, profile: Column, attributes: Sequence[str]) -> Column:
     def holds(field: Column) -> Column:
         return F.coalesce(F.element_at(profile, field["key"]) == field["value"], F.lit(False))
 
-    matching = F.filter(check["rows"], lambda row: F.forall(row["fields"], holds))
+    matching = F.filter(rows, lambda row: F.forall(row["fields"], holds))
     first = F.get(matching, F.lit(0))
-    note = F.when(check["rows"].isNull(), "no conditions for this rule").otherwise(
+    note = F.when(rows.isNull(), "no conditions for this rule").otherwise(
         "no condition row matches this profile"
     )
     return F.struct(
@@ -107,32 +110,34 @@ def evaluate_pairs(
     profiles: DataFrame,
     conditions: DataFrame,
     attributes: Sequence[str] = _CHECK,
-    chunks: int = 1,
 ) -> DataFrame:
     """One row per pair: ``(artifact_id, profile_id, profile, entries)``.
 
     ``entries`` holds a verdict per finding of the artifact and is empty, not
     missing, where there are none. Only the ``attributes`` of the findings are
-    carried along; counts and overall results need no more than the rule id.
-
-    An artifact has at most as many checks as the catalogue has rules. For a
-    catalogue of more than some thousands, ``chunks`` cuts them: a pair then has
-    one row per ``chunk``, which the functions below add up.
+    carried along; counts and overall results need no more than the rule id. A
+    pair whose profile is not among ``profiles`` knows no field, so what its
+    rules ask is unknown. An artifact has at most as many checks as the
+    catalogue has rules.
     """
-    chunk = F.pmod(F.xxhash64("rule_id"), F.lit(chunks)).cast("int")
-    per_artifact = (
-        _checks(findings, conditions, attributes)
-        .groupBy("artifact_id", chunk.alias("chunk"))
-        .agg(F.collect_list("check").alias("checks"))
-    )
-    every_chunk = F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))
-    spine = pairs.join(profiles, "profile_id").withColumn("chunk", every_chunk)
-    joined = spine.join(per_artifact, ["artifact_id", "chunk"], "left")
-    entries = F.transform("checks", lambda c: _decide(c, F.col("profile"), attributes))
+    decisions = _decision_rows(conditions)
+    shared = conditions.limit(MAX_SHARED_ROWS + 1).count() <= MAX_SHARED_ROWS
+    checks = _checks(findings, attributes, None if shared else decisions)
+    per_artifact = checks.groupBy("artifact_id").agg(F.collect_list("check").alias("checks"))
+    nothing_known = F.create_map().cast("map<string,boolean>")
+    spine = pairs.join(profiles, "profile_id", "left").withColumn("profile", F.coalesce("profile", nothing_known))
+    joined = spine.join(per_artifact, "artifact_id", "left")
+    if shared:
+        entry = F.struct("rule_id", "rows")
+        table = decisions.agg(F.map_from_entries(F.collect_list(entry)).alias("m")).scalar()
+        joined = joined.withColumn("decisions", table)
+        rows = lambda check: F.col("decisions")[check["rule_id"]]
+    else:
+        rows = lambda check: check["rows"]
+    entries = F.transform("checks", lambda c: _decide(c, rows(c), F.col("profile"), attributes))
     return joined.select(
         "artifact_id",
         "profile_id",
-        *(["chunk"] if chunks > 1 else []),
         "profile",
         F.coalesce(entries, F.array().cast(_entries_type(attributes))).alias("entries"),
     )
@@ -146,7 +151,8 @@ def _entries_type(attributes: Sequence[str]) -> str:
 def verdict_rows(evaluated: DataFrame) -> DataFrame:
     """Evaluated pairs as one row per (artifact, profile, rule)."""
     keys = [c for c in ("artifact_id", "profile_id") if c in evaluated.columns]
-    rows = evaluated.select(*keys, F.inline("entries"))
+    # The outer form: a plain inline would first test the size and so decide twice.
+    rows = evaluated.select(*keys, F.inline_outer("entries")).where("verdict is not null")
     return rows.drop("category_rank", "severity_rank")
 
 
@@ -163,12 +169,9 @@ def evaluate_blocking(
     profiles: DataFrame,
     conditions: DataFrame,
     attributes: Sequence[str] = _CHECK,
-    chunks: int = 1,
 ) -> DataFrame:
     """:func:`evaluate_pairs` for the findings that restrict the user."""
-    return evaluate_pairs(
-        findings.where(is_blocking()), pairs, profiles, conditions, attributes, chunks
-    )
+    return evaluate_pairs(findings.where(is_blocking()), pairs, profiles, conditions, attributes)
 
 
 def evaluate_catalogue(
@@ -176,13 +179,12 @@ def evaluate_catalogue(
     profiles: DataFrame,
     conditions: DataFrame,
     excluded: Sequence[str] = schema.ARTIFACT_SIDE_CATEGORIES,
-    chunk: int = _CHUNK,
 ) -> DataFrame:
     """Which rules of the catalogue fire for a profile, without any artifact.
 
     Rules without conditions and rules of the ``excluded`` categories are left
-    out. The catalogue is cut into chunks of about ``chunk`` rules; a profile
-    meets each chunk once, by key.
+    out. The result has a row for every profile and remaining rule; the rules
+    reach each profile as one shared array, so nothing is joined or shuffled.
     """
     found = (
         rules.where(~F.col("category").isin(*excluded))
@@ -196,16 +198,10 @@ def evaluate_catalogue(
         )
         .join(conditions.select("rule_id").distinct(), "rule_id", "left_semi")
     )
-    n_chunks = found.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / chunk)).cast("int")).scalar()
-    chunks = (
-        _checks(found, conditions, _CHECK)
-        .withColumn("chunk", F.pmod(F.xxhash64("rule_id"), n_chunks).cast("int"))
-        .groupBy("chunk")
-        .agg(F.collect_list("check").alias("checks"))
-    )
-    spread = profiles.withColumn("chunk", F.explode(F.sequence(F.lit(0), n_chunks - 1)))
-    entries = F.transform("checks", lambda c: _decide(c, F.col("profile"), _CHECK))
-    return verdict_rows(spread.join(chunks, "chunk").select("profile_id", entries.alias("entries")))
+    checks = _checks(found, _CHECK, _decision_rows(conditions)).agg(F.collect_list("check").alias("checks")).scalar()
+    entries = F.transform("checks", lambda c: _decide(c, c["rows"], F.col("profile"), _CHECK))
+    every = profiles.withColumn("checks", checks)
+    return verdict_rows(every.select("profile_id", entries.alias("entries")))
 
 
 # --- what is reported of it --------------------------------------------------
@@ -217,16 +213,12 @@ def _count(verdict: str) -> Column:
 
 def verdict_counts(evaluated: DataFrame) -> DataFrame:
     """Verdicts per (artifact, profile), zeros included."""
-    counts = evaluated.select(
+    return evaluated.select(
         "artifact_id",
         "profile_id",
         *[_count(v).alias(f"n_{v}") for v in schema.VERDICTS],
         F.size("entries").cast("long").alias("n_total"),
     )
-    if "chunk" not in evaluated.columns:
-        return counts
-    numbers = [c for c in counts.columns if c.startswith("n_")]
-    return counts.groupBy("artifact_id", "profile_id").agg(*[F.sum(c).alias(c) for c in numbers])
 
 
 def overall(evaluated: DataFrame) -> DataFrame:
@@ -244,8 +236,7 @@ def overall(evaluated: DataFrame) -> DataFrame:
 def verdict_documents(evaluated: DataFrame) -> DataFrame:
     """One JSON document per (artifact, profile): header, summary, entries.
 
-    Entries follow report order: category, severity, rule. Where pairs are cut
-    into chunks there is a document per chunk, with a summary of its own.
+    Entries follow report order: category, severity, rule.
     """
     ranked = F.array_sort(
         F.transform(
@@ -272,8 +263,7 @@ def verdict_documents(evaluated: DataFrame) -> DataFrame:
         summary.alias("summary"),
         F.transform(ranked, lambda x: x["entry"]).alias("entries"),
     )
-    keys = [c for c in ("artifact_id", "profile_id", "chunk") if c in evaluated.columns]
-    return evaluated.select(*keys, F.to_json(document).alias("document"))
+    return evaluated.select("artifact_id", "profile_id", F.to_json(document).alias("document"))
 
 
 def order_verdicts(verdicts: DataFrame) -> DataFrame:

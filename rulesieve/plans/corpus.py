@@ -10,8 +10,9 @@ from rulesieve.operators.findings import scan
 from rulesieve.operators.matching import PatternSet
 from rulesieve.operators.policy import profile_map
 from rulesieve.plans import pack
-from rulesieve.session import spread_small
+from rulesieve.session import scratch_path
 from rulesieve.sources.catalogue import local_table, rules_frame
+from rulesieve.sources.files import read_findings, write_findings
 
 
 # Columns of the given tables; stated, so that no job has to read footers first.
@@ -64,7 +65,7 @@ def guidance(spark: SparkSession) -> DataFrame:
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, lang, source, ordinal, value), one row per line."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
-    return ev.explode_strings(spread_small(docs, "doc_id"))
+    return ev.explode_strings(docs)
 
 
 def line_evidence(lines: DataFrame, artifact: str = "doc_id") -> DataFrame:
@@ -122,7 +123,7 @@ def order_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_returnflag"
     )
-    return spread_small(lines, "l_orderkey").select(
+    return lines.select(
         F.col("l_orderkey").cast("string").alias("artifact_id"),
         F.col("l_linenumber").cast("long").alias("elem_ord"),
         F.lit("item").alias("tag"),
@@ -146,13 +147,18 @@ def customer_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def longest_pattern(kind: str) -> int:
-    return max(len(p) for r in pack.RULES if r["evidence_location"] == kind for p in r["patterns"])
+def page_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of the pages' markup as code strings of their host."""
+    pages = table(spark, sf_dir, "pages").select(host().alias("host"), "page_id", F.col("html").alias("text"))
+    lines = ev.explode_strings(pages)
+    return ev.evidence(
+        lines, "dex_string", F.col("host"), F.col("page_id"), F.col("page_id"), F.col("ordinal"), F.col("value")
+    )
 
 
 def all_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every kind: document lines, URLs, URL paths, order manifests."""
-    manifests = ev.manifest_evidence(order_elements(spark, sf_dir), longest_pattern("manifest"))
+    manifests = ev.manifest_evidence(order_elements(spark, sf_dir))
     return ev.build_evidence(
         [document_evidence(spark, sf_dir), page_evidence(spark, sf_dir), manifests]
     )
@@ -178,6 +184,14 @@ def findings(spark: SparkSession, sf_dir: str, artifact: str = "doc_id") -> Data
     return scan(document_evidence(spark, sf_dir, artifact), catalogue(spark))
 
 
+@lru_cache(maxsize=16)
+def stored_findings(spark: SparkSession, sf_dir: str, artifact: str) -> DataFrame:
+    """Findings scanned once and stored in the shared folder; evaluations read them from there."""
+    path = scratch_path(spark, "findings")
+    write_findings(findings(spark, sf_dir, artifact), path)
+    return read_findings(spark, path)
+
+
 # --- catalogues that grow with the data --------------------------------------
 
 

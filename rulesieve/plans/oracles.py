@@ -214,10 +214,16 @@ NO_MATCH = """coalesce(d.verdict, 'unknown') AS verdict,
        ELSE 'no conditions for this rule' END AS detail"""
 
 
-def with_verdicts(select: str, where: str = "TRUE") -> str:
+# The same, unknown as a whole where the clicks are.
+UNPROFILED = PROFILES_LONG.replace("profile_fields AS", "all_fields AS") + """,
+profile_fields AS (SELECT * FROM all_fields WHERE profile_id IN
+  (SELECT profile_id FROM all_fields WHERE field = 'click' AND known IS NOT NULL))"""
+
+
+def with_verdicts(select: str, where: str = "TRUE", profiles: str = PROFILES_LONG) -> str:
     verdict = NO_MATCH.format(rule="f.rule_id")
     return f"""WITH {RULES}, {PATTERNS}, {LINES}, {line_findings("source")}, {COND}, {COND_FIELDS},
-{PROFILES_LONG}, {PAIRS}, {DECIDED},
+{profiles}, {PAIRS}, {DECIDED},
 verdicts AS (
   SELECT f.*, p.profile_id, {verdict}
   FROM findings f JOIN pairs p ON p.artifact_id = f.artifact_id
@@ -312,7 +318,7 @@ ORACLES: dict[str, str] = {
     "catalogue_condition_gaps": f"""WITH r AS (SELECT CAST(p_partkey AS VARCHAR) AS id,
           {pick(schema.CATEGORIES, 'p_size')} AS category FROM part),
         c AS (SELECT DISTINCT l_partkey || CASE WHEN l_returnflag = 'R' THEN 'R' ELSE '' END AS id
-              FROM lineitem WHERE l_quantity = 50)
+              FROM lineitem)
         SELECT 'duplicate_id' AS "check", id AS subject, count(*) AS n FROM r GROUP BY id HAVING count(*) > 1
         UNION ALL SELECT 'empty_category', c, CAST(0 AS BIGINT) FROM
           (SELECT unnest([{", ".join(lit(c) for c in schema.CATEGORIES)}]) AS c)
@@ -325,7 +331,7 @@ ORACLES: dict[str, str] = {
     "catalogue_by_category": f"""WITH {PART_RULES} SELECT id, name, category, severity FROM part_rules
         WHERE category = 'anti_hooking'""",
     "catalogue_by_id": f"""WITH {PART_RULES} SELECT id, category, behavior FROM part_rules WHERE id IN
-        (SELECT r.id FROM part_rules r JOIN lineitem l ON l.l_partkey = r.p_partkey WHERE l_quantity = 50)""",
+        (SELECT r.id FROM part_rules r JOIN lineitem l ON l.l_partkey = r.p_partkey)""",
     "catalogue_patterns": f"""WITH {PART_RULES} SELECT 'dex_string' AS kind, pattern,
         count(DISTINCT id) AS n_rules, min(id) AS first_rule_id
         FROM (SELECT id, unnest(patterns) AS pattern FROM part_rules) GROUP BY pattern""",
@@ -336,7 +342,7 @@ ORACLES: dict[str, str] = {
     "history_upsert": f"""WITH {HISTORY_ROWS} SELECT label, path, report, created_at
         FROM ({_LATEST.format(order="seq")})""",
     "history_append": f"""WITH {HISTORY_ROWS} SELECT label, path, report, created_at
-        FROM ({_LATEST.format(order="path")})""",
+        FROM ({_LATEST.format(order="seq")})""",
     "history_cleared": """SELECT count(DISTINCT o_orderdate) AS rows_before, CAST(0 AS BIGINT) AS rows_after
         FROM orders""",
     "history_listing": """SELECT event_type AS label, 'event/' || event_id AS path, epoch_us(ts) // 1000 AS created_at,
@@ -399,6 +405,12 @@ ORACLES: dict[str, str] = {
     "match_longest_pages": SMALL + f"""{PAGE_EVIDENCE},
         m AS ({longest("ev", "zip_entry")} UNION ALL BY NAME {longest("ev", "native_lib_name")})
         SELECT {MATCH_COLUMNS} FROM m""",
+    "match_page_markup": SMALL + f"""markup AS (SELECT {HOST} AS artifact_id, page_id,
+          unnest(string_split(html, chr(10))) AS value,
+          CAST(generate_subscripts(string_split(html, chr(10)), 1) - 1 AS INTEGER) AS ordinal FROM pages),
+        ev AS (SELECT artifact_id, 'dex_string' AS kind, CAST(page_id AS VARCHAR) AS container,
+          page_id AS container_ord, ordinal, value FROM markup),
+        m AS ({longest("ev", "dex_string")}) SELECT {MATCH_COLUMNS} FROM m""",
     "match_regex_documents": SMALL + f"""{LINE_EVIDENCE}, m AS ({by_pattern("ev", True)})
         SELECT {MATCH_COLUMNS} FROM m""",
     "match_entry_names": SMALL + f"""{PAGE_EVIDENCE}, m AS ({by_pattern("ev", False, "e.kind = 'zip_entry'")})
@@ -440,6 +452,20 @@ ORACLES: dict[str, str] = {
         QUALIFY row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) <= {LARGE_COUNT}""",
     "scan_outcome": budget(BYTE_LIMIT, 40),
     "scan_outcome_defaults": budget(schema.MAX_TOTAL_BYTES, schema.MAX_CONTAINERS),
+    "budgeted_findings": f"""WITH {RULES}, {PATTERNS},
+        kept AS (SELECT doc_id FROM (SELECT *, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id
+            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS used
+          FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents)
+          WHERE rn <= 40) WHERE used <= {BYTE_LIMIT}),
+        {LINES.replace("FROM documents", "FROM documents WHERE doc_id IN (SELECT doc_id FROM kept)")},
+        {line_findings("source")}, o AS ({budget(BYTE_LIMIT, 40)}),
+        spine AS (SELECT source AS artifact_id FROM documents UNION SELECT lang FROM documents),
+        n AS (SELECT artifact_id, count(*) AS n_findings, string_agg(rule_id, ',' ORDER BY rule_id) AS rule_ids
+              FROM findings GROUP BY artifact_id)
+        SELECT s.artifact_id, coalesce(n_containers, 0) AS n_containers, coalesce(n_kept, 0) AS n_kept,
+          coalesce(outcome, 'ok') AS outcome, outcome_reason, coalesce(at_count_cap, FALSE) AS at_count_cap,
+          coalesce(n_findings, 0) AS n_findings, coalesce(rule_ids, '') AS rule_ids
+        FROM spine s LEFT JOIN o USING (artifact_id) LEFT JOIN n USING (artifact_id)""",
     # report tables
     "document_summary": with_findings(f"""SELECT CAST(doc_id AS VARCHAR) AS artifact_id, n_chars AS size_bytes,
         (SELECT count(*) FROM findings f WHERE f.artifact_id = CAST(doc_id AS VARCHAR)) AS n_findings,
@@ -483,6 +509,8 @@ ORACLES: dict[str, str] = {
         FROM e""",
     "profiles_written": f"WITH {PROFILES_LONG}, {PROFILE_JSON} SELECT profile_id, profile FROM profile_json",
     "verdicts": with_verdicts("SELECT artifact_id, profile_id, rule_id, verdict, detail FROM verdicts"),
+    "unprofiled_verdicts": with_verdicts(
+        "SELECT artifact_id, profile_id, rule_id, verdict FROM verdicts", profiles=UNPROFILED),
     "blocking_verdicts": with_verdicts("SELECT artifact_id, profile_id, rule_id, verdict FROM verdicts", BLOCKING),
     "catalogue_verdicts": f"""WITH {RULES}, {COND}, {COND_FIELDS}, {PROFILES_LONG}, {DECIDED}
         SELECT p.profile_id, r.id AS rule_id, {NO_MATCH.format(rule="r.id")}

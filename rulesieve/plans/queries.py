@@ -8,7 +8,7 @@ from rulesieve import schema
 from rulesieve.functions import text as tx
 from rulesieve.operators import budgets, diff, evidence as ev, findings as fi, matching, policy, report
 from rulesieve.plans import corpus, pack
-from rulesieve.session import scratch_path, spread_small
+from rulesieve.session import scratch_path
 from rulesieve.sources import catalogue, files, history
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,13 +33,6 @@ def _joined(column: str, separator: str = ",") -> Column:
 # --- sources and sinks -------------------------------------------------------
 
 
-@query
-def table_inventory(spark, sf_dir):
-    found = files.package_inventory(spark, sf_dir, ("parquet",))
-    name = F.element_at(F.split("path", "/"), -1)
-    return found.select(name.alias("file_name"), "length", "ext")
-
-
 @query
 def text_fingerprint(spark, sf_dir):
     return corpus.table(spark, sf_dir, "documents").select(
@@ -61,7 +54,7 @@ def catalogue_load(spark, sf_dir):
         "behavior", F.when(F.col("behavior") != "unknown", F.col("behavior"))
     )
     stored.drop("is_regex").withColumnRenamed("guidance_key", "bypass_hint").write.json(path)
-    rules = catalogue.load_rules(spark, path)
+    rules = catalogue.load_rules(spark, path, fmt="json")
     return rules.withColumn("patterns", _joined("patterns", "|"))
 
 
@@ -73,8 +66,8 @@ def catalogue_violations(spark, sf_dir):
 
 @query
 def catalogue_condition_gaps(spark, sf_dir):
-    """Missing conditions in both directions: parts never ordered at full
-    quantity, and returned full-quantity orders, which are named apart."""
+    """Missing conditions in both directions: parts never ordered, and returned
+    orders, which are named apart."""
     number = F.col("p_size").cast("long")
     rules = corpus.table(spark, sf_dir, "part").select(
         F.col("p_partkey").cast("string").alias("id"),
@@ -84,7 +77,6 @@ def catalogue_condition_gaps(spark, sf_dir):
     )
     conditions = (
         corpus.table(spark, sf_dir, "lineitem")
-        .where("l_quantity = 50")
         .select(F.concat("l_partkey", F.when(F.col("l_returnflag") == "R", "R").otherwise("")).alias("rule_id"))
     )
     return catalogue.rule_violations(rules, conditions)
@@ -103,9 +95,9 @@ def catalogue_by_category(spark, sf_dir):
 
 @query
 def catalogue_by_id(spark, sf_dir):
-    """Rules of the parts that were ordered at full quantity."""
+    """Rules of the parts that were ordered."""
     rules = corpus.part_rules(spark, sf_dir)
-    ordered = corpus.table(spark, sf_dir, "lineitem").where("l_quantity = 50").select("l_partkey")
+    ordered = corpus.table(spark, sf_dir, "lineitem").select("l_partkey")
     parts = corpus.table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("l_partkey"), F.concat_ws("/", "p_name", "p_brand").alias("id")
     )
@@ -161,7 +153,7 @@ def history_upsert(spark, sf_dir):
 def history_append(spark, sf_dir):
     """The same through storage: two batches appended, resolved on read."""
     path = scratch_path(spark, "history")
-    rows = _history(spark, sf_dir).drop("seq")
+    rows = _history(spark, sf_dir)
     history.append_history(rows.where("status = 'F'"), path, 0)
     history.append_history(rows.where("status <> 'F'"), path, 1)
     return history.read_history(spark, path)
@@ -171,10 +163,11 @@ def history_append(spark, sf_dir):
 def history_cleared(spark, sf_dir):
     path = scratch_path(spark, "history")
     history.append_history(_history(spark, sf_dir), path, 0)
-    before = history.read_history(spark, path).count()
+    counted = scratch_path(spark, "count")
+    history.read_history(spark, path).agg(F.count("*").alias("rows_before")).write.parquet(counted)
     history.clear_history(spark, path)
     after = history.read_history(spark, path).agg(F.count("*").alias("rows_after"))
-    return after.withColumn("rows_before", F.lit(before).cast("long"))
+    return after.withColumn("rows_before", spark.read.parquet(counted).scalar())
 
 
 @query
@@ -291,7 +284,7 @@ def report_counts(spark, sf_dir):
         F.count_if(status == "O").alias("b"),
         F.count_if(status == "P").alias("c"),
     )
-    line = F.format_string("**Findings:** %d total — %d triggered, %d bypassed, %d unknown", "t", "a", "b", "c")
+    line = F.format_string(tx.COUNTS_TEXT, "t", "a", "b", "c")
     stored = counts.select("o_custkey", F.when(F.col("c") > 0, line).otherwise("no counters").alias("report"))
     parsed = stored.select("o_custkey", tx.parse_counts(F.col("report")).alias("p"))
     return parsed.select("o_custkey", "p.*")
@@ -345,6 +338,12 @@ def match_longest_pages(spark, sf_dir):
     return matching.match_longest(corpus.page_evidence(spark, sf_dir), corpus.catalogue(spark)).select(*_MATCH)
 
 
+@query
+def match_page_markup(spark, sf_dir):
+    """The whole markup of all pages, line by line."""
+    return matching.match_longest(corpus.page_markup(spark, sf_dir), corpus.catalogue(spark)).select(*_MATCH)
+
+
 @query
 def match_regex_documents(spark, sf_dir):
     lines = corpus.document_evidence(spark, sf_dir)
@@ -448,7 +447,7 @@ def byte_budget_sources(spark, sf_dir):
 @query
 def byte_budget_orders(spark, sf_dir):
     """Line quantities of an order while they add up to the limit."""
-    lines = spread_small(corpus.table(spark, sf_dir, "lineitem"), "l_orderkey").select(
+    lines = corpus.table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("artifact_id"),
         F.col("l_linenumber").alias("container_ord"),
         F.col("l_partkey"),
@@ -465,12 +464,12 @@ def first_orders(spark, sf_dir):
     orders = corpus.table(spark, sf_dir, "orders").select(
         F.col("o_custkey").alias("artifact_id"), F.col("o_orderkey").alias("container_ord"), "o_orderstatus"
     )
-    return budgets.first_n(orders)
+    return budgets.first_n(orders, schema.MAX_CONTAINERS)
 
 
 @query
 def first_orders_large(spark, sf_dir):
-    """A count too large to be pruned before the shuffle, per order status."""
+    """A large count, per order status."""
     orders = corpus.table(spark, sf_dir, "orders").select(
         F.col("o_orderstatus").alias("artifact_id"), F.col("o_orderkey").alias("container_ord"), "o_custkey"
     )
@@ -487,7 +486,21 @@ def scan_outcome(spark, sf_dir):
 @query
 def scan_outcome_defaults(spark, sf_dir):
     entries = corpus.document_entries(spark, sf_dir)
-    return budgets.outcome(budgets.apply_budget(entries))
+    limits = schema.MAX_TOTAL_BYTES, schema.MAX_CONTAINERS
+    return budgets.outcome(budgets.apply_budget(entries, *limits), *limits)
+
+
+@query
+def budgeted_findings(spark, sf_dir):
+    """A scan under a budget: outcome and findings per source; languages, which
+    have no containers, stand for artifacts with nothing to scan."""
+    kept = budgets.apply_budget(corpus.document_entries(spark, sf_dir), BYTE_LIMIT, 40)
+    docs = corpus.table(spark, sf_dir, "documents")
+    spine = docs.select(F.col("source").alias("artifact_id")).union(docs.select("lang")).distinct()
+    lines = corpus.document_evidence(spark, sf_dir, "source")
+    found = fi.scan(lines, corpus.catalogue(spark), containers=kept)
+    scanned = fi.scan_report(budgets.outcome(kept, BYTE_LIMIT, 40, spine), found)
+    return scanned.withColumn("rule_ids", _joined("rule_ids"))
 
 
 # --- report tables -----------------------------------------------------------
@@ -550,13 +563,14 @@ def rule_prevalence(spark, sf_dir):
 # --- diff --------------------------------------------------------------------
 
 
-def _two_corpora(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Findings per language: over the sources before the boundary, and the rest."""
-    lines = corpus.document_lines(spark, sf_dir)
-    rules = corpus.catalogue(spark)
-    old = corpus.line_evidence(lines.where(F.col("source") < DIFF_BOUNDARY), "lang")
-    new = corpus.line_evidence(lines.where(F.col("source") >= DIFF_BOUNDARY), "lang")
-    return fi.scan(old, rules), fi.scan(new, rules)
+def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings per language compared: over the sources before the boundary, and
+    the rest. Both are found in one scan, told apart by the artifact's name."""
+    side = F.when(F.col("source") >= DIFF_BOUNDARY, "new/").otherwise("old/")
+    lines = corpus.document_lines(spark, sf_dir).withColumn("lang", F.concat(side, "lang"))
+    found = fi.scan(corpus.line_evidence(lines, "lang"), corpus.catalogue(spark))
+    marked = found.withColumn("is_new", F.startswith("artifact_id", F.lit("new/")))
+    return diff.diff_marked(marked.withColumn("artifact_id", F.substring("artifact_id", 5, 1_000)), "is_new")
 
 
 @query
@@ -572,18 +586,18 @@ def latest_findings(spark, sf_dir):
 
 @query
 def findings_diff(spark, sf_dir):
-    changes = diff.diff(*_two_corpora(spark, sf_dir))
+    changes = _changes(spark, sf_dir)
     return changes.select("artifact_id", "rule_id", "category", "status", "severity", "evidence")
 
 
 @query
 def diff_counts(spark, sf_dir):
-    return diff.diff_counts(diff.diff(*_two_corpora(spark, sf_dir)))
+    return diff.diff_counts(_changes(spark, sf_dir))
 
 
 @query
 def ordered_diff(spark, sf_dir):
-    changes = diff.order_diff(diff.diff(*_two_corpora(spark, sf_dir)))
+    changes = diff.order_diff(_changes(spark, sf_dir))
     return changes.select("status", "category", "rule_id", "artifact_id", "behavior")
 
 
@@ -601,14 +615,14 @@ def host_diff(spark, sf_dir):
 
 
 def _evaluated(
-    spark: SparkSession, sf_dir: str, *attributes: str, blocking: bool = True
+    spark: SparkSession, sf_dir: str, *attributes: str, blocking: bool = True, profiles: DataFrame | None = None
 ) -> DataFrame:
-    """Findings per source, for the users who met it, carrying some attributes."""
+    """Stored findings per source, for the users who met it, carrying some attributes."""
     evaluate = policy.evaluate_blocking if blocking else policy.evaluate_pairs
     return evaluate(
-        corpus.findings(spark, sf_dir, "source"),
+        corpus.stored_findings(spark, sf_dir, "source"),
         corpus.pairs(spark, sf_dir),
-        corpus.profile_maps(spark, sf_dir),
+        corpus.profile_maps(spark, sf_dir) if profiles is None else profiles,
         corpus.conditions(spark),
         attributes or ("rule_id",),
     )
@@ -662,6 +676,15 @@ def verdict_counts(spark, sf_dir):
     return policy.verdict_counts(_evaluated(spark, sf_dir))
 
 
+@query
+def unprofiled_verdicts(spark, sf_dir):
+    """Only users whose clicks are known have a profile; the others' pairs stay."""
+    known = corpus.profile_maps(spark, sf_dir).where(F.col("profile")["click"].isNotNull())
+    return policy.verdict_rows(_evaluated(spark, sf_dir, blocking=False, profiles=known)).select(
+        "artifact_id", "profile_id", "rule_id", "verdict"
+    )
+
+
 @query
 def overall_verdict(spark, sf_dir):
     return policy.overall(_evaluated(spark, sf_dir)).select("artifact_id", "profile_id", "overall")

@@ -28,7 +28,6 @@ DEFAULT_BEHAVIOR = "unknown"
 EVIDENCE_CAP = 3
 MAX_TOTAL_BYTES = 256 * 1024 * 1024
 MAX_CONTAINERS = 10
-MAX_TOTAL_STRINGS = 4_000_000
 PREVIEW_CHARS = 200
 
 

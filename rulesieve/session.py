@@ -1,9 +1,10 @@
 """Session settings and the shared scratch folder."""
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 # Settings the plans here rely on; all are ordinary Spark options.
 RECOMMENDED_CONF = {
@@ -22,6 +23,8 @@ def local_session(cores: int = 8, memory: str = "8g", app: str = "rulesieve") ->
         builder = builder.config(key, value)
     return (
         builder.config("spark.driver.memory", memory)
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-"))
+        .config("spark.sql.files.maxPartitionBytes", "2m")  # splits for all cores, as the tables are small
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -29,26 +32,20 @@ def local_session(cores: int = 8, memory: str = "8g", app: str = "rulesieve") ->
     )
 
 
+class NoSharedFolder(RuntimeError):
+    """``spark.checkpoint.dir`` names no folder."""
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder the cluster shares (``spark.checkpoint.dir``).
+    """A fresh path in the folder that the cluster shares (``spark.checkpoint.dir``).
 
-    Only where that setting is absent, as in local tests, a temporary folder of
-    this machine is made and used instead.
+    Without that setting there is no folder that all executors see, so this is
+    an error; only where driver and executors are one process (``local``) a
+    temporary folder serves.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", None) or ""):
+            raise NoSharedFolder("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="spark-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def spread_small(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-partition a scan that is too small to give every core a split.
-
-    A scan above ``cores x openCostInBytes`` is returned as it is, so a large
-    table is never shuffled for this.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    open_cost = int(spark.conf.get("spark.sql.files.openCostInBytes", "4194304").rstrip("bB"))
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores, *keys) if size <= cores * open_cost else df

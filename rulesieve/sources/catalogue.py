@@ -9,23 +9,56 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from rulesieve import schema
 
 
-class EmptyCatalogue(ValueError):
+class BadCatalogue(ValueError):
+    """A catalogue with rules that cannot be used."""
+
+
+class EmptyCatalogue(BadCatalogue):
     """A catalogue without any rule."""
 
 
-def load_rules(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+# Columns with a fixed set of values.
+ENUMERATIONS = {
+    "category": schema.CATEGORIES,
+    "severity": schema.SEVERITIES,
+    "behavior": schema.BEHAVIORS,
+    "evidence_location": schema.KINDS,
+}
+
+
+def _unknown(column: str) -> Column:
+    return F.col(column).isNull() | ~F.col(column).isin(*ENUMERATIONS[column])
+
+
+def load_rules(spark: SparkSession, path: str, multiline: bool = False, fmt: str | None = None) -> DataFrame:
     """Rules from JSON lines, JSON arrays (``multiline``) or YAML, fixed schema.
 
-    Missing ``behavior`` becomes ``unknown``, missing ``is_regex`` false; the
-    guidance key is optional. An empty catalogue is an error.
+    ``fmt`` is ``json`` or ``yaml``; it may be left out where the path ends like
+    such a file, and must be named for a folder. Missing ``behavior`` becomes
+    ``unknown``, missing ``is_regex`` false; the guidance key is optional. An
+    empty catalogue, faulty syntax, a rule without id and a category, severity,
+    behavior or location that is not in its enumeration are errors.
     """
-    if path.lower().endswith((".yaml", ".yml")):
+    ending = path.lower().rpartition(".")[2]
+    fmt = fmt or {"yaml": "yaml", "yml": "yaml", "json": "json", "jsonl": "json", "ndjson": "json"}.get(ending)
+    if fmt == "yaml":
         rules = _read_yaml(spark, path)
+    elif fmt == "json":
+        rules = spark.read.schema(_INPUT).option("multiLine", multiline).option("mode", "FAILFAST").json(path)
     else:
-        rules = spark.read.schema(_INPUT).option("multiLine", multiline).json(path)
+        raise BadCatalogue(f"name the format of {path}: json or yaml")
     rules = with_defaults(rules)
-    if rules.isEmpty():
+    # One pass looks at everything.
+    found = rules.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(F.col("id").isNull()).alias("id"),
+        *[F.count_if(_unknown(column)).alias(column) for column in ENUMERATIONS],
+    ).first()
+    if not found.n:
         raise EmptyCatalogue(f"no rules in {path}")
+    bad = [f"{found[c]} with a missing or unknown {c}" for c in ("id", *ENUMERATIONS) if found[c]]
+    if bad:
+        raise BadCatalogue(f"rules in {path}: {', '.join(bad)}")
     return rules
 
 
@@ -82,9 +115,10 @@ def _read_yaml(spark: SparkSession, path: str) -> DataFrame:
 
         for batch in batches:
             for text in batch.column("value").to_pylist():
-                rows = [
-                    {name: rule.get(name) for name in names} for rule in (yaml.safe_load(text) or [])
-                ]
+                listed = yaml.safe_load(text) or []
+                if not isinstance(listed, list) or not all(isinstance(rule, dict) for rule in listed):
+                    raise ValueError("a rule file must hold a list of rules")
+                rows = [{name: rule.get(name) for name in names} for rule in listed]
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
@@ -117,7 +151,8 @@ def pattern_table(rules: DataFrame) -> DataFrame:
 def rule_violations(rules: DataFrame, conditions: DataFrame | None = None) -> DataFrame:
     """Catalogue checks as rows ``(check, subject, n)``; empty when all is well.
 
-    With ``conditions`` it also reports rules no condition speaks about and
+    Null and unknown values of enumerations are violations too. With
+    ``conditions`` it also reports rules no condition speaks about and
     conditions whose rule does not exist.
     """
 
@@ -132,13 +167,19 @@ def rule_violations(rules: DataFrame, conditions: DataFrame | None = None) -> Da
         spark, [{"category": c} for c in schema.CATEGORIES], schema._struct(("category", schema._S))
     )
     used = rules.select("category").distinct()
-    repeated = rules.groupBy("id").count().where("count > 1")
+    repeated = rules.where("id is not null").groupBy("id").count().where("count > 1")
     blank = rules.where(F.exists("patterns", lambda p: p == "") | (F.size("patterns") <= 0))
     checks = [
         rows(repeated, "duplicate_id", F.col("id"), F.col("count")),
         rows(categories.join(used, "category", "left_anti"), "empty_category", F.col("category"), F.lit(0)),
         rows(rules.where("behavior = 'unknown'"), "unclassified_behavior", F.col("id"), one),
         rows(blank, "empty_pattern", F.col("id"), one),
+        rows(rules.where("id is null"), "missing_id", F.col("name" if "name" in rules.columns else "id"), one),
+        *[
+            rows(rules.where(_unknown(c)), f"unknown_{c}", F.col("id"), one)
+            for c in ENUMERATIONS
+            if c in rules.columns
+        ],
     ]
     if conditions is not None:
         named = conditions.select(F.col("rule_id").alias("id")).distinct()

@@ -5,7 +5,9 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from rulesieve import schema
 from rulesieve.functions.text import minute_text
 
-_STORED = schema._struct(*[(f.name, f.dataType) for f in schema.HISTORY], ("batch", schema._L))
+_STORED = schema._struct(
+    *[(f.name, f.dataType) for f in schema.HISTORY], ("batch", schema._L), ("seq", schema._L)
+)
 
 
 def upsert_history(old: DataFrame, new: DataFrame, key: str = "created_at", seq: str = "seq") -> DataFrame:
@@ -20,15 +22,18 @@ def upsert_history(old: DataFrame, new: DataFrame, key: str = "created_at", seq:
 
 
 def append_history(new: DataFrame, path: str, batch: int) -> None:
-    """Add one batch of history rows; nothing stored is rewritten."""
-    rows = new.select(*schema.HISTORY.names).withColumn("batch", F.lit(batch).cast("long"))
+    """Add one batch of history rows; nothing stored is rewritten.
+
+    ``seq`` is the order of insertion within the batch and is stored with it.
+    """
+    rows = new.select(*schema.HISTORY.names, F.lit(batch).cast("long").alias("batch"), F.col("seq").cast("long"))
     rows.write.mode("append").parquet(path)
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
-    """Stored history with the newest batch of each ``created_at``."""
+    """Stored history with the last inserted row of each ``created_at``."""
     rows = spark.read.schema(_STORED).parquet(path)
-    return _last_per_key(rows, "created_at", "batch", "path").drop("batch")
+    return _last_per_key(rows, "created_at", "batch", "seq").drop("batch", "seq")
 
 
 def clear_history(spark: SparkSession, path: str) -> None:

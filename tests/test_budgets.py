@@ -63,11 +63,50 @@ def test_ranges_give_the_plain_running_sum(containers, width):
     assert kept(b.apply_budget(containers(rows), 120, None).where("kept")) == sorted(want)
 
 
-def test_first_n_small_and_large_agree(containers, monkeypatch):
-    rows = [(a, o, 1) for a in "ab" for o in range(0, 90, 3)]
-    want = sorted((a, o) for a in "ab" for o in range(0, 60, 3))
-    assert kept(b.first_n(containers(rows), 20)) == want
-    plan = b.first_n(containers(rows), 20)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("WindowGroupLimit") == 2
-    monkeypatch.setattr(b, "_PRUNED_RANK", 5)
-    assert kept(b.first_n(containers(rows), 20, width=10)) == want
+@pytest.mark.parametrize("n", [1, 19, 20, 999, 1000, 1001, None])
+def test_one_result_for_every_count(containers, n):
+    """Null keys, null positions and repeated rows stay, whatever the count."""
+    rows = [(a, o, 1) for a in "ab" for o in range(0, 90, 3)] + [("a", None, 1), (None, 4, 1), (None, None, 1)]
+    rows += [("b", 3, 1)] * 3
+    ordered = sorted(rows, key=lambda r: (r[0] or "", r[1] is not None, r[1] or 0))
+    groups = {a: [r[:2] for r in ordered if r[0] == a] for a in ("a", "b", None)}
+    want = sorted((k for own in groups.values() for k in own[:n]), key=str)
+
+    def listed(df):
+        return sorted(((r["artifact_id"], r["container_ord"]) for r in df.collect()), key=str)
+
+    for width in (10, 65_536):
+        assert listed(b.apply_budget(containers(rows), None, n, width=width)) == want
+        assert listed(b.apply_budget(containers(rows), 10**9, n, width=width).where("kept")) == want
+        if n is not None:
+            assert listed(b.first_n(containers(rows), n, width=width)) == want
+
+
+def test_ranges_of_ranges(containers):
+    rows = [("a", o, 2) for o in range(40)]
+    assert kept(b.within_bytes(containers(rows), 31, width=2)) == [("a", o) for o in range(15)]
+
+
+def test_a_limit_must_be_named(containers):
+    rows = containers([("a", 0, 1)])
+    for call in (b.first_n, b.within_bytes, b.apply_budget, b.outcome):
+        with pytest.raises(TypeError):
+            call(rows)
+
+
+def test_artifacts_without_containers_are_ok(spark, containers):
+    rows = b.apply_budget(containers([("a", 0, 101)]), 100, None)
+    spine = spark.createDataFrame([("a",), ("z",), (None,)], "artifact_id string")
+    found = {r["artifact_id"]: (r["outcome"], r["n_containers"], r["at_count_cap"]) for r in b.outcome(rows, 100, None, spine).collect()}
+    assert found == {"a": ("partial", 1, False), "z": ("ok", 0, False), None: ("ok", 0, False)}
+
+
+def test_unreadable_containers_are_charged_and_passed_over(spark):
+    rows = spark.createDataFrame(
+        [("a", 0, 60, "bad header"), ("a", 1, 60, None), ("b", 0, 1, "cut"), ("b", 1, 1, "bad"), ("c", 0, 1, "x"), ("c", 1, 1, None)],
+        SCHEMA + ", error string",
+    )
+    found = {r["artifact_id"]: (r["outcome"], r["outcome_reason"]) for r in b.outcome(b.apply_budget(rows, 100, None), 100, None, error="error").collect()}
+    assert found["a"] == ("failed", "none of 1 containers could be read: bad header")
+    assert found["b"] == ("failed", "none of 2 containers could be read: bad")
+    assert found["c"] == ("ok", None)

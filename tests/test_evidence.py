@@ -4,6 +4,7 @@ import pytest
 
 from rulesieve import schema
 from rulesieve.operators import evidence as ev
+from rulesieve.operators.findings import scan
 from rulesieve.operators.matching import match_contains
 from rulesieve.sources.catalogue import local_table
 
@@ -60,7 +61,7 @@ def test_haystack_is_in_document_order_with_repeats(elements):
     }
 
 
-@pytest.mark.parametrize("segment", [1, 2, 5])
+@pytest.mark.parametrize("segment", [1, 2, 3, 5, 4096])
 def test_segmented_haystack_finds_what_the_whole_one_does(elements, make_rules, segment):
     """Random manifests with gaps in their positions, cut anywhere."""
     rng = random.Random(segment)
@@ -75,7 +76,7 @@ def test_segmented_haystack_finds_what_the_whole_one_does(elements, make_rules,
     rules = make_rules(*[(p, [p], dict(evidence_location="manifest")) for p in patterns])
     whole = {r["artifact_id"]: r["haystack"] for r in ev.manifest_haystack(table).collect()}
     want = {(a, p) for a, text in whole.items() for p in patterns if p in text}
-    evidence = ev.manifest_evidence(table, max(map(len, patterns)), segment)
+    evidence = ev.manifest_evidence(table, segment, max(map(len, patterns)) - 1)
     got = {(r["artifact_id"], r["rule_id"]) for r in match_contains(evidence, rules).collect()}
     assert got == want and want
 
@@ -128,3 +129,20 @@ def test_search(spark):
 def test_first_attr_is_aggregated_before_the_shuffle(elements):
     plan = ev.first_attr(elements(("a", 0, "t", [])), "k")._jdf.queryExecution().executedPlan().toString()
     assert "partial_min_by" in plan
+
+
+def test_a_manifest_is_whole_unless_asked(elements, make_rules):
+    """A regular expression and a short literal across any cut: each found once."""
+    rows = [("a", i, "t", [("k", str(i))]) for i in range(9_000)] + [("a", None, "first", []), (None, 1, "t", [])]
+    table = elements(*rows)
+    rules = make_rules(
+        ("re", ["k=4095 +t k=4096 "], dict(evidence_location="manifest", is_regex=True)),
+        ("lit", ["k=4096"], dict(evidence_location="manifest")),
+    )
+    evidence = ev.manifest_evidence(table)
+    assert evidence.count() == 1 and evidence.collect()[0]["value"].startswith("first t k=0 ")
+    found = sorted(r["rule_id"] for r in scan(evidence, rules).collect())
+    assert found == ["lit", "re"]
+    assert match_contains(evidence, rules).count() == 1
+    with pytest.raises(ValueError):
+        ev.manifest_haystack(table, 4096)

@@ -1,10 +1,12 @@
 from rulesieve import schema
+from rulesieve.operators import budgets
 from rulesieve.operators.findings import (
     cap_evidence,
     cap_first_pattern,
     clean_artifacts,
     first_pattern_hits,
     scan,
+    scan_report,
     to_findings,
 )
 from rulesieve.operators.matching import match_contains, match_longest
@@ -104,3 +106,36 @@ def test_regex_and_literal_rules_in_one_scan(make_rules, strings):
 def test_clean_artifacts(make_rules, strings, artifacts):
     found = scan(strings("x"), make_rules(("A", ["x"])))
     assert [r[0] for r in clean_artifacts(artifacts("a", "b"), found).collect()] == ["b"]
+
+
+def test_cap_none_keeps_all(make_rules, strings):
+    matches = match_longest(strings(*["x"] * 9), make_rules(("A", ["x"])))
+    assert cap_evidence(matches, None).count() == 9 and cap_first_pattern(matches, None).count() == 9
+
+
+def test_first_pattern_reads_the_evidence_once(make_rules, make_evidence):
+    rows = make_evidence(*[("a", "zip_entry", "c", 0, i, v) for i, v in enumerate(["q p", "q", "p"])])
+    found = first_pattern_hits(match_contains(rows, make_rules(("A", ["p", "q"], dict(evidence_location="zip_entry")))))
+    assert sorted((r["ordinal"], r["pattern"]) for r in found.collect()) == [(0, "p"), (2, "p")]
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("LocalTableScan") <= 2 and plan.count("ArrowEvalPython") == 1 and plan.count("WindowGroupLimit") == 2
+
+
+def test_scan_searches_only_containers_within_the_budget(spark, make_rules, make_evidence):
+    rules = make_rules(("A", ["x"]), ("Z", ["z"], dict(evidence_location="zip_entry")))
+    evidence = make_evidence(
+        ("a", "dex_string", "c0", 0, 0, "none"), ("a", "dex_string", "c1", 1, 0, "x"), ("a", "zip_entry", "z", 7, 0, "z"),
+        ("b", "dex_string", "c0", 0, 0, "x"), ("b", "dex_string", "c1", 1, 0, "x"),
+    )
+    containers = spark.createDataFrame(
+        [("a", 0, 60, None), ("a", 1, 60, None), ("b", 0, 10, "bad"), ("b", 1, 10, None)],
+        "artifact_id string, container_ord long, uncompressed_size long, error string",
+    )
+    kept = budgets.apply_budget(containers, 100, None)
+    found = scan(evidence, rules, containers=kept, error="error")
+    assert sorted((r["artifact_id"], r["rule_id"]) for r in found.collect()) == [("a", "Z"), ("b", "A")]
+    spine = spark.createDataFrame([("a",), ("b",), ("none",)], "artifact_id string")
+    report = scan_report(budgets.outcome(kept, 100, None, spine, "error"), found).collect()
+    assert {r["artifact_id"]: (r["outcome"], r["n_findings"], r["rule_ids"]) for r in report} == {
+        "a": ("partial", 1, ["Z"]), "b": ("ok", 1, ["A"]), "none": ("ok", 0, []),
+    }

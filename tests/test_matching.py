@@ -97,6 +97,17 @@ def test_distributed_equals_compiled(make_rules, make_evidence, seed):
         assert compiled and compiled == hits(found(evidence, PatternSet.distributed(rules)))
 
 
+def test_repeated_rows_stay_apart(make_rules, make_evidence):
+    """Equal rows, a null value and several kinds: both ways give the same matches."""
+    rules = make_rules(("A", ["abc", "b"]), ("B", ["bc"]), ("Z", ["abc"], dict(evidence_location="zip_entry")))
+    row = ("a", "dex_string", "c", 0, 0, "xabcb")
+    evidence = make_evidence(row, row, row, ("a", "dex_string", "c", 0, 1, None), ("a", "zip_entry", "c", 0, 0, "abc"), ("a", "zip_entry", "c", 0, 0, "abc"))
+    for found in (match_longest, match_contains):
+        compiled = hits(found(evidence, rules))
+        assert len(compiled) >= 8 and compiled == hits(found(evidence, PatternSet.distributed(rules)))
+    assert match(evidence, PatternSet.distributed(rules)).count() == 0  # no kind is named
+
+
 def test_distributed_against_brute_force(make_rules, make_evidence):
     rng = random.Random(7)
     texts = ["".join(rng.choice("ab") for _ in range(40)) for _ in range(50)]

@@ -103,8 +103,7 @@ def test_overall_outcome(make_findings, conditions, profiles, pairs):
     }
 
 
-@pytest.mark.parametrize("chunk", [1, 2, 1000])
-def test_catalogue_leaves_out_artifact_side_and_unmapped_rules(make_rules, conditions, profiles, chunk):
+def test_catalogue_leaves_out_artifact_side_and_unmapped_rules(make_rules, conditions, profiles):
     rules = make_rules(
         ("su", ["x"]), ("emu", ["x"], dict(category="anti_emulator")), ("packed", ["x"], dict(category="app_hardening")),
         ("signed", ["x"], dict(category="anti_tamper")), ("unmapped", ["x"]),
@@ -114,7 +113,7 @@ def test_catalogue_leaves_out_artifact_side_and_unmapped_rules(make_rules, condi
         ("signed", 1, {}, "triggered"), ("dead", 1, {}, "triggered"),
     )
     people = profiles(x=dict(rooted=False), y=dict(emulator=True))
-    assert verdicts(p.evaluate_catalogue(rules, people, table, chunk=chunk)) == {
+    assert verdicts(p.evaluate_catalogue(rules, people, table)) == {
         ("x", "su"): "not_triggered", ("x", "emu"): "unknown", ("y", "su"): "unknown", ("y", "emu"): "triggered",
     }
 
@@ -147,18 +146,36 @@ def test_counts_need_no_shuffle_after_the_pairs(make_findings, conditions, profi
     assert shuffles(p.verdict_documents(done)) <= shuffles(done)
 
 
-def test_chunks_add_up(make_findings, conditions, profiles, pairs):
+def test_shared_and_joined_decisions_agree(make_findings, conditions, profiles, pairs, monkeypatch):
     rules = [f"c{i}" for i in range(25)]
     findings = make_findings(*[("a", r, "root", "low", "hard_block") for r in rules], ("b", "c1", "root", "low", "log_only"))
     table = conditions(*[(r, 1, {"rooted": i % 2 == 0}, "triggered") for i, r in enumerate(rules[:20])])
-    some = pairs(("a", "x"), ("a", "y"), ("b", "x"), ("none", "y"))
+    some = pairs(("a", "x"), ("a", "y"), ("b", "x"), ("none", "y"), ("a", "nobody"))
     people = profiles(x=dict(rooted=True), y={})
-    whole = p.evaluate_pairs(findings, some, people, table)
-    cut = p.evaluate_pairs(findings, some, people, table, chunks=4)
-    assert cut.count() == 4 * whole.count()
-    for result in (p.verdict_counts, p.overall, p.verdict_rows):
-        assert sorted(map(str, result(cut).collect())) == sorted(map(str, result(whole).collect()))
-    assert p.verdict_documents(cut).columns == ["artifact_id", "profile_id", "chunk", "document"]
+    results = []
+    for bound in (2_000, 3):
+        monkeypatch.setattr(p, "MAX_SHARED_ROWS", bound)
+        done = p.evaluate_pairs(findings, some, people, table)
+        results.append([sorted(map(str, f(done).collect())) for f in (p.verdict_counts, p.overall, p.verdict_rows)])
+        assert p.verdict_documents(done).count() == 5  # one per pair
+    assert results[0] == results[1]
+
+
+@pytest.mark.parametrize("bound", [2_000, 0])
+def test_a_pair_without_profile_is_unknown(make_findings, conditions, profiles, pairs, monkeypatch, bound):
+    monkeypatch.setattr(p, "MAX_SHARED_ROWS", bound)
+    findings = make_findings(("a", "su", "root", "low", "hard_block"))
+    done = p.evaluate_pairs(findings, pairs(("a", "x"), ("a", "nobody")), profiles(x=dict(rooted=True, hidden=True)), conditions(*TWO_FIELDS))
+    found = {r["profile_id"]: (r["n_unknown"], r["n_total"]) for r in p.verdict_counts(done).collect()}
+    assert found["nobody"] == (1, 1) and found["x"][1] == 1
+
+
+def test_a_verdict_is_decided_once(make_findings, conditions, profiles, pairs):
+    done = p.evaluate(
+        make_findings(("a", "su", "root", "low", "hard_block")), pairs(("a", "x")), profiles(x={}), conditions(*TWO_FIELDS)
+    )
+    plan = done._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("no condition row matches this profile") == 1
 
 
 # --- profile text ------------------------------------------------------------

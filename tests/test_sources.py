@@ -9,7 +9,7 @@ from rulesieve import schema
 from rulesieve.functions import text as tx
 from rulesieve.operators.findings import scan
 from rulesieve.plans import pack
-from rulesieve.session import scratch_path, spread_small
+from rulesieve.session import NoSharedFolder, scratch_path
 from rulesieve.sources import catalogue as c, files, history as h
 from rulesieve.streaming.scan import evidence_stream, findings_so_far, start_match_stream
 
@@ -99,10 +99,13 @@ def test_findings_round_trip(spark, tmp_path, make_findings, fmt):
 
 
 def test_history(spark, tmp_path):
-    rows = lambda *r: spark.createDataFrame(list(r), "label string, path string, report string, created_at long")
+    def rows(*given):
+        numbered = [(*r, i) for i, r in enumerate(given)]
+        return spark.createDataFrame(numbered, "label string, path string, report string, created_at long, seq long")
+
     path = str(tmp_path / "history")
     h.append_history(rows(("a", "p1", "x" * 300, 60_000), ("b", "p2", "short", 120_000)), path, 1)
-    h.append_history(rows(("a again", "p1", "new", 60_000)), path, 2)
+    h.append_history(rows(("first", "p9", "old", 60_000), ("a again", "p1", "new", 60_000)), path, 2)
     stored = h.read_history(spark, path)
     listed = h.history(stored).collect()
     assert [(r["label"], r["created_minute"], r["preview"]) for r in listed] == [
@@ -166,21 +169,51 @@ def test_millis_do_not_depend_on_the_session_zone(spark):
 def test_scratch_path_uses_the_shared_folder():
     set_conf = {"spark.checkpoint.dir": "/shared/folder/"}
     assert scratch_path(SimpleNamespace(conf=set_conf), "x").startswith("/shared/folder/x-")
-    own, other = (scratch_path(SimpleNamespace(conf={}), "x") for _ in range(2))
+    own, other = (scratch_path(SimpleNamespace(conf={"spark.master": "local[2]"}), "x") for _ in range(2))
     assert own != other and not own.startswith("/shared")
+    for master in ("local-cluster[2,1,1024]", "spark://host:7077", "yarn"):
+        with pytest.raises(NoSharedFolder):
+            scratch_path(SimpleNamespace(conf={"spark.master": master}), "x")
+
+
+@pytest.mark.parametrize(
+    "fmt, text",
+    [
+        ("json", "{bad line"),
+        ("json", json.dumps({**RULE, "category": "NOPE"})),
+        ("json", json.dumps({**RULE, "severity": "urgent"})),
+        ("json", json.dumps({**RULE, "behavior": "nuke"})),
+        ("json", json.dumps({**RULE, "evidence_location": "moon"})),
+        ("json", json.dumps({**RULE, "id": None})),
+        ("yaml", "- id: [unclosed"),
+        ("yaml", "id: not-a-list"),
+    ],
+)
+def test_faulty_rules_are_rejected(spark, tmp_path, fmt, text):
+    if fmt == "yaml":
+        pytest.importorskip("yaml")
+    path = tmp_path / f"rules.{fmt}"
+    path.write_text(text)
+    with pytest.raises(Exception) as caught:
+        c.load_rules(spark, str(path))
+    assert isinstance(caught.value, c.BadCatalogue) or "MALFORMED" in str(caught.value) or "yaml" in str(caught.value) or "list of rules" in str(caught.value)
 
 
-def test_only_small_scans_are_spread(spark, tmp_path):
-    path = str(tmp_path / "t")
-    spark.range(1000).coalesce(1).write.parquet(path)
-    df = spark.read.parquet(path)
-    assert "RepartitionByExpression" in spread_small(df, "id")._jdf.queryExecution().analyzed().toString()
-    before = spark.conf.get("spark.sql.files.openCostInBytes")
-    spark.conf.set("spark.sql.files.openCostInBytes", "1")
-    try:
-        assert spread_small(df, "id") is df
-    finally:
-        spark.conf.set("spark.sql.files.openCostInBytes", before)
+def test_a_folder_needs_a_format(spark, tmp_path):
+    pytest.importorskip("yaml")
+    (tmp_path / "rules").mkdir()
+    (tmp_path / "rules" / "a.yaml").write_text(
+        "- {id: y1, name: N, category: root, severity: high, evidence_location: dex_string, patterns: [x], description: d}"
+    )
+    with pytest.raises(c.BadCatalogue):
+        c.load_rules(spark, str(tmp_path / "rules"))
+    assert [r["id"] for r in c.load_rules(spark, str(tmp_path / "rules"), fmt="yaml").collect()] == ["y1"]
+
+
+def test_unknown_values_are_violations(make_rules):
+    rules = make_rules(("a", ["x"], dict(category="NOPE", severity="urgent")), (None, ["x"], dict(evidence_location="moon")))
+    found = {(r["check"], r["subject"]) for r in c.rule_violations(rules).collect()}
+    assert {("unknown_category", "a"), ("unknown_severity", "a"), ("missing_id", "rule None"), ("unknown_evidence_location", None)} <= found
 
 
 def test_stream_gives_the_batch_findings(spark, tmp_path, make_rules, make_evidence):
