@@ -31,7 +31,7 @@ _STOPS = ".,;:!?#$%&*|"
 _LETTER = "[A-Za-z\u00c0-\u024f]"
 _RUNS_TO_STOPS = f"{MARK}*{_LETTER}+(?=[{_STOPS}])|" + _RUNS
 _LONGEST_KEPT = 64  # characters of a run that is remembered
-_RUNS_KEPT, _PAIRS_KEPT = 400_000, 1_000_000
+_RUNS_KEPT, _PAIRS_KEPT = 250_000, 500_000
 
 
 class Transducer:
@@ -66,33 +66,68 @@ class Transducer:
         for name, i in self.piece.items():
             self.spelled[i] = name.replace(MARK, " ").encode()
         self.apart: dict[int, bool] = {}
+        self.made: dict[int, tuple[list[float], list[str], list[str]] | None] = {}
         self.known: dict[str, bytes] = {}
 
-    def merged(self, text: str) -> list[str]:
-        """A short text by merging: the best score first, ties to the left."""
-        parts, score = list(text), self.score
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                s = score.get(parts[i] + parts[i + 1])
-                if s is not None and (best is None or s > best):
-                    best, at = s, i
-            if at < 0:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+    def merges(self, piece: int) -> tuple[list[float], list[str], list[str]] | None:
+        """How merging (best score first, ties to the left) makes a piece from its characters.
+
+        The scores in turn, and the first and the last part before each merge
+        and at the end; nothing if merging makes something else of it.
+        """
+        if piece not in self.made:
+            parts, score = list(self.name[piece]), self.score
+            scores, first, last = [], [parts[0]], [parts[-1]]
+            while len(parts) > 1:
+                found = [(score.get(x + y), -i) for i, (x, y) in enumerate(zip(parts, parts[1:]))]
+                found = [f for f in found if f[0] is not None]
+                if not found:
+                    break
+                best, at = max(found)
+                parts[-at : 2 - at] = [parts[-at] + parts[1 - at]]
+                scores.append(best)
+                first.append(parts[0])
+                last.append(parts[-1])
+            self.made[piece] = (scores, first, last) if len(parts) == 1 else None
+        return self.made[piece]
 
     def stays_apart(self, before: int, piece: int) -> bool:
-        """Whether ``piece`` may follow ``before`` (-1: the beginning)."""
+        """Whether ``piece`` may follow ``before`` (-1: the beginning).
+
+        Both are merged side by side; they come together if at some time the
+        parts that touch are the best pair.
+        """
         key = (before + 1) * self.size + piece
         found = self.apart.get(key)
         if found is None:
             if len(self.apart) >= _PAIRS_KEPT:
                 self.apart.clear()
-            parts = [self.name[piece]] if before < 0 else [self.name[before], self.name[piece]]
-            found = self.apart[key] = self.merged("".join(parts)) == parts
+            found = self.apart[key] = self._merge_apart(before, piece)
         return found
 
+    def _merge_apart(self, before: int, piece: int) -> bool:
+        right = self.merges(piece)
+        if before < 0 or right is None:
+            return right is not None
+        left = self.merges(before)
+        if left is None:
+            return False
+        (left_scores, _, ends), (right_scores, begins, _) = left, right
+        i = j = 0
+        while True:
+            across = self.score.get(ends[i] + begins[j])
+            inside_left = left_scores[i] if i < len(left_scores) else None
+            inside_right = right_scores[j] if j < len(right_scores) else None
+            if across is not None and (inside_left is None or across > inside_left):
+                if inside_right is None or across >= inside_right:
+                    return False
+            if inside_left is None and inside_right is None:
+                return True
+            if inside_right is None or inside_left is not None and inside_left >= inside_right:
+                i += 1
+            else:
+                j += 1
+
     def shortest_path(self, run: str) -> list[int]:
         """Ids of the path of least weight through the lattice of a run."""
         n, arcs, apart, size = len(run), self.arcs, self.apart, self.size
