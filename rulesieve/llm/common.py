@@ -35,6 +35,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Let Spark hand texts to Python in Arrow batches of at most 8 MB and 2,000 rows.
+
+    An executor holds a batch for every running task, on both sides.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+
+
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     """A table of the given folder."""
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -6,6 +6,9 @@ from the operator's results.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -21,11 +24,25 @@ from rulesieve.llm import (
     topk,
     toxicity,
 )
-from rulesieve.llm.common import documents, id_text
+from rulesieve.llm.common import bound_batches, documents, id_text
 
 WINDOW = 1024
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """Registers a query; it runs with bounded Arrow batches."""
+
+    @wraps(function)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        bound_batches(spark)
+        return function(spark, sf_dir)
 
+    QUERIES[function.__name__] = run
+    return run
 
+
+@query
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near duplicates within 4 bits of 64, over 4-word shingles."""
     found = simhash.near_duplicates(documents(spark, sf_dir))
@@ -37,12 +54,14 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
 def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best other vectors of every twentieth vector."""
     vectors = documents(spark, sf_dir, "embeddings")
     return topk.top_k(vectors, vectors.where("vec_id % 20 = 0"))
 
 
+@query
 def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the 13-word windows that earlier documents hold."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
@@ -51,17 +70,20 @@ def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's toxicity; labels of the held-out fold teach nothing."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return toxicity.toxicity(docs, documents(spark, sf_dir, "labels")).drop("text")
 
 
+@query
 def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text's log10 probability under the mixture, learned from all but the held-out fold."""
     return language_model.interpolated(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
 
 
+@query
 def op6_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text stored as samples in Matroska, and what is read back from the packets."""
     docs = documents(spark, sf_dir).select(
@@ -98,6 +120,7 @@ def op6_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every text, plain and confirmed."""
     docs = documents(spark, sf_dir).select("doc_id", secret_scan.secret_spans(F.col("text")).alias("found"))
@@ -116,6 +139,7 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
 def op8_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text encoded, and decoded from its ids again."""
     model = public_tokenizers.path("piece_bpe_32k.model")
@@ -132,12 +156,14 @@ def op8_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's quality; labels of the held-out fold teach nothing."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return quality.quality(docs, documents(spark, sf_dir, "labels")).drop("text")
 
 
+@query
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into windows of 1024 ids."""
     pieces = packing.token_pieces(
@@ -151,19 +177,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.assign_sequences(digests, WINDOW).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {
-    "op1_simhash": op1_simhash,
-    "op2_topk": op2_topk,
-    "op3_substrings": op3_substrings,
-    "op4_toxicity": op4_toxicity,
-    "op5_language_model": op5_language_model,
-    "op6_matroska": op6_matroska,
-    "op7_secret_scan": op7_secret_scan,
-    "op8_sentencepieces": op8_sentencepieces,
-    "op9_quality": op9_quality,
-    "op10_packing": op10_packing,
-}
-
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 ORACLES: dict[str, str] = {
