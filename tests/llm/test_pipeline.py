@@ -1,0 +1,94 @@
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline as cp
+from rulesieve.llm import packing, quality
+from tests.llm.conftest import DOCS, plain, words
+from tests.llm.test_simhash import components, fingerprint
+from tests.llm.test_substrings import brute
+
+LABELS = "doc_id long, quality int, toxic int"
+
+
+@pytest.fixture(scope="module")
+def folder(spark, rows, tmp_path_factory):
+    """documents and labels: the awkward rows, and labelled prose and junk."""
+    import random
+
+    rng = random.Random(9)
+    prose = [(1_000 + i, words(rng, 80), "en", "s", 1) for i in range(160)]
+    junk = [(2_000 + i, " ".join(f"{w}%%%" for w in words(rng, 80).split()), "en", "s", 1) for i in range(60)]
+    path = str(tmp_path_factory.mktemp("tables"))
+    spark.createDataFrame(rows + prose + junk, DOCS).repartition(2).write.parquet(f"{path}/documents.parquet")
+    labels = [(r[0], 1, 0) for r in prose] + [(r[0], 0, 0) for r in junk] + [(None, 1, 1), (1_000, None, None)]
+    spark.createDataFrame(labels, LABELS).write.parquet(f"{path}/labels.parquet")
+    return path
+
+
+def read(spark, folder):
+    return spark.read.parquet(f"{folder}/documents.parquet")
+
+
+def test_quality_keeps_clean_documents(spark, folder):
+    docs = read(spark, folder)
+    kept = cp.quality_filter(spark, docs, folder)
+    assert kept.schema == docs.schema
+    ids = {r["doc_id"] for r in kept.select("doc_id").collect()}
+    assert {1_000 + i for i in range(160)} <= ids and not ids & {2_000 + i for i in range(60)}
+    scores = quality.quality(docs, spark.read.parquet(f"{folder}/labels.parquet")).where("predicted = 1")
+    assert plain(kept) == plain(scores.select(docs.columns))
+
+
+def test_near_dedup_keeps_one_of_each_group(spark, docs, rows):
+    kept = cp.near_dedup(spark, docs, "")
+    assert kept.schema == docs.schema
+    prints = [(i, fingerprint(t)) for i, t in {(i, t) for i, t, *_ in rows} if i is not None]
+    groups = components(prints)
+    want = sorted(str(r[0]) for r in rows if r[0] is None or groups[r[0]] == r[0])
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == want
+
+
+def test_substring_dedup_changes_only_what_repeats(spark, docs, rows):
+    found = cp.substring_dedup(spark, docs, "")
+    assert found.schema == docs.schema
+    want = []
+    cut = brute(rows)
+    for i, t, lang, source, n in rows:
+        _, gone, kept = cut[(i, t)]
+        want.append(str((i, kept, lang, source, len(kept)) if gone else (i, t, lang, source, n)))
+    assert sorted(str(tuple(r)) for r in found.collect()) == sorted(want)
+
+
+def test_secrets_are_gone(spark, docs):
+    found = cp.secret_redaction(spark, docs, "")
+    assert found.schema == docs.schema and found.count() == docs.count()
+    texts = [r["text"] or "" for r in found.collect()]
+    assert not any(re.search("[0-9a-f]{24}|AKIA", t) for t in texts) and sum("[secret]" in t for t in texts) == 1
+
+
+def test_stages_keep_other_columns(spark, folder, clashing):
+    docs = clashing(read(spark, folder).limit(40)).withColumns({"predicted": F.lit("p"), "score": F.lit("s"), "cut": F.lit("c")})
+    for name, stage in cp.STAGES[:-1]:
+        found = stage(spark, docs, folder)
+        assert found.schema == docs.schema, name
+        assert {(r["predicted"], r["cut"], r["m"]) for r in found.collect()} == {("p", "c", 7)}, name
+
+
+def test_whole_run(spark, folder):
+    found = cp.run(spark, folder)
+    docs = read(spark, folder)
+    for _, stage in cp.STAGES[:-1]:
+        docs = stage(spark, docs, folder)
+    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+    assert plain(found.select(columns)) == plain(cp.pack(spark, docs, folder).select(columns))
+    assert found.groupBy("sequence_id").agg(F.sum("length").alias("n")).where(f"n > {cp.WINDOW}").count() == 0
+
+
+def test_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], LABELS).write.parquet(f"{tmp_path}/labels.parquet")
+    assert cp.run(spark, str(tmp_path)).collect() == []
+    assert [name for name, _ in cp.STAGES] == ["quality", "near_dedup", "substring_dedup", "secrets", "packing"]
+    assert packing.compositions({}, 10) == []
