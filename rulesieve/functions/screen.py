@@ -22,7 +22,10 @@ except ImportError:  # more alternations are scanned instead
 # the engine's state cache, and one automaton for all literals is built. For the
 # same reason an alternation holds only the beginnings of the literals.
 ALTERNATION_LIMIT = 400
+# (A beginning that occurs only says that the literal may: the screen drops no row.)
 SCREENED_CHARS = 16
+# Regular expressions tried together first; most rows match none of them.
+EXPRESSIONS_TOGETHER = 64
 
 FOUND_TYPE = "array<struct<is_regex: boolean, pattern: string>>"
 
@@ -41,7 +44,7 @@ def evidence_screen(
     :func:`names_literals`). ``expressions`` are ``(kind, expression)``; each
     one found is an entry.
     """
-    tests = []  # (kind, is_regex, reported pattern, expression)
+    tests = []  # (kind, expression that some literal's beginning matches)
     automata = {}
     for kind, values in literals.items():
         if ahocorasick is not None and (kind in listed or len(values) > ALTERNATION_LIMIT):
@@ -50,13 +53,13 @@ def evidence_screen(
                 continue
         for start in range(0, len(values), ALTERNATION_LIMIT):
             part = sorted({v[:SCREENED_CHARS] for v in values[start : start + ALTERNATION_LIMIT]})
-            tests.append((kind, False, None, "|".join(re2_quote(v) for v in part)))
-    tests += [(kind, True, expression, expression) for kind, expression in expressions]
-    for *_, expression in tests:  # a faulty expression fails here, not in a task
+            tests.append((kind, "|".join(re2_quote(v) for v in part)))
+    for _, expression in [*tests, *expressions]:  # a faulty expression fails here, not in a task
         pc.match_substring_regex(pa.array([""]), pattern=expression)
-    kinds = sorted({test[0] for test in tests} | set(automata))
+    grouped = _grouped(expressions)
+    kinds = sorted({test[0] for test in tests} | set(automata) | {kind for kind, *_ in grouped})
     listed_kinds = {kind for kind in listed if kind in automata}
-    screened_kinds = {kind for kind, is_regex, *_ in tests if not is_regex}
+    screened_kinds = {kind for kind, *_ in tests}
     built = {}
 
     # Everything below is shipped by value: it uses only what it closes over.
@@ -77,6 +80,10 @@ def evidence_screen(
                 out.append((i, None))
         return out
 
+    def matching(values: pa.Array, expression: str) -> np.ndarray:
+        hit = pc.fill_null(pc.match_substring_regex(values, pattern=expression), False)
+        return hit.to_numpy(zero_copy_only=False)
+
     def found(kind: pa.Array, value: pa.Array) -> pa.Array:
         rows, is_regex, patterns = [np.empty(0, np.int64)], [np.empty(0, bool)], []
         for name in kinds:
@@ -85,17 +92,19 @@ def evidence_screen(
                 continue
             values = value if len(of_kind) == len(value) else value.take(pa.array(of_kind))
             some_literal = np.zeros(len(of_kind), bool)
-            for test_kind, regex, pattern, expression in tests:
-                if test_kind != name:
+            for test_kind, expression in tests:
+                if test_kind == name:
+                    some_literal |= matching(values, expression)
+            for group_kind, union, group in grouped:
+                if group_kind != name:
                     continue
-                hit = pc.fill_null(pc.match_substring_regex(values, pattern=expression), False)
-                hit = hit.to_numpy(zero_copy_only=False)
-                if pattern is None:
-                    some_literal |= hit
-                else:
-                    rows.append(of_kind[hit])
-                    is_regex.append(np.full(len(rows[-1]), regex))
-                    patterns += [pattern] * len(rows[-1])
+                near = np.flatnonzero(matching(values, union))
+                some = values.take(pa.array(near)) if len(near) else None
+                for expression in group if len(near) else ():
+                    hit = of_kind[near[matching(some, expression)]]
+                    rows.append(hit)
+                    is_regex.append(np.full(len(hit), True))
+                    patterns += [expression] * len(hit)
             if name in automata:
                 if name in screened_kinds:  # the automaton need only see what the alternation found
                     of_kind, values = of_kind[some_literal], values.filter(pa.array(some_literal))
@@ -120,6 +129,24 @@ def evidence_screen(
     return F.arrow_udf(found, FOUND_TYPE)
 
 
+def _grouped(expressions: Sequence[tuple[str, str]]) -> list[tuple[str, str, list[str]]]:
+    """Expressions of a kind in groups, each with one that matches where any of them does."""
+    of_kind: dict[str, list[str]] = {}
+    for kind, expression in expressions:
+        of_kind.setdefault(kind, []).append(expression)
+    out = []
+    for kind, own in sorted(of_kind.items()):
+        for start in range(0, len(own), EXPRESSIONS_TOGETHER):
+            group = own[start : start + EXPRESSIONS_TOGETHER]
+            union = "|".join(f"(?:{e})" for e in group)
+            try:
+                pc.match_substring_regex(pa.array([""]), pattern=union)
+                out.append((kind, union, group))
+            except pa.ArrowInvalid:  # together they are too large for the engine
+                out += [(kind, e, [e]) for e in group]
+    return out
+
+
 def names_literals() -> bool:
     """Whether the literals of listed kinds come named out of the screen."""
     return ahocorasick is not None

@@ -17,12 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from rulesieve import schema
 from rulesieve.functions.grams import bitmap_bits, pattern_pieces, piece_bitmap, text_pieces
 from rulesieve.functions.literals import TooDeep, literal_regex
-from rulesieve.functions.screen import (
-    ALTERNATION_LIMIT,
-    evidence_screen,
-    names_literals,
-    regex_found,
-)
+from rulesieve.functions.screen import evidence_screen, names_literals, regex_found
 from rulesieve.sources.catalogue import local_table, pattern_rules
 
 # Bounds of a compiled catalogue. They bound what reaches the driver (at most
@@ -32,6 +27,8 @@ MAX_PATTERNS = 100_000
 MAX_PATTERN_CHARS = 2_000
 MAX_TOTAL_CHARS = 4_000_000
 REGEX_BLOCK = 256
+# Literals that one folded expression of the JVM matches faster than rows match their own.
+FOLDED_LITERALS = 200
 
 LONGEST_KINDS = ("dex_string",)
 _PATTERN = schema._struct(
@@ -218,7 +215,7 @@ def _hit(match_pos: Column, is_regex: Column, pattern: Column) -> Column:
 
 def _folded(literals: list[str]) -> str | None:
     """One expression for the literals, unless there are too many for it."""
-    if len(literals) > ALTERNATION_LIMIT and names_literals():
+    if len(literals) > FOLDED_LITERALS and names_literals():
         return None
     try:
         return literal_regex(literals)

@@ -235,6 +235,19 @@ def benchmark_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def opening_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One rule per benchmark item: regular expressions for how its lines begin."""
+    opening = F.transform(F.split("text", "\n"), lambda line: F.regexp_extract(line, "^[A-Za-z]+ [A-Za-z]+", 0))
+    expression = F.transform(F.filter(opening, lambda o: o != ""), lambda o: F.concat(F.lit("^"), o, F.lit("\\b")))
+    found = benchmark_rules(spark, sf_dir).drop("patterns", "is_regex")
+    items = table(spark, sf_dir, "benchmark").select(
+        F.concat(F.lit("item-"), F.col("item_id").cast("string")).alias("id"),
+        F.array_distinct(expression).alias("patterns"),
+        F.lit(True).alias("is_regex"),
+    )
+    return found.join(items, "id")
+
+
 # --- profiles ----------------------------------------------------------------
 
 

@@ -423,6 +423,12 @@ ORACLES: dict[str, str] = {
         SELECT CAST(doc_id AS VARCHAR) AS artifact_id, kind, doc_id AS container_ord, ordinal,
           CAST(0 AS INTEGER) AS match_pos, pattern, rule_id, pattern_ord
         FROM lines JOIN bench_patterns ON contains(value, pattern)""",
+    "match_benchmark_openings": f"""WITH {LINES}, openings AS (
+          SELECT DISTINCT 'item-' || item_id AS rule_id, '^' || word || '\\b' AS pattern FROM (
+            SELECT item_id, regexp_extract(unnest(string_split(text, chr(10))), '^[A-Za-z]+ [A-Za-z]+') AS word
+            FROM benchmark) WHERE word <> '')
+        SELECT CAST(doc_id AS VARCHAR) AS artifact_id, doc_id AS container_ord, ordinal, pattern, rule_id
+        FROM lines JOIN openings ON regexp_matches(value, pattern)""",
     "first_pattern_pages": SMALL + f"""{PAGE_EVIDENCE}, m AS ({by_pattern("ev", False)})
         SELECT {MATCH_COLUMNS} FROM m
         QUALIFY pattern_ord = min(pattern_ord) OVER (PARTITION BY artifact_id, rule_id)""",

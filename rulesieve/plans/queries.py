@@ -385,6 +385,15 @@ def match_benchmark_passages(spark, sf_dir):
     return matching.match_contains(lines, corpus.benchmark_rules(spark, sf_dir)).select(*_MATCH)
 
 
+@query
+def match_benchmark_openings(spark, sf_dir):
+    """Document lines against as many regular expressions as the benchmark has beginnings."""
+    lines = corpus.document_evidence(spark, sf_dir)
+    return matching.match_regex(lines, corpus.opening_rules(spark, sf_dir)).select(
+        "artifact_id", "container_ord", "ordinal", "pattern", "rule_id"
+    )
+
+
 @query
 def match_benchmark_distributed(spark, sf_dir):
     """The same by equi-join on pattern pieces, as for a catalogue of any size."""

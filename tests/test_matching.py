@@ -160,7 +160,7 @@ def test_many_literals_are_screened_the_same(make_rules, make_evidence, monkeypa
     evidence = make_evidence(*[("a", "dex_string", "c", 0, i, word(rng.randint(0, 50))) for i in range(150)])
     want = [hits(f(evidence, rules)) for f in (match_longest, match_contains)]
     monkeypatch.setattr(screen, "ALTERNATION_LIMIT", 7)
-    monkeypatch.setattr(m, "ALTERNATION_LIMIT", 7)
+    monkeypatch.setattr(m, "FOLDED_LITERALS", 7)
     monkeypatch.setattr(screen, "SCREENED_CHARS", 3)
     if not with_automaton:
         monkeypatch.setattr(screen, "ahocorasick", None)
@@ -193,3 +193,17 @@ def test_a_hot_artifact_sends_few_rows_to_the_cap(spark, make_rules):
     plan = capped._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
     assert [r["container_ord"] for r in capped.orderBy("evidence_rank").collect()] == [0, 1, 2]
+
+
+def test_expressions_together_and_each(make_rules, strings, monkeypatch):
+    """Groups of any size, a group too large for the engine, flags and groups inside expressions."""
+    rules = make_rules(
+        ("A", ["a.c", "^b", "(?i)XyZ", "(q)(r)", "é+$"], dict(is_regex=True)),
+        ("B", ["(?:ab){400}(?:cd){400}[a-z]{500}", "(?:xy){500}[a-f]{500}"], dict(is_regex=True)),
+    )
+    text = strings("abc", "bcd", "xxYZ xyz", "qr éé", "none", None, "ab" * 400 + "cd" * 400 + "z" * 500)
+    found = []
+    for size in (1, 2, 64):
+        monkeypatch.setattr(screen, "EXPRESSIONS_TOGETHER", size)
+        found.append(hits(match_regex(text, rules)))
+    assert found[0] == found[1] == found[2] and len(found[0]) == 7
