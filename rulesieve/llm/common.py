@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,26 +9,19 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from rulesieve.session import scratch_path
+
 #: Entries after which a cache inside a task is emptied; bounds its memory.
 CACHE_ENTRIES = 300_000
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder of ``spark.checkpoint.dir``.
-
-    Where that is unset, as in tests on one machine, a temporary folder is used.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read back.
+    """``df`` written as Parquet to the folder of ``spark.checkpoint.dir`` and read back.
 
     This cuts the lineage with a copy that outlives executors.
     """
     spark = df.sparkSession
-    path = scratch(spark, name)
+    path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

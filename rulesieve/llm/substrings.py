@@ -187,10 +187,10 @@ def repeated_windows(
     minimisers = _minimisers(texts, window, gram)
     again = stored(minimisers.groupBy("m").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("m"), "minimisers")
     windows = stored(_windows(texts, window, gram, Bitmap(again)), "windows")
-    first = (
-        windows.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
-    )
-    repeated = windows.join(first.drop("last"), ["h1", "h2"]).where("id > first")
+    first = windows.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last"))
+    # Stored, so that both sides of the join are plain shuffles and a passage that very many hold can be split.
+    first = stored(first.where("first < last").drop("last"), "first")
+    repeated = windows.join(first, ["h1", "h2"]).where("id > first")
     digest, position = F.shiftright("place", 40).alias("digest"), F.col("place").bitwiseAND(F.lit((1 << 40) - 1))
     parts = (
         repeated.groupBy("id", digest)
