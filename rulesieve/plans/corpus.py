@@ -10,7 +10,7 @@ from rulesieve.operators.findings import scan
 from rulesieve.operators.matching import PatternSet
 from rulesieve.operators.policy import profile_map
 from rulesieve.plans import pack
-from rulesieve.session import scratch_path
+from rulesieve.session import dealt, scratch_path
 from rulesieve.sources.catalogue import local_table, rules_frame
 from rulesieve.sources.files import read_findings, write_findings
 
@@ -65,7 +65,7 @@ def guidance(spark: SparkSession) -> DataFrame:
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, lang, source, ordinal, value), one row per line."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
-    return ev.explode_strings(docs)
+    return ev.explode_strings(dealt(docs, "doc_id"))
 
 
 def line_evidence(lines: DataFrame, artifact: str = "doc_id") -> DataFrame:
@@ -123,7 +123,7 @@ def order_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_returnflag"
     )
-    return lines.select(
+    return dealt(lines, "l_orderkey").select(
         F.col("l_orderkey").cast("string").alias("artifact_id"),
         F.col("l_linenumber").cast("long").alias("elem_ord"),
         F.lit("item").alias("tag"),
@@ -150,7 +150,7 @@ def customer_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of the pages' markup as code strings of their host."""
     pages = table(spark, sf_dir, "pages").select(host().alias("host"), "page_id", F.col("html").alias("text"))
-    lines = ev.explode_strings(pages)
+    lines = ev.explode_strings(dealt(pages, "page_id"))
     return ev.evidence(
         lines, "dex_string", F.col("host"), F.col("page_id"), F.col("page_id"), F.col("ordinal"), F.col("value")
     )

@@ -8,7 +8,7 @@ from rulesieve import schema
 from rulesieve.functions import text as tx
 from rulesieve.operators import budgets, diff, evidence as ev, findings as fi, matching, policy, report
 from rulesieve.plans import corpus, pack
-from rulesieve.session import scratch_path
+from rulesieve.session import dealt, scratch_path
 from rulesieve.sources import catalogue, files, history
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -456,7 +456,7 @@ def byte_budget_sources(spark, sf_dir):
 @query
 def byte_budget_orders(spark, sf_dir):
     """Line quantities of an order while they add up to the limit."""
-    lines = corpus.table(spark, sf_dir, "lineitem").select(
+    lines = dealt(corpus.table(spark, sf_dir, "lineitem"), "l_orderkey").select(
         F.col("l_orderkey").alias("artifact_id"),
         F.col("l_linenumber").alias("container_ord"),
         F.col("l_partkey"),

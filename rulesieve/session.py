@@ -4,7 +4,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the plans here rely on; all are ordinary Spark options.
 RECOMMENDED_CONF = {
@@ -15,6 +15,10 @@ RECOMMENDED_CONF = {
     "spark.sql.session.timeZone": "UTC",
 }
 
+# How many partitions a scan is dealt into whose files cannot be split: a file
+# with one row group is read by one task. Unset (the default) nothing is dealt.
+SCAN_PARTITIONS = "spark.rulesieve.scanPartitions"
+
 
 def local_session(cores: int = 8, memory: str = "8g", app: str = "rulesieve") -> SparkSession:
     """A local session for tests and the bench."""
@@ -24,7 +28,7 @@ def local_session(cores: int = 8, memory: str = "8g", app: str = "rulesieve") ->
     return (
         builder.config("spark.driver.memory", memory)
         .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-"))
-        .config("spark.sql.files.maxPartitionBytes", "2m")  # splits for all cores, as the tables are small
+        .config(SCAN_PARTITIONS, str(cores))
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -49,3 +53,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
             raise NoSharedFolder("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="spark-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` hash-partitioned as :data:`SCAN_PARTITIONS` asks, or as it is."""
+    partitions = df.sparkSession.conf.get(SCAN_PARTITIONS, None)
+    return df.repartition(int(partitions), *keys) if partitions else df

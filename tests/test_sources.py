@@ -9,7 +9,7 @@ from rulesieve import schema
 from rulesieve.functions import text as tx
 from rulesieve.operators.findings import scan
 from rulesieve.plans import pack
-from rulesieve.session import NoSharedFolder, scratch_path
+from rulesieve.session import SCAN_PARTITIONS, NoSharedFolder, dealt, scratch_path
 from rulesieve.sources import catalogue as c, files, history as h
 from rulesieve.streaming.scan import evidence_stream, findings_so_far, start_match_stream
 
@@ -176,6 +176,17 @@ def test_scratch_path_uses_the_shared_folder():
             scratch_path(SimpleNamespace(conf={"spark.master": master}), "x")
 
 
+def test_scans_are_dealt_only_where_asked(spark):
+    before = spark.conf.get(SCAN_PARTITIONS)
+    df = spark.range(10)
+    assert "RepartitionByExpression" in dealt(df, "id")._jdf.queryExecution().analyzed().toString()
+    spark.conf.unset(SCAN_PARTITIONS)
+    try:
+        assert dealt(df, "id") is df
+    finally:
+        spark.conf.set(SCAN_PARTITIONS, before)
+
+
 @pytest.mark.parametrize(
     "fmt, text",
     [
