@@ -18,6 +18,7 @@ from rulesieve import schema
 from rulesieve.functions.grams import bitmap_bits, pattern_pieces, piece_bitmap, text_pieces
 from rulesieve.functions.literals import TooDeep, literal_regex
 from rulesieve.functions.screen import evidence_screen, names_literals, regex_found
+from rulesieve.session import scratch_path
 from rulesieve.sources.catalogue import local_table, pattern_rules
 
 # Bounds of a compiled catalogue. They bound what reaches the driver (at most
@@ -27,6 +28,8 @@ MAX_PATTERNS = 100_000
 MAX_PATTERN_CHARS = 2_000
 MAX_TOTAL_CHARS = 4_000_000
 REGEX_BLOCK = 256
+# Share of the evidence in which pieces of patterns are counted.
+ANCHOR_SAMPLE = 0.02
 # Literals that one folded expression of the JVM matches faster than rows match their own.
 FOLDED_LITERALS = 200
 
@@ -277,10 +280,13 @@ def _match_distributed(
 def _contained(evidence: DataFrame, patterns: PatternSet, kinds: Sequence[str]) -> DataFrame:
     """Evidence rows with every literal they contain, by equi-join on an anchor.
 
-    Each pattern is represented by one of its pieces, the one fewest other
-    patterns share, so a row and a pattern meet at most once. A bitmap of the
-    anchors, bounded in size, drops nearly all other pieces of the evidence
-    before they leave the task; Spark broadcasts the anchors if they are small.
+    Each pattern is represented by one of its pieces, so a row and a pattern meet
+    at most once: the one rarest in a sample of the evidence, then the one fewest
+    other patterns share. (The sample only decides how many candidates there
+    are, never which matches are found.) A bitmap of the anchors, bounded in
+    size, drops nearly all other pieces of the evidence before they leave the
+    task; Spark broadcasts the anchors if they are small. The anchors are
+    computed once and stored.
     """
     wanted = F.col("kind").isin(*kinds)
     evidence = evidence.where(wanted)
@@ -288,18 +294,31 @@ def _contained(evidence: DataFrame, patterns: PatternSet, kinds: Sequence[str])
     pieces = table.select("kind", "pattern").distinct().select(
         "kind", "pattern", F.inline(pattern_pieces(F.col("pattern")))
     )
-    shared = pieces.groupBy("kind", "size", "piece").agg(F.count("*").alias("n"))
+    pieces = _stored(pieces, "pieces")
+    shared = pieces.groupBy("kind", "size", "piece", "slot").agg(F.count("*").alias("n"))
+    sizes = {r["size"]: r["n"] for r in shared.groupBy("size").agg(F.count("*").alias("n")).collect()}
+    if not sizes:
+        return evidence.where("false").withColumn("pattern", F.lit(None).cast("string"))
+    bits = bitmap_bits(sum(sizes.values()))
+    looked_at = text_pieces(F.col("value"), sorted(sizes), bits, piece_bitmap(shared, bits))
+    in_text = (
+        evidence.sample(ANCHOR_SAMPLE, 1)
+        .select("kind", F.inline(looked_at))
+        .groupBy("kind", "size", "piece")
+        .agg(F.count("*").alias("seen"))
+    )
     # Among equally rare pieces a hash decides: the smallest numbers end in blanks, which text is full of.
-    rarest = F.min(F.struct("n", F.xxhash64("piece").alias("turn"), "piece", "size", "slot"))
+    seen = F.coalesce("seen", F.lit(0)).alias("seen")
+    rarest = F.min(F.struct(seen, "n", F.xxhash64("piece").alias("turn"), "piece", "size", "slot"))
     anchors = (
-        pieces.join(shared, ["kind", "size", "piece"])
+        pieces.join(shared.drop("slot"), ["kind", "size", "piece"])
+        .join(in_text, ["kind", "size", "piece"], "left")
         .groupBy("kind", "pattern")
         .agg(rarest.alias("anchor"))
         .select("kind", "pattern", "anchor.size", "anchor.piece", "anchor.slot")
     )
+    anchors = _stored(anchors, "anchors")
     sizes = {r["size"]: r["count"] for r in anchors.groupBy("size").count().collect()}
-    if not sizes:
-        return evidence.where("false").withColumn("pattern", F.lit(None).cast("string"))
     bits = bitmap_bits(sum(sizes.values()))
     known = text_pieces(F.col("value"), sorted(sizes), bits, piece_bitmap(anchors, bits))
     return (
@@ -310,6 +329,13 @@ def _contained(evidence: DataFrame, patterns: PatternSet, kinds: Sequence[str])
     )
 
 
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    """A table of the catalogue, written once to the shared folder."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _longest_from_hits(contained: DataFrame) -> DataFrame:
     """Leftmost-longest matches from the literals each row is known to contain."""
     rest = F.struct(*[c for c in schema.EVIDENCE.names])
