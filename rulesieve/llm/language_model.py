@@ -27,9 +27,14 @@ from pyspark.sql import DataFrame, functions as F
 from rulesieve.llm.common import WordHashes, batches, fold, stored, text_bytes
 
 #: Tokens of a block, and n-grams of a bucket, about.
-BLOCK_TOKENS, BUCKET_KEYS = 1_500_000, 1_000_000
+BLOCK_TOKENS, BUCKET_KEYS = 1_200_000, 1_000_000
+#: Tokens of a block looked at together; bounds the memory.
+TOKENS_AT_ONCE = 1 << 18
+#: Words are told apart by so many bytes of their hashes.
+WORD_BYTES = 6
+_WORD = np.uint64((1 << 8 * WORD_BYTES) - 1)
 #: Names of the token that ends a text and of the one before its first.
-END, BEGIN = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
+END, BEGIN = np.uint64(0xF42D4C957F2D), np.uint64(0x7B7EF767814F)
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 CONTEXTS, LEVELS = 32, 24  # classes of context frequency; classes of an estimate for the fit
 
@@ -43,11 +48,17 @@ class Settings:
 
 
 def _packed(values: np.ndarray) -> bytes:
-    return zlib.compress(np.ascontiguousarray(values).tobytes(), 1)
+    """Numbers from 0, byte by byte of all of them, as many bytes as the largest needs."""
+    width = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    planes = values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T
+    return bytes([width]) + zlib.compress(planes.tobytes(), 1)
 
 
-def _unpacked(content: bytes, kind: str) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(content), kind)
+def _unpacked(content: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(memoryview(content)[1:]), np.uint8).reshape(content[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : len(planes)] = planes.T
+    return out.view("<i8")[:, 0]
 
 
 def _blocks(docs: DataFrame) -> DataFrame:
@@ -72,8 +83,8 @@ def _blocks(docs: DataFrame) -> DataFrame:
                 pa.array([ids], pa.list_(pa.int64())),
                 pa.array([held], pa.list_(pa.bool_())),
                 pa.array([_packed(lengths)], pa.binary()),
-                pa.array([words.tobytes()], pa.binary()),
-                pa.array([_packed(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T)], pa.binary()),
+                pa.array([words.view(np.uint8).reshape(-1, 8)[:, :WORD_BYTES].tobytes()], pa.binary()),
+                pa.array([_packed(codes)], pa.binary()),
                 pa.array([len(tokens)], pa.int64()),
                 pa.array([train], pa.int64()),
             ],
@@ -89,7 +100,7 @@ def _blocks(docs: DataFrame) -> DataFrame:
             ):
                 ids.append(i)
                 held.append(h)
-                parts.append(np.append(hashes.of(t.lower().split()), END))
+                parts.append(np.append(hashes.of(t.lower().split()) & _WORD, END))
                 n += len(parts[-1])
                 if n >= BLOCK_TOKENS:
                     yield block(ids, held, parts)
@@ -109,10 +120,11 @@ class Tokens:
 
     def __init__(self, row: dict):
         self.ids, self.held = row["ids"], np.array(row["held"], bool)
-        self.lengths = _unpacked(row["lengths"], "<i8")
-        planes = _unpacked(row["codes"], np.uint8).reshape(4, -1)
-        codes = np.ascontiguousarray(planes.T).view("<u4")[:, 0]
-        self.names = np.frombuffer(row["words"], np.uint64)[codes]
+        self.lengths = _unpacked(row["lengths"])
+        stored = np.frombuffer(row["words"], np.uint8).reshape(-1, WORD_BYTES)
+        words = np.zeros((len(stored), 8), np.uint8)
+        words[:, :WORD_BYTES] = stored
+        self.names = words.view(np.uint64)[:, 0][_unpacked(row["codes"])]
         self.first = np.cumsum(self.lengths) - self.lengths  # where texts begin
 
     def grams(self, order: int) -> np.ndarray:
@@ -179,15 +191,15 @@ def _replies(requests: DataFrame) -> DataFrame:
     """Per request the counts of its keys over all blocks; ``types`` counts trained keys, once a bucket."""
 
     def run(table: pa.Table) -> pa.Table:
-        highs = [np.cumsum(_unpacked(x, "<u2"), dtype="<u2") for x in table.column("high").to_pylist()]
+        highs = [np.cumsum(_unpacked(x), dtype="<u2") for x in table.column("high").to_pylist()]
         keys = np.concatenate(highs).astype("<u8") << np.uint64(24)
         low = np.frombuffer(b"".join(table.column("low").to_pylist()), np.uint8).reshape(-1, 3)
         keys.view(np.uint8).reshape(-1, 8)[:, :3] = low
-        counts = np.concatenate([_unpacked(x, "<u4") for x in table.column("counts").to_pylist()])
+        counts = np.concatenate([_unpacked(x) for x in table.column("counts").to_pylist()])
         found, place = np.unique(keys, return_inverse=True)
         totals = np.bincount(place, weights=counts, minlength=len(found)).astype("<u8")
         ends = np.cumsum([len(x) for x in highs])
-        answers = [_packed(x.astype("<u8")) for x in np.split(totals[place], ends[:-1])]
+        answers = [_packed(x) for x in np.split(totals[place], ends[:-1])]
         types = [int((totals > 0).sum())] + [0] * (len(answers) - 1)
         return pa.table(
             {
@@ -276,24 +288,29 @@ def interpolated(
         for n, bucket, answer in sorted(
             zip(*(right.column(c).to_pylist() for c in ("n", "bucket", "answer"))), key=lambda x: x[:2]
         ):
-            answers.setdefault(n, []).append(_unpacked(answer, "<u8"))
-        counts = [np.concatenate(answers[n])[_keys(block.grams(n), bits)[1]].astype(np.int64) for n in range(1, order + 1)]
-        # Training tokens as predicted from all others. Contexts are those of the fit below.
-        own = np.repeat(~block.held, block.lengths)
-        longest = counts[::-1]
+            answers.setdefault(n, []).append(_unpacked(answer))
+        counts = [np.concatenate(answers[n])[_keys(block.grams(n), bits)[1]] for n in range(1, order + 1)]
+        # Training tokens as predicted from all others.
+        train = np.repeat(~block.held, block.lengths)
         begun = int(right.column("begun")[0].as_py())
         contexts = _contexts(counts, block.first, begun, trained)
-        deleted = [c[own] - 1 for c in longest], [c[own] - 1 for c in contexts]
-        cells = context_classes(deleted[1][:-1] or deleted[1])
-        for p in estimates(*deleted).T:
-            cells = cells * LEVELS + _level(p)
-        cells, numbers = np.unique(cells, return_counts=True)
+        found = []
+        for at in range(0, len(train), TOKENS_AT_ONCE):
+            part = slice(at, at + TOKENS_AT_ONCE)
+            own = train[part]
+            deleted = [c[part][own] - 1 for c in counts[::-1]], [c[part][own] - 1 for c in contexts]
+            cells = context_classes(deleted[1][:-1] or deleted[1])
+            for p in estimates(*deleted).T:
+                cells = cells * LEVELS + _level(p)
+            found.append(np.unique(cells, return_counts=True))
+        cells, place = np.unique(np.concatenate([c for c, _ in found]), return_inverse=True)
+        numbers = np.bincount(place, np.concatenate([n for _, n in found]), len(cells)).astype(np.int64)
         return pa.table(
             {
                 "ids": pa.array([row["ids"]], pa.list_(pa.int64())),
                 "held": pa.array([row["held"]], pa.list_(pa.bool_())),
                 "lengths": pa.array([row["lengths"]], pa.binary()),
-                "counts": pa.array([[_packed(c.astype("<u8")) for c in counts]], pa.list_(pa.binary())),
+                "counts": pa.array([[_packed(c) for c in counts]], pa.list_(pa.binary())),
                 "cells": pa.array([[{"cell": c, "n": n} for c, n in zip(cells.tolist(), numbers.tolist())]],
                                   pa.list_(pa.struct([("cell", pa.int64()), ("n", pa.int64())]))),
             }
@@ -320,13 +337,13 @@ def interpolated(
     def score(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             for row in batch.to_pylist():
-                lengths = _unpacked(row["lengths"], "<i8")
-                counts = [_unpacked(c, "<u8").astype(np.int64) for c in row["counts"]]
+                lengths = _unpacked(row["lengths"])
+                counts = [_unpacked(c) for c in row["counts"]]
                 first = np.cumsum(lengths) - lengths
                 contexts = _contexts(counts, first, begun, trained)
                 scores = np.empty(len(counts[0]))
-                for at in range(0, len(scores), 1 << 18):  # bounds the memory of what follows
-                    own = slice(at, at + (1 << 18))
+                for at in range(0, len(scores), TOKENS_AT_ONCE):
+                    own = slice(at, at + TOKENS_AT_ONCE)
                     seen = [c[own] for c in contexts]
                     p = estimates([c[own] for c in counts[::-1]], seen)
                     w = weights[context_classes(seen[:-1] or seen)]
