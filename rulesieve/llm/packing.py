@@ -25,18 +25,22 @@ RANKED_TOGETHER = 1_000_000
 PIECES = "id long, start long, length long, ids binary, doc_tokens long"
 
 # Runs between which a byte-level BPE never merges, for texts whose only white
-# space is blanks and line feeds: blanks but the last before a word, a word
-# with the one blank or line feed before it, blanks at the end.
-_RUNS = re.compile(r"[ \n]+(?=[ \n][^ \n])|[ \n]?[^ \n]+|[ \n]+")
+# space is blanks and line feeds: a word with the one blank or line feed before
+# it, blanks but the last before a word, blanks at the end.
+_RUNS = re.compile(r"[ \n]?[^ \n]+|[ \n]+(?=[ \n][^ \n])|[ \n]+")
 _OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
 # Texts of these characters are split alike by both libraries.
 _LATIN = re.compile("[\x00-\u024f]*")
 
 
+class NotByRuns(Exception):
+    """A text with other white space or special tokens has to be encoded whole."""
+
+
 class RunIds(dict):
     """Token ids of runs as little-endian 32-bit numbers, remembered for a while.
 
-    ``ranks`` names the same vocabulary as a list of ranks; with it, Latin runs
+    Only runs that stand for themselves are remembered. ``ranks`` names the same vocabulary as a list of ranks; with it, Latin runs
     are encoded by the faster library, with equal ids.
     """
 
@@ -48,12 +52,15 @@ class RunIds(dict):
 
         self.tokenizer, self.latin = Tokenizer.from_file(path), None
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.spaced = [s for s in self.special if len(_RUNS.findall(s)) > 1]  # would be cut by runs
         if ranks:
             with open(ranks, "rb") as lines:
                 table = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
             self.latin = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
 
     def __missing__(self, run: str) -> bytes:
+        if _OTHER_SPACE.search(run) or any(s in run for s in self.special):
+            raise NotByRuns
         if len(self) >= CACHE_ENTRIES:
             self.clear()
         if self.latin and _LATIN.fullmatch(run):
@@ -68,9 +75,12 @@ class RunIds(dict):
         return np.array(ids, "<u4").tobytes()
 
     def of(self, text: str) -> bytes:
-        if _OTHER_SPACE.search(text) or any(s in text for s in self.special):
+        if self.spaced and any(s in text for s in self.spaced):
+            return self.whole(text)
+        try:
+            return b"".join(map(self.__getitem__, _RUNS.findall(text)))
+        except NotByRuns:
             return self.whole(text)
-        return b"".join(map(self.__getitem__, _RUNS.findall(text)))
 
 
 def token_pieces(
