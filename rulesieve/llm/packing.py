@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,8 @@ PIECES = "id long, start long, length long, ids binary, doc_tokens long"
 # it, blanks but the last before a word, blanks at the end.
 _RUNS = re.compile(r"[ \n]?[^ \n]+|[ \n]+(?=[ \n][^ \n])|[ \n]+")
 _OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
-# Texts of these characters are split alike by both libraries.
-_LATIN = re.compile("[\x00-\u024f]*")
+# Runs that both libraries split alike: ASCII and Latin, without other white space.
+_LATIN = re.compile("[ \\n!-~\u00a1-\u024f]*")
 
 
 class NotByRuns(Exception):
@@ -40,8 +41,10 @@ class NotByRuns(Exception):
 class RunIds(dict):
     """Token ids of runs as little-endian 32-bit numbers, remembered for a while.
 
-    Only runs that stand for themselves are remembered. ``ranks`` names the same vocabulary as a list of ranks; with it, Latin runs
-    are encoded by the faster library, with equal ids.
+    Only runs that stand for themselves are remembered. ``ranks`` names the same
+    vocabulary as a list of ranks; with it, the new Latin runs of a text are
+    encoded together by the faster library, with equal ids, and cut apart by
+    the lengths of their tokens.
     """
 
     def __init__(self, path: str, ranks: str | None = None, pattern: str | None = None):
@@ -57,30 +60,45 @@ class RunIds(dict):
             with open(ranks, "rb") as lines:
                 table = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
             self.latin = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
-
-    def __missing__(self, run: str) -> bytes:
-        if _OTHER_SPACE.search(run) or any(s in run for s in self.special):
-            raise NotByRuns
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        if self.latin and _LATIN.fullmatch(run):
-            value = np.array(self.latin.encode_ordinary(run), "<u4").tobytes()
-        else:
-            value = self.whole(run)
-        self[run] = value
-        return value
+            self.sizes = np.zeros(max(table.values()) + 1, np.int64)
+            for token, rank in table.items():
+                self.sizes[rank] = len(token)
 
     def whole(self, text: str) -> bytes:
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def learn(self, runs: set[str]) -> None:
+        # A word after one blank or line feed begins a token, whatever stands before it.
+        words = [r for r in runs if self.latin and len(r) > 1 and r[0] in " \n" and r[1] not in " \n"]
+        text = "".join(words)
+        if not _LATIN.fullmatch(text) or any(s in text for s in self.special):
+            words = [r for r in words if _LATIN.fullmatch(r) and not any(s in r for s in self.special)]
+            text = "".join(words)
+        for run in runs.difference(words):
+            if _OTHER_SPACE.search(run) or any(s in run for s in self.special):
+                raise NotByRuns
+            self[run] = self.whole(run)
+        if words:
+            ids = np.array(self.latin.encode_ordinary(text), "<u4")
+            ends = np.cumsum([len(r.encode()) for r in words])
+            cuts = (np.searchsorted(np.cumsum(self.sizes[ids]), ends) + 1).tolist()
+            data = ids.tobytes()
+            for run, start, end in zip(words, [0, *cuts], cuts):
+                self[run] = data[4 * start : 4 * end]
 
     def of(self, text: str) -> bytes:
         if self.spaced and any(s in text for s in self.spaced):
             return self.whole(text)
+        if len(self) >= CACHE_ENTRIES:
+            self.clear()
+        runs = _RUNS.findall(text)
+        new = set(filterfalse(self.__contains__, set(runs)))
         try:
-            return b"".join(map(self.__getitem__, _RUNS.findall(text)))
+            if new:
+                self.learn(new)
         except NotByRuns:
             return self.whole(text)
+        return b"".join(map(self.__getitem__, runs))
 
 
 def token_pieces(
@@ -95,9 +113,9 @@ def token_pieces(
 
     ``tokenizer`` is the path of a byte-level BPE file, ``ranks`` and
     ``pattern`` (optional) the same vocabulary as ranks and its pattern of
-    words. ``ids`` holds little-endian unsigned 32-bit numbers. Each document ends with ``end_id``;
-    a null text is empty, so it is one piece of that id alone. Rows that repeat
-    are documents of their own; a null id stays null.
+    words. ``ids`` holds little-endian unsigned 32-bit numbers. Each document
+    ends with ``end_id``; a null text is empty, so it is one piece of that id
+    alone. Rows that repeat are documents of their own; a null id stays null.
     """
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
