@@ -1,9 +1,15 @@
 """Secrets in texts: plain patterns, and structures confirmed by decoding.
 
 A pattern alone reports much that is no secret and misses keys that stand
-without a name. So besides the plain patterns, every long base64 or hex run is
-decoded and reported only if its bytes parse as a private key, with all nested
-lengths in place, or as a signed token with a readable header.
+without a name. So besides the plain patterns, base64 and hex runs are decoded
+and reported only if bytes parse as a private key, with all nested lengths in
+place, or as a signed token with a readable header. A run may be wrapped over
+lines (the first of 16 characters or more), its line ends may be spelled as
+escapes (``\\n``), and a key may start and end anywhere in it, so a path or a
+name may be glued to it. A run that decodes to a text with an armoured key or a
+signed token is reported from the character on that spells its begin to the end
+of the line that spells its end. A run without padding takes in a next line that
+begins with characters of its alphabet, as that may be its rest.
 """
 
 from __future__ import annotations
@@ -26,8 +32,21 @@ _ASSIGN = re.compile(
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _LONG_HEX = re.compile(r"[0-9a-f]{24,}")
 _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----([^-]*(?:-(?!----)[^-]*)*)-----END \1-----")
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{32,}={0,2}")
-_ANY_HEX = re.compile(r"(?:[0-9a-f]{64,}|[0-9A-F]{64,})")
+_ESCAPED = re.compile(r"\\+(?:([rnt])|u([0-9A-Fa-f]{4})|(?=/))")
+_LINE_END = re.compile(r"[ \t]*(?:\r\n?|\n)[ \t]*")
+#: Line ends, plain or escaped, and the backslash of an escaped slash.
+_BREAK = r"(?:(?:[ \t]*(?:[\r\n]|\\+[rn]))+[ \t]*|\\+(?=/))"
+_BASE64 = re.compile(rf"[A-Za-z0-9+/_-]{{16,}}(?:{_BREAK}[A-Za-z0-9+/_-]+)*")
+_LOWER_HEX, _UPPER_HEX = (re.compile(rf"[0-9{x}]{{16,}}(?:{_BREAK}[0-9{x}]+)*") for x in ("a-f", "A-F"))
+_BREAKS = re.compile(_BREAK)
+#: How keys begin, and "-----BEGIN" and "eyJ" at each place within three bytes, with the characters before.
+_BASE64_MARKS = re.compile(
+    r"(?=(?:(?P<der>M[A-I])|(?P<ssh>b3BlbnNzaC1rZXktdjE)|(?P<at0>LS0tLS1CRUdJT|ZXlK)"
+    r"|(?P<at2>0tLS0tQkVHSU|V5S)|(?P<at3>tLS0tLUJFR0lO|leU[opqr])))"
+)
+_HEX_MARKS = re.compile(
+    r"(?=(?:(?P<der>30)|(?P<ssh>6f70656e7373682d6b65792d763100)|(?P<at0>2d2d2d2d2d424547494e|65794a)))", re.I
+)
 _TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{10,})\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
 _NAMES = ("password", "passwd", "secret", "token", "api")
 _SSH = b"openssh-key-v1\0"
@@ -44,10 +63,10 @@ def _base64_bytes(text: str) -> bytes | None:
 
 
 def _elements(data: bytes) -> list[tuple[int, bytes]] | None:
-    """Tags and contents of DER elements that fill ``data`` exactly, else nothing."""
+    """Tags and contents of DER elements that fill ``data`` exactly, else nothing; no key has over 16 side by side."""
     out, at = [], 0
     while at < len(data):
-        if at + 2 > len(data):
+        if at + 2 > len(data) or len(out) == 16:
             return None
         tag, size, at = data[at], data[at + 1], at + 2
         if size & 0x80:
@@ -88,25 +107,46 @@ def is_der_key(data: bytes | None) -> bool:
     return set(tags) == {integer} and len(tags) in (6, 9)
 
 
-def is_ssh_key(data: bytes | None) -> bool:
-    """The container of OpenSSH keys: magic, then strings with their lengths."""
-    if not data or not data.startswith(_SSH):
-        return False
-    at = len(_SSH)
-
-    def string() -> bytes | None:
+def _der_key_end(data: bytes, at: int) -> int:
+    """Where the private key that begins at ``at`` ends, by its own length; 0 if there is none."""
+    head = data[at : at + 9]
+    if len(head) < 9 or head[0] != 0x30:
+        return 0
+    n = head[1] & 0x7F if head[1] & 0x80 else 0
+    if n > 4 or head[1] == 0x80:
+        return 0
+    inner = 2 + n
+    end = at + inner + (int.from_bytes(head[2:inner], "big") if n else head[1])
+    # Its first element is a version or a SEQUENCE; a longer look is only worth it then.
+    if end > len(data) or not (head[inner] == 0x30 or head[inner : inner + 2] == b"\x02\x01"):
+        return 0
+    return end if is_der_key(data[at:end]) else 0
+
+
+def _ssh_key_end(data: bytes, start: int = 0) -> int:
+    """Where the OpenSSH container that begins at ``start`` ends; 0 if there is none."""
+    if data[start : start + len(_SSH)] != _SSH:
+        return 0
+    at = start + len(_SSH)
+
+    def string() -> int | None:
         nonlocal at
         size = int.from_bytes(data[at : at + 4], "big")
         if at + 4 + size > len(data):
             return None
         at += 4 + size
-        return data[at - size : at]
+        return size
 
     if any(string() is None for _ in range(3)):
-        return False
+        return 0
     keys = int.from_bytes(data[at : at + 4], "big")
     at += 4
-    return 1 <= keys <= 16 and all(string() for _ in range(keys)) and bool(string())
+    return at if 1 <= keys <= 16 and all(string() for _ in range(keys)) and string() else 0
+
+
+def is_ssh_key(data: bytes | None) -> bool:
+    """The container of OpenSSH keys: magic, then strings with their lengths."""
+    return bool(data and _ssh_key_end(data))
 
 
 def is_signed_token(header: str, payload: str) -> bool:
@@ -130,36 +170,115 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def _has_long_word(text: str) -> bool:
-    """Whether a run of 24 characters without white space occurs; all encodings looked for are such runs."""
-    return max(map(len, text.split()), default=0) >= 24
+def _has_long_word(text: str, size: int = 24) -> bool:
+    """Whether a run of so many characters without white space occurs; all encodings looked for have such runs."""
+    return max(map(len, text.split()), default=0) >= size
+
+
+def _unescaped(text: str) -> str:
+    """Line ends and other characters that a JSON text spells as escapes."""
+    if "\\" not in text:
+        return text
+    plain = {"r": "\r", "n": "\n", "t": "\t"}
+    return _ESCAPED.sub(lambda m: plain[m[1]] if m[1] else chr(int(m[2], 16)) if m[2] else "", text)
+
+
+def _base64_from(run: str) -> bytes:
+    """Of a run of base64 characters only, as far as whole bytes go."""
+    size = len(run) if len(run) % 4 != 1 else len(run) - 1
+    return _base64_bytes(run[:size]) or b""
+
+
+def _hex_from(run: str) -> bytes:
+    return bytes.fromhex(run[: len(run) // 2 * 2])
+
+
+def _spare_bits(last: str, size: int) -> int:
+    """The bits of the last character that hold no more of ``size`` bytes."""
+    value = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/".find({"-": "+", "_": "/"}.get(last, last))
+    return value & (0, 15, 3)[size % 3]
+
+
+def _run_spans(text: str, runs: re.Pattern, marks: re.Pattern, base64_run: bool, pems: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
+    """What begins at a mark within a run."""
+    out = []
+    chars, size = (4, 3) if base64_run else (2, 1)
+    decode = _base64_from if base64_run else _hex_from
+    for m in runs.finditer(text):
+        run, places = m[0], None
+        breaks = [b.span() for b in _BREAKS.finditer(run)]
+        if breaks:
+            # The body of an armoured key is reported with its armour.
+            if any(a <= m.start() < b for a, b in pems):
+                continue
+            whole, places, at = run, [], 0
+            for a, b in [*breaks, (len(run), len(run))]:
+                places.extend(range(at, a))
+                at = b
+            run = "".join(whole[i] for i in places)
+        if len(run) < 32:
+            continue
+
+        def source(at: int) -> int:
+            return m.start() + (places[at] if places is not None else at)
+
+        decoded: dict[int, bytes] = {}  # from each first place within a group of characters on
+        read, after = set(), 0
+        for mark in marks.finditer(run):
+            kind, start = mark.lastgroup, mark.start()
+            inside = kind.startswith("at")
+            start -= int(kind[2:]) if inside else 0
+            if start < 0 or start < after:
+                continue
+            phase = start % chars
+            if phase not in decoded:
+                decoded[phase] = decode(run[phase:])
+            data, at = decoded[phase], (start - phase) // chars * size
+            if inside:
+                if phase in read:
+                    continue
+                read.add(phase)
+                found = confirmed_spans(data[at:].decode("latin-1"))
+                found = [(k, b) for k, _, b in found if k in ("pem_key", "signed_token")]
+                kinds, n = {k for k, _ in found}, max((b for _, b in found), default=0)
+                # To the end of the line.
+                end = min(len(run), start + (-(-n * 4 // 3) if base64_run else 2 * n))
+                while kinds and end < len(run) and (places is None or places[end] == places[end - 1] + 1):
+                    end += 1
+            else:
+                end = _der_key_end(data, at) if kind == "der" else _ssh_key_end(data, at)
+                kinds, n = {f"{kind}_key"} if end else set(), end - at
+                end = start + (-(-n * 4 // 3) if base64_run else 2 * n)
+                if kinds and base64_run and _spare_bits(run[end - 1], n):
+                    continue
+            if kinds:
+                last = source(end - 1) + 1
+                if base64_run and (end == len(run) or text[last : last + 1] == "="):
+                    last += min(2, len(text[last : last + 2]) - len(text[last : last + 2].lstrip("=")))
+                out += [(k, source(start), last) for k in sorted(kinds)]
+                after = end
+    return out
 
 
 def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
     """What decoding and parsing confirms."""
     out = []
-    if not _has_long_word(text):
+    if not _has_long_word(text, 16):
         return out
     if "-----BEGIN" in text:
         for m in _PEM.finditer(text):
-            sealed = "ENCRYPTED" in m[2].split("\n\n")[0] and ":" in m[2]
-            data = _base64_bytes("".join(m[2].split("\n\n")[-1].split()))
+            body = _LINE_END.sub("\n", _unescaped(m[2]))
+            sealed = "ENCRYPTED" in body.split("\n\n")[0] and ":" in body
+            data = _base64_bytes("".join(body.split("\n\n")[-1].split()))
             if is_der_key(data) or is_ssh_key(data) or sealed and data:
                 out.append(("pem_key", *m.span()))
-    for m in _BASE64.finditer(text):
-        if m[0].startswith("M"):  # how the tag of a SEQUENCE is spelled
-            if is_der_key(_base64_bytes(m[0])):
-                out.append(("der_key", *m.span()))
-        elif m[0].startswith("b3BlbnNzaC1rZXktdjE") and is_ssh_key(_base64_bytes(m[0])):
-            out.append(("ssh_key", *m.span()))
-    for m in _ANY_HEX.finditer(text):
-        data = bytes.fromhex(m[0][: len(m[0]) // 2 * 2])
-        kind = "der_key" if is_der_key(data) else "ssh_key" if is_ssh_key(data) else None
-        if kind:
-            out.append((kind, *m.span()))
+    pems = [(start, end) for _, start, end in out]
+    out += _run_spans(text, _BASE64, _BASE64_MARKS, True, pems)
+    for runs in (_LOWER_HEX, _UPPER_HEX):
+        out += _run_spans(text, runs, _HEX_MARKS, False, pems)
     if "eyJ" in text:
         out += [("signed_token", *m.span()) for m in _TOKEN.finditer(text) if is_signed_token(m[1], m[2])]
-    return out
+    return list(dict.fromkeys(out))
 
 
 def all_spans(text: str) -> list[tuple[str, int, int]]:

@@ -89,3 +89,47 @@ def test_columns(spark, docs, no_docs, clashing):
     row = spans(twice).first()
     assert [s["kind"] for s in row["spans"]] == ["signed_token", "assign", "signed_token"]  # overlapping spans stay
     assert row["t"] == "[secret] [secret]"
+
+
+LINES = lambda s, sep="\n", n=64: sep.join(re.findall(f".{{1,{n}}}", s))
+PEM = f"-----BEGIN PRIVATE KEY-----\n{LINES(B64(PKCS8))}\n-----END PRIVATE KEY-----\n"
+SEALED_PEM = "-----BEGIN RSA PRIVATE KEY-----\r\nProc-Type: 4,ENCRYPTED\r\nDEK-Info: AES-128-CBC,AB\r\n\r\n" + B64(b"z" * 60) + "\r\n-----END RSA PRIVATE KEY-----"
+
+
+@pytest.mark.parametrize("before, after", [(" ", " "), ("/keys/", "/x"), ("key-", "-"), ("id_", "_"), ("abc", " "), ("a=b&key=", "&c"), ("\\n", "\\n")])
+@pytest.mark.parametrize("secret", [RSA, PKCS8, EC, SEALED, SSH])
+@pytest.mark.parametrize("form", [B64, URL, LINES, bytes.hex])
+def test_keys_glued_or_wrapped(before, after, secret, form):
+    coded = LINES(B64(secret)) if form is LINES else form(secret)
+    if form is bytes.hex:
+        before, after = before.replace("abc", "xyz"), after
+    text = f"é see{before}{coded}{after}end"
+    kind = "ssh_key" if secret is SSH else "der_key"
+    assert (kind, 5 + len(before), 5 + len(before) + len(coded)) in sc.all_spans(text)
+
+
+@pytest.mark.parametrize("sep", ["\\n", "\\r\\n", "\\\\n", "\r\n", "\n  "])
+def test_line_ends_of_any_spelling(sep):
+    coded = LINES(B64(RSA), sep, 76)
+    assert sc.confirmed_spans(f"x: {coded}") == [("der_key", 3, 3 + len(coded))]
+    for pem in (PEM.strip(), SEALED_PEM.replace("\r\n", "\n")):
+        armoured = pem.replace("\n", sep)
+        assert ("pem_key", 4, 4 + len(armoured)) in sc.confirmed_spans(f'{{a:"{armoured}"}}')
+    account = json.dumps({"type": "service_account", "private_key": PEM})
+    assert [k for k, *_ in sc.confirmed_spans(account)] [:1] == ["pem_key"]
+
+
+@pytest.mark.parametrize("kind, plain_text", [("pem_key", PEM), ("pem_key", json.dumps({"k": PEM})), ("signed_token", TOKEN), ("signed_token", f"Bearer {TOKEN}\n")])
+@pytest.mark.parametrize("lead", ["", "a", "ab", "abc: "])
+def test_coded_texts_with_keys_or_tokens(kind, plain_text, lead):
+    lead = lead if lead[-1:] in ("", " ") else lead + " "
+    data = (lead + plain_text).encode()
+    for coded in (B64(data), LINES(B64(data), "\n  ", 76), data.hex()):
+        found = [(a, b) for k, a, b in sc.confirmed_spans(f"data: {coded} end") if k == kind]
+        assert len(found) == 1 and 6 <= found[0][0] <= 6 + 2 * len(lead) + 30 and found[0][1] == 6 + len(coded), coded
+    assert not sc.confirmed_spans(B64((lead + plain_text[:40]).encode()))
+
+
+def test_redaction_leaves_nothing_of_an_escaped_key(spark):
+    df = spark.createDataFrame([(json.dumps({"private_key": PEM}),), (f"tls.key: {B64(PEM.encode())}",)], "text string")
+    assert [r["t"] for r in df.select(sc.redacted(F.col("text")).alias("t")).collect()] == ['{"private_key": "[secret]\\n"}', "tls.key: [secret]"]
