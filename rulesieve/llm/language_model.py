@@ -36,7 +36,9 @@ _WORD = np.uint64((1 << 8 * WORD_BYTES) - 1)
 #: Names of the token that ends a text and of the one before its first.
 END, BEGIN = np.uint64(0xF42D4C957F2D), np.uint64(0x7B7EF767814F)
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
-CONTEXTS, LEVELS = 32, 24  # classes of context frequency; classes of an estimate for the fit
+CONTEXTS = 32  # classes of context frequency
+#: Classes of an estimate for the fit: 0 and powers of two down to 2 ** -62, below that of any count in a corpus.
+LEVELS = 64
 
 
 @dataclass(frozen=True)

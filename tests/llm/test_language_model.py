@@ -74,6 +74,30 @@ def test_weights_maximise_the_likelihood():
     assert w[0] == pytest.approx(best, abs=0.01) and w.sum() == pytest.approx(1)
 
 
+def unrounded_weights(counts, words, total, uniform, rounds):
+    """Expectation maximisation of unigram and uniform on the deleted estimates as they are."""
+    p, w = np.column_stack([(counts - 1) / (total - 1), np.full(len(counts), uniform)]), np.array([0.5, 0.5])
+    for _ in range(rounds):
+        share = w * p
+        share *= (counts * words / share.sum(1))[:, None]
+        w = share.sum(0) / share.sum()
+    return w
+
+
+@pytest.mark.parametrize("total", [10**5, 10**7, 5 * 10**9])
+def test_weights_do_not_depend_on_the_size_of_the_corpus(total):
+    """Counts of a large corpus, by Zipf: the rounded fit learns about what the unrounded one does."""
+    ranks = np.unique(np.geomspace(1, total / 20, 4_000).astype(np.int64))
+    words = np.diff(np.append(ranks, total // 20)).astype(float)  # words that share a count
+    words = np.maximum(words, 1)
+    counts = np.maximum(np.round(total / 22 / ranks), 1)
+    total, uniform = float((counts * words).sum()), 1 / (words.sum() + 1)
+    want = unrounded_weights(counts, words, total, uniform, 40)
+    level = lm._level((counts - 1) / (total - 1))
+    got = lm.learned_weights(level, counts * words, 1, uniform, 40)[0]
+    assert got[1] == pytest.approx(want[1], rel=0.15)  # powers of two
+
+
 def test_mixture_beats_the_base_on_held_out(spark):
     import random
 
