@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import sys
+from collections.abc import Callable, Hashable, Iterator
+from types import SimpleNamespace
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +61,18 @@ def fold(id_column: Column, folds: int) -> Column:
     return F.pmod(F.crc32(id_column.cast("string").cast("binary")), F.lit(folds))
 
 
+def per_process(key: Hashable, make: Callable[[], Any]) -> Any:
+    """``make()``, called once in a Python worker.
+
+    Functions come to executors by value, so what their module holds is new in
+    every task; a worker runs many tasks.
+    """
+    kept = sys.modules.setdefault("rulesieve_kept", SimpleNamespace(values={})).values
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
 def text_bytes(column: pa.Array) -> list[bytes]:
     """Texts as UTF-8, null as empty."""
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]

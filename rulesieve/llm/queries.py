@@ -13,7 +13,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rulesieve.llm import (
+    alignment,
+    infill,
     language_model,
+    licenses,
     matroska,
     packing,
     quality,
@@ -177,8 +180,88 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.assign_sequences(digests, WINDOW).withColumnRenamed("id", "doc_id")
 
 
+@query
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's tokens by two tokenizers, grouped, linked and counted."""
+    found = alignment.aligned(
+        documents(spark, sf_dir),
+        public_tokenizers.path("byte_bpe_50k.json"),
+        public_tokenizers.path("piece_bpe_32k.model"),
+        public_tokenizers.path("byte_bpe_50k.tiktoken"),
+        public_tokenizers.PATTERN,
+        digest=True,
+    )
+    return found.withColumnRenamed("groups", "groups_sha256")
+
+
+@query
+def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text with its middle moved to the end, and rebuilt from that."""
+    found = infill.infilled(documents(spark, sf_dir))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(infill.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+@query
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licenses that every text names or quotes."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return licenses.license_labels(docs).select(
+        "doc_id",
+        "license.n_words",
+        F.size("license.starts").cast("long").alias("n_base"),
+        F.array_min("license.starts").cast("long").alias("first_word"),
+        F.array_max("license.starts").cast("long").alias("last_word"),
+        F.array_join("license.base_labels", ",").alias("base_labels"),
+        F.array_join("license.labels", ",").alias("labels"),
+        "license.score",
+    )
+
+
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+
+
+def _license_sql() -> str:
+    """Phrases and templates by brute force over all windows of all texts."""
+    chosen = licenses.template_parameters(licenses.TEMPLATES, licenses.THRESHOLD)
+    templates = ", ".join(f"({t['number']}, '{t['label']}', {t['words']}, {t['need']}, {t['window']})" for t in chosen)
+    phrases = ", ".join(f"('{label}', {licenses.plain_words(phrase)})" for phrase, label in licenses.PHRASES)
+    lowered = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+        WITH t(number, label, words, need, win) AS (VALUES {templates}),
+        p(label, words) AS (VALUES {phrases}),
+        d AS (
+            SELECT *, row_number() OVER () AS r FROM (
+                SELECT doc_id, regexp_extract_all({lowered}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+                FROM documents)),
+        b AS (
+            SELECT r, i AS pos, p.label
+            FROM (SELECT r, w, unnest(range(0, len(w))) AS i FROM d) x JOIN p ON w[i + 1:i + len(p.words)] = p.words),
+        k AS (
+            SELECT r, t.*, w, unnest(range(0, greatest(1, (len(w) + win // 2 - 1) // (win // 2) - 1))) * (win // 2) AS pos
+            FROM d JOIN t ON len(list_intersect(t.words, d.w)) >= t.need),
+        o AS (
+            SELECT r, label, len(list_intersect(words, w[pos + 1:pos + win])) AS n, need, len(words) AS size FROM k),
+        f AS (SELECT r, label, n / size AS share FROM o WHERE n >= need),
+        l AS (SELECT r, label FROM b UNION SELECT r, label FROM f)
+        SELECT d.doc_id, len(w) AS n_words,
+               (SELECT count(*) FROM b WHERE b.r = d.r) AS n_base,
+               (SELECT min(pos) FROM b WHERE b.r = d.r) AS first_word,
+               (SELECT max(pos) FROM b WHERE b.r = d.r) AS last_word,
+               coalesce((SELECT string_agg(DISTINCT label, ',' ORDER BY label) FROM b WHERE b.r = d.r), '') AS base_labels,
+               coalesce((SELECT string_agg(DISTINCT label, ',' ORDER BY label) FROM l WHERE l.r = d.r), '') AS labels,
+               coalesce((SELECT max(1.0::DOUBLE) FROM b WHERE b.r = d.r), (SELECT max(share) FROM f WHERE f.r = d.r), 0.0) AS score
+        FROM d"""
+
+
 ORACLES: dict[str, str] = {
     "op2_topk": """
         WITH v AS (
@@ -208,4 +291,24 @@ ORACLES: dict[str, str] = {
         SELECT d.doc_id, len(d.w) AS n_words, len(d.w) - coalesce(k.n, 0) AS n_removed,
                sha256(coalesce(k.kept, '')) AS kept_sha256
         FROM d LEFT JOIN k ON d.doc_id = k.doc_id""",
+    "op12_infill": """
+        WITH d AS (
+            SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n,
+                   sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+        x AS (
+            SELECT *, CAST('0x' || h[1:8] AS BIGINT) % (n + 1) AS c1, CAST('0x' || h[9:16] AS BIGINT) % (n + 1) AS c2,
+                   CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>')
+                             OR CAST('0x' || h[17:24] AS BIGINT) % 100 >= 90 THEN 'plain'
+                        WHEN CAST('0x' || h[25:32] AS BIGINT) % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+        y AS (
+            SELECT *, least(c1, c2) AS p, greatest(c1, c2) - least(c1, c2) AS m FROM x),
+        z AS (
+            SELECT *, substring(t, 1, p) AS pre, substring(t, p + 1, m) AS mid, substring(t, p + m + 1) AS suf FROM y)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN p END AS prefix_chars,
+               CASE WHEN form <> 'plain' THEN m END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+                      ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+               sha256(t) AS restored_sha256
+        FROM z""",
+    "op13_licenses": _license_sql(),
 }

@@ -20,6 +20,9 @@ COLUMNS = {
     "op7_secret_scan": "doc_id n_assign n_access n_hex base_sha256 spans",
     "op8_sentencepieces": "doc_id n_ids ids_crc32 decoded_sha256 round_trip",
     "op9_quality": "doc_id held_out score predicted",
+    "op11_alignment": "doc_id n_a n_b n_groups n_links n_best count_sum groups_sha256",
+    "op12_infill": "doc_id n form prefix_chars middle_chars output_sha256 restored_sha256",
+    "op13_licenses": "doc_id n_words n_base first_word last_word base_labels labels score",
     "op10_packing": "doc_id start length ids_crc32 doc_tokens sequence_id offset",
 }
 
@@ -37,7 +40,7 @@ def test_columns_and_rows(spark, name):
     if name not in ("op2_topk", "op10_packing"):
         assert found.count() == documents
     kinds = dict(found.dtypes)
-    longs = "doc_id component_id n_words n_removed n_tokens n_known train_tokens n_bytes payload_bytes tail_crc32 media_bytes n_assign start length ids_crc32 doc_tokens sequence_id offset vec_id query_id"
+    longs = "doc_id component_id n_words n_removed n_tokens n_known train_tokens n_bytes payload_bytes tail_crc32 media_bytes n_assign start length ids_crc32 doc_tokens sequence_id offset vec_id query_id n n_a n_b n_groups n_links n_best count_sum n_base first_word last_word prefix_chars middle_chars"
     assert all(kinds[c] == "bigint" for c in longs.split() if c in kinds)
 
 
