@@ -25,13 +25,15 @@ def expected(rows, phrases=licenses.PHRASES, templates=licenses.TEMPLATES, thres
             base |= {label} if at else set()
         for label, text in templates:
             t = words(text)
-            need, window = ceil(threshold * len(set(t)) - 1e-9), 32
+            if not t:
+                continue
+            need = ceil(threshold * len(set(t)) - 1e-9)
             window = next(1 << k for k in range(20) if 1 << k >= 2 * len(t))
             for start in range(0, max(1, len(w)), window // 2):
                 if start and start + window // 2 >= len(w):
                     break
                 held = len(set(t) & set(w[start : start + window]))
-                if t and held >= need:
+                if held >= need:
                     labels.add(label)
                     score = max(score, held / len(set(t)))
         out.append((row[0], len(w), sorted(starts), sorted(base), sorted(base | labels), 1.0 if base else score))
