@@ -5,8 +5,10 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rulesieve import schema
+from rulesieve.functions.text import fingerprint
 from rulesieve.operators import evidence as ev
 from rulesieve.operators.findings import scan
+from rulesieve.operators.incremental import FindingStore, read_evidence, write_evidence
 from rulesieve.operators.matching import PatternSet
 from rulesieve.operators.policy import profile_map
 from rulesieve.plans import pack
@@ -192,6 +194,29 @@ def stored_findings(spark: SparkSession, sf_dir: str, artifact: str) -> DataFram
     return read_findings(spark, path)
 
 
+#: Folders of the evidence that the given documents are laid out in.
+DOCUMENT_PARTS = 16
+
+
+def refreshed_findings(spark: SparkSession, sf_dir: str) -> FindingStore:
+    """A store that saw the documents change three times, ending with them as they are."""
+    docs, store = table(spark, sf_dir, "documents"), FindingStore.create(spark, scratch_path(spark, "store"))
+    number, all_rules = F.col("doc_id"), rules(spark)
+    older = F.when(number % 5 == 1, F.left("text", F.lit(400))).otherwise(F.col("text"))
+    states = [
+        (docs.where(number % 7 != 2).withColumn("text", older), all_rules.where("id not in ('license-mit', 'secret-token')")),
+        (docs.where(number % 7 != 3).withColumn("text", older), all_rules.where("id <> 'release-note'")),
+        (docs, all_rules),
+    ]
+    for state, catalogue_then in states:
+        path = scratch_path(spark, "evidence")
+        lines = ev.explode_strings(dealt(state.select("doc_id", "text"), "doc_id"))
+        write_evidence(line_evidence(lines), path, DOCUMENT_PARTS)
+        inventory = state.select(number.cast("string").alias("artifact_id"), fingerprint(F.col("text")).alias("fingerprint"))
+        store.refresh(inventory, read_evidence(spark, path), catalogue_then, parts=DOCUMENT_PARTS)
+    return store
+
+
 # --- catalogues that grow with the data --------------------------------------
 
 

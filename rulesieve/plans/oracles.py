@@ -548,3 +548,10 @@ ORACLES["verdict_documents"] = with_verdicts(f""", {PROFILE_JSON},
     coalesce(l.entries, '') || ']}}' AS document
   FROM counted c JOIN profile_json j ON j.profile_id = c.profile_id
   LEFT JOIN listed l ON l.artifact_id = c.artifact_id AND l.profile_id = c.profile_id""", BLOCKING)
+ORACLES["incremental_findings"] = ORACLES["findings_by_document"]
+# Scanned again: documents that came, changed, or hold a pattern of a rule that came.
+ORACLES["incremental_rescans"] = """SELECT CAST(doc_id AS VARCHAR) AS artifact_id,
+    doc_id % 7 = 3 OR (doc_id % 5 = 1 AND length(text) > 400)
+      OR coalesce(list_bool_or(list_transform(string_split(text, chr(10)),
+           l -> contains(l, 'MIT License') OR contains(l, 'Released under'))), FALSE) AS scanned
+  FROM documents"""

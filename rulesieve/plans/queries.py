@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rulesieve import schema
 from rulesieve.functions import text as tx
-from rulesieve.operators import budgets, diff, evidence as ev, findings as fi, matching, policy, report
+from rulesieve.operators import budgets, diff, evidence as ev, findings as fi, incremental, matching, policy, report
 from rulesieve.plans import corpus, pack
 from rulesieve.session import dealt, scratch_path
 from rulesieve.sources import catalogue, files, history
@@ -428,6 +428,21 @@ def findings_by_document(spark, sf_dir):
     return corpus.findings(spark, sf_dir)
 
 
+@query
+def incremental_findings(spark, sf_dir):
+    """Findings after three refreshes: of part of the documents in an older state
+    against part of the rules, of other documents, and of all as they are now."""
+    return corpus.refreshed_findings(spark, sf_dir).findings()
+
+
+@query
+def incremental_rescans(spark, sf_dir):
+    """Which documents the last refresh had to scan: the others kept their findings."""
+    store = corpus.refreshed_findings(spark, sf_dir)
+    last = store.version()
+    return store.snapshot().select("artifact_id", (F.col("since") == last).alias("scanned"))
+
+
 @query
 def findings_by_source(spark, sf_dir):
     return corpus.findings(spark, sf_dir, "source")
@@ -579,7 +594,7 @@ def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = corpus.document_lines(spark, sf_dir).withColumn("lang", F.concat(side, "lang"))
     found = fi.scan(corpus.line_evidence(lines, "lang"), corpus.catalogue(spark))
     marked = found.withColumn("is_new", F.startswith("artifact_id", F.lit("new/")))
-    return diff.diff_marked(marked.withColumn("artifact_id", F.substring("artifact_id", 5, 1_000)), "is_new")
+    return diff.diff_marked(marked.withColumn("artifact_id", F.expr("substring(artifact_id, 5)")), "is_new")
 
 
 @query
