@@ -553,5 +553,5 @@ ORACLES["incremental_findings"] = ORACLES["findings_by_document"]
 ORACLES["incremental_rescans"] = """SELECT CAST(doc_id AS VARCHAR) AS artifact_id,
     doc_id % 7 = 3 OR (doc_id % 5 = 1 AND length(text) > 400)
       OR coalesce(list_bool_or(list_transform(string_split(text, chr(10)),
-           l -> contains(l, 'MIT License') OR contains(l, 'Released under'))), FALSE) AS scanned
+           lambda l: contains(l, 'MIT License') OR contains(l, 'Released under'))), FALSE) AS scanned
   FROM documents"""
