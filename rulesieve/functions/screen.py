@@ -13,14 +13,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F
 
-try:
-    import ahocorasick
-except ImportError:  # more alternations are scanned instead
-    ahocorasick = None
-
-# Up to this many literals one alternation is fastest; above, it would outgrow
-# the engine's state cache, and one automaton for all literals is built. For the
-# same reason an alternation holds only the beginnings of the literals.
+from rulesieve.functions.occurrences import literal_finder
+
+# Up to this many literals an alternation looks first, which is fastest where
+# hardly anything occurs; above, it would outgrow the engine's state cache. For
+# the same reason an alternation holds only the beginnings of the literals.
 ALTERNATION_LIMIT = 400
 # (A beginning that occurs only says that the literal may: the screen drops no row.)
 SCREENED_CHARS = 16
@@ -40,15 +37,14 @@ def evidence_screen(
     ``literals`` are given per kind; an entry with a null pattern says that some
     literal of the row's kind may occur (no entry: that none does). For the
     kinds in ``listed`` every literal that occurs is an entry of its own
-    instead, where there is an automaton to name them (see
-    :func:`names_literals`). ``expressions`` are ``(kind, expression)``; each
-    one found is an entry.
+    instead. ``expressions`` are ``(kind, expression)``; each one found is an
+    entry.
     """
     tests = []  # (kind, expression that some literal's beginning matches)
-    automata = {}
+    named = {}
     for kind, values in literals.items():
-        if ahocorasick is not None and (kind in listed or len(values) > ALTERNATION_LIMIT):
-            automata[kind] = list(values)
+        if kind in listed or len(values) > ALTERNATION_LIMIT:
+            named[kind] = (list(values), literal_finder(values))
             if len(values) > ALTERNATION_LIMIT:
                 continue
         for start in range(0, len(values), ALTERNATION_LIMIT):
@@ -57,29 +53,11 @@ def evidence_screen(
     for _, expression in [*tests, *expressions]:  # a faulty expression fails here, not in a task
         pc.match_substring_regex(pa.array([""]), pattern=expression)
     grouped = _grouped(expressions)
-    kinds = sorted({test[0] for test in tests} | set(automata) | {kind for kind, *_ in grouped})
-    listed_kinds = {kind for kind in listed if kind in automata}
+    kinds = sorted({test[0] for test in tests} | set(named) | {kind for kind, *_ in grouped})
+    listed_kinds = set(listed)
     screened_kinds = {kind for kind, *_ in tests}
-    built = {}
 
     # Everything below is shipped by value: it uses only what it closes over.
-    def automaton_hits(kind: str, texts: list) -> list[tuple[int, str | None]]:
-        import ahocorasick
-
-        if kind not in built:
-            built[kind] = ahocorasick.Automaton()
-            for literal in automata[kind]:
-                built[kind].add_word(literal, literal)
-            built[kind].make_automaton()
-        automaton, out = built[kind], []
-        for i, raw in enumerate(texts):
-            text = (raw or b"").decode("utf-8", "replace")
-            if kind in listed_kinds:
-                out += [(i, literal) for literal in sorted({hit for _, hit in automaton.iter(text)})]
-            elif next(automaton.iter(text), None) is not None:
-                out.append((i, None))
-        return out
-
     def matching(values: pa.Array, expression: str) -> np.ndarray:
         hit = pc.fill_null(pc.match_substring_regex(values, pattern=expression), False)
         return hit.to_numpy(zero_copy_only=False)
@@ -105,15 +83,21 @@ def evidence_screen(
                     rows.append(hit)
                     is_regex.append(np.full(len(hit), True))
                     patterns += [expression] * len(hit)
-            if name in automata:
-                if name in screened_kinds:  # the automaton need only see what the alternation found
+            if name in named:
+                if name in screened_kinds:  # the finder need only see what the alternation found
                     of_kind, values = of_kind[some_literal], values.filter(pa.array(some_literal))
-                hits = automaton_hits(name, values.cast(pa.binary()).to_pylist())
+                texts, find = named[name]
+                hits, which = find(values)
+                if name in listed_kinds:
+                    patterns += [texts[i] for i in which.tolist()]
+                else:
+                    hits = np.unique(hits)
+                    patterns += [None] * len(hits)
             else:
-                hits = [(i, None) for i in np.flatnonzero(some_literal)]
-            rows.append(of_kind[np.array([i for i, _ in hits], np.int64)])
+                hits = np.flatnonzero(some_literal)
+                patterns += [None] * len(hits)
+            rows.append(of_kind[hits])
             is_regex.append(np.zeros(len(hits), bool))
-            patterns += [literal for _, literal in hits]
         row = np.concatenate(rows)
         order = np.argsort(row, kind="stable")
         entries = pa.StructArray.from_arrays(
@@ -147,11 +131,6 @@ def _grouped(expressions: Sequence[tuple[str, str]]) -> list[tuple[str, str, lis
     return out
 
 
-def names_literals() -> bool:
-    """Whether the literals of listed kinds come named out of the screen."""
-    return ahocorasick is not None
-
-
 def regex_found(value: Column, pattern: Column) -> Column:
     """Whether ``pattern`` occurs in ``value``, both columns, in the same dialect."""
 

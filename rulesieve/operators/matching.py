@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from rulesieve import schema
 from rulesieve.functions.grams import bitmap_bits, pattern_pieces, piece_bitmap, text_pieces
 from rulesieve.functions.literals import TooDeep, literal_regex
-from rulesieve.functions.screen import evidence_screen, names_literals, regex_found
+from rulesieve.functions.screen import evidence_screen, regex_found
 from rulesieve.session import scratch_path
 from rulesieve.sources.catalogue import local_table, pattern_rules
 
@@ -181,15 +181,10 @@ def _compiled_match(
         expression = _folded(literals)
         if expression is not None:
             exact = F.when(of_kind & some_literal, _longest_hits(F.lit(expression))).otherwise(exact)
-        elif names_literals():
+        else:
             named_longest.append(kind)
             own = _longest_hits(_alternation(F.transform(literals_found, lambda f: f["pattern"])))
             exact = F.when(of_kind & (F.size(literals_found) > 0), own).otherwise(exact)
-        else:
-            return None
-    for kind, literals in as_contained.items():
-        if not names_literals():
-            exact = F.when((F.col("kind") == kind) & some_literal, _contains_hits(literals)).otherwise(exact)
     final = F.lit(True) if not named_longest else ~F.col("kind").isin(*named_longest)
     named = F.transform(
         F.filter(found, lambda f: f["pattern"].isNotNull() & (f["is_regex"] | final)),
@@ -218,7 +213,7 @@ def _hit(match_pos: Column, is_regex: Column, pattern: Column) -> Column:
 
 def _folded(literals: list[str]) -> str | None:
     """One expression for the literals, unless there are too many for it."""
-    if len(literals) > FOLDED_LITERALS and names_literals():
+    if len(literals) > FOLDED_LITERALS:
         return None
     try:
         return literal_regex(literals)
@@ -242,11 +237,6 @@ def _alternation(literals: Column) -> Column:
     return F.array_join(F.transform(ordered, lambda e: e["quoted"]), "|")
 
 
-def _contains_hits(literals: list[str]) -> Column:
-    each = F.filter(F.array(*[F.lit(p) for p in literals]), lambda p: F.contains(F.col("value"), p))
-    return F.transform(each, lambda p: _hit(F.lit(0), F.lit(False), p))
-
-
 # --- catalogues beyond the compile bounds -----------------------------------
 
 
