@@ -15,6 +15,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rulesieve import schema
+from rulesieve.functions.expressions import needed_literals
 from rulesieve.functions.grams import bitmap_bits, pattern_pieces, piece_bitmap, text_pieces
 from rulesieve.functions.literals import TooDeep, literal_regex
 from rulesieve.functions.screen import evidence_screen, regex_found
@@ -249,14 +250,12 @@ def _match_distributed(
 ) -> DataFrame:
     parts = []
     if longest:
-        # Numbered before anything is multiplied, so rows that repeat stay apart.
-        numbered = evidence.withColumn("_row", F.monotonically_increasing_id())
-        parts.append(_longest_from_hits(_contained(numbered, patterns, longest)))
+        parts.append(_longest_from_hits(_contained(evidence, patterns, longest)))
     if contains:
         parts.append(_contained(evidence, patterns, contains).withColumn("match_pos", F.lit(0)))
     parts = [part.withColumn("is_regex", F.lit(False)) for part in parts]
     if regex:
-        parts.append(_regex_blocks(evidence, patterns, regex))
+        parts.append(_regex_distributed(evidence, patterns, regex))
     columns = [*schema.EVIDENCE.names, "match_pos", "is_regex", "pattern"]
     if not parts:
         nothing = {"match_pos": F.lit(0), "is_regex": F.lit(False), "pattern": F.lit("")}
@@ -327,33 +326,60 @@ def _stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def _longest_from_hits(contained: DataFrame) -> DataFrame:
-    """Leftmost-longest matches from the literals each row is known to contain."""
-    rest = F.struct(*[c for c in schema.EVIDENCE.names])
-    rows = (
-        contained.groupBy("_row")
-        .agg(F.collect_list("pattern").alias("literals"), F.first(rest).alias("_rest"))
-        .select("literals", "_rest.*")
+    """Leftmost-longest matches from the literals each row is known to contain.
+
+    Equal rows hold equal literals, so they are one group, whose size over the
+    number of its literals says how often the row is there.
+    """
+    rows = contained.groupBy(*schema.EVIDENCE.names).agg(
+        F.collect_set("pattern").alias("literals"), F.count(F.lit(1)).alias("n")
     )
     found = F.regexp_extract_all("value", _alternation(F.col("literals")), F.lit(0))
-    return rows.select(*schema.EVIDENCE.names, F.posexplode(found).alias("match_pos", "pattern"))
+    copies = F.sequence(F.lit(1).cast("long"), F.expr("n div size(literals)"))
+    each = rows.select(*schema.EVIDENCE.names, found.alias("found"), F.explode(copies))
+    return each.select(*schema.EVIDENCE.names, F.posexplode("found").alias("match_pos", "pattern"))
 
 
-def _regex_blocks(evidence: DataFrame, patterns: PatternSet, kinds: Sequence[str]) -> DataFrame:
-    """Very many regular expressions: blocks of them against copies of the evidence.
+def regex_candidates(evidence: DataFrame, expressions: DataFrame) -> DataFrame:
+    """Evidence rows with each of ``expressions(kind, pattern, literals)`` that they may match.
 
-    No index exists for arbitrary expressions, so every value has to meet every
-    one of its kind; blocks keep each task's share of expressions bounded.
+    ``literals`` are those of which every match of the expression holds one. A
+    row meets an expression by the first of its literals that the row holds, so
+    both meet once at most, whatever else they share.
+    """
+    listed = expressions.select("kind", "pattern", "literals", F.explode("literals").alias("literal"))
+    table = listed.select("kind", F.col("literal").alias("pattern")).distinct().withColumn("is_regex", F.lit(False))
+    kinds = [r["kind"] for r in expressions.select("kind").distinct().collect()]
+    held = _contained(evidence, PatternSet(table, table, None), kinds).withColumnRenamed("pattern", "literal")
+    first = F.get(F.filter("literals", lambda literal: F.contains(F.col("value"), literal)), F.lit(0))
+    return held.join(listed, ["kind", "literal"]).where(first == F.col("literal")).drop("literal", "literals")
+
+
+def _regex_distributed(evidence: DataFrame, patterns: PatternSet, kinds: Sequence[str]) -> DataFrame:
+    """Very many regular expressions: only rows that hold a literal of one meet it.
+
+    Expressions that need no literal still meet every row of their kind.
     """
     wanted = F.col("kind").isin(*kinds)
     distinct = patterns.table.where(wanted & F.col("is_regex")).select("kind", "pattern").distinct()
+    expressions = _stored(distinct.withColumn("literals", needed_literals(F.col("pattern"))), "expressions")
+    indexed = regex_candidates(evidence, expressions.where("size(literals) > 0"))
+    columns = [*schema.EVIDENCE.names, "pattern"]
+    found = indexed.where(regex_found(F.col("value"), F.col("pattern"))).select(*columns)
+    rest = expressions.where("size(literals) = 0").select("kind", "pattern")
+    if not rest.isEmpty():
+        found = found.unionByName(_regex_blocks(evidence, rest).select(*columns))
+    return found.withColumns({"match_pos": F.lit(0), "is_regex": F.lit(True)})
+
+
+def _regex_blocks(evidence: DataFrame, distinct: DataFrame) -> DataFrame:
+    """Expressions ``(kind, pattern)`` that no literal tells of, in blocks against copies of the evidence.
+
+    Every value has to meet every one of its kind; blocks keep each task's share
+    of expressions bounded.
+    """
     blocks = max(1, -(-distinct.count() // REGEX_BLOCK))
     block = F.pmod(F.xxhash64("kind", "pattern"), F.lit(blocks)).cast("int")
-    copies = evidence.where(wanted).withColumn(
-        "block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    )
-    return (
-        copies.join(distinct.withColumn("block", block), ["kind", "block"])
-        .where(regex_found(F.col("value"), F.col("pattern")))
-        .withColumn("match_pos", F.lit(0))
-        .withColumn("is_regex", F.lit(True))
-    )
+    copies = evidence.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    met = copies.join(distinct.withColumn("block", block), ["kind", "block"])
+    return met.where(regex_found(F.col("value"), F.col("pattern")))

@@ -555,3 +555,13 @@ ORACLES["incremental_rescans"] = """SELECT CAST(doc_id AS VARCHAR) AS artifact_i
       OR coalesce(list_bool_or(list_transform(string_split(text, chr(10)),
            lambda l: contains(l, 'MIT License') OR contains(l, 'Released under'))), FALSE) AS scanned
   FROM documents"""
+ORACLES["match_openings_distributed"] = ORACLES["match_benchmark_openings"]
+ORACLES["events_as_of_orders"] = """WITH o AS (
+    SELECT o_custkey, o_orderdate, max({'k': o_orderkey, 's': o_orderstatus}) AS last FROM orders GROUP BY ALL)
+  SELECT event_id, user_id, last.k AS right_o_orderkey, last.s AS right_o_orderstatus
+  FROM events ASOF LEFT JOIN o ON user_id = o_custkey AND ts - INTERVAL 27 YEAR >= o_orderdate"""
+ORACLES["orders_open_together"] = """WITH p AS (
+    SELECT o_custkey, o_orderkey, CAST(o_orderdate AS DATE) AS first, max(CAST(l_shipdate AS DATE)) AS last
+    FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL)
+  SELECT a.o_custkey, a.o_orderkey AS left_o_orderkey, b.o_orderkey AS right_o_orderkey
+  FROM p a JOIN p b ON a.o_custkey = b.o_custkey AND a.first <= b.last AND b.first <= a.last"""

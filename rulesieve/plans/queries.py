@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rulesieve import schema
 from rulesieve.functions import text as tx
-from rulesieve.operators import budgets, diff, evidence as ev, findings as fi, incremental, matching, policy, report
+from rulesieve.operators import budgets, diff, evidence as ev, findings as fi, intervals, matching, policy, report
 from rulesieve.plans import corpus, pack
 from rulesieve.session import dealt, scratch_path
 from rulesieve.sources import catalogue, files, history
@@ -394,9 +394,18 @@ def match_benchmark_openings(spark, sf_dir):
     )
 
 
+@query
+def match_openings_distributed(spark, sf_dir):
+    """The same by the literals that the expressions need, as for a catalogue of any size."""
+    patterns = matching.PatternSet.distributed(corpus.opening_rules(spark, sf_dir))
+    return matching.match_regex(corpus.document_evidence(spark, sf_dir), patterns).select(
+        "artifact_id", "container_ord", "ordinal", "pattern", "rule_id"
+    )
+
+
 @query
 def match_benchmark_distributed(spark, sf_dir):
-    """The same by equi-join on pattern pieces, as for a catalogue of any size."""
+    """The passages by equi-join on pattern pieces, as for a catalogue of any size."""
     patterns = matching.PatternSet.distributed(corpus.benchmark_rules(spark, sf_dir))
     lines = corpus.document_evidence(spark, sf_dir)
     return matching.match_contains(lines, patterns).select(*_MATCH)
@@ -724,3 +733,32 @@ def verdict_documents(spark, sf_dir):
 def ordered_verdicts(spark, sf_dir):
     rows = policy.verdict_rows(_evaluated(spark, sf_dir, "rule_id", "category", "severity"))
     return policy.order_verdicts(rows).select("artifact_id", "profile_id", "verdict", "category", "rule_id")
+
+
+# --- joins of times and positions ----------------------------------------------
+
+
+@query
+def events_as_of_orders(spark, sf_dir):
+    """Every event, set back to the years of the orders, with its user's last order until then."""
+    events = corpus.table(spark, sf_dir, "events").select(
+        "event_id", "user_id", F.expr("ts - INTERVAL '27' YEAR").alias("at")
+    )
+    orders = corpus.table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("user_id"), F.col("o_orderdate").alias("at"), "o_orderkey", "o_orderstatus"
+    )
+    return intervals.as_of(events, orders, "at", ["user_id"]).select(
+        "event_id", "user_id", "right_o_orderkey", "right_o_orderstatus"
+    )
+
+
+@query
+def orders_open_together(spark, sf_dir):
+    """Pairs of orders of a customer that were open on the same day, from order to last shipment."""
+    day = F.date_diff("o_orderdate", F.lit("1970-01-01").cast("date"))
+    shipped = corpus.table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.max("l_shipdate").alias("shipped"))
+    orders = corpus.table(spark, sf_dir, "orders").join(shipped, F.col("o_orderkey") == F.col("l_orderkey"))
+    last = F.date_diff("shipped", F.lit("1970-01-01").cast("date")) + 1
+    periods = orders.select("o_custkey", "o_orderkey", day.alias("start"), last.alias("end"))
+    pairs = intervals.overlapping(periods, periods, by=["o_custkey"])
+    return pairs.select("o_custkey", "left_o_orderkey", "right_o_orderkey")
