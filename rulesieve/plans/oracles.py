@@ -562,6 +562,7 @@ ORACLES["events_as_of_orders"] = """WITH o AS (
   FROM events ASOF LEFT JOIN o ON user_id = o_custkey AND ts - INTERVAL 27 YEAR >= o_orderdate"""
 ORACLES["orders_open_together"] = """WITH p AS (
     SELECT o_custkey, o_orderkey, CAST(o_orderdate AS DATE) AS first, max(CAST(l_shipdate AS DATE)) AS last
-    FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL)
+    FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL
+    HAVING max(CAST(l_shipdate AS DATE)) >= CAST(o_orderdate AS DATE))
   SELECT a.o_custkey, a.o_orderkey AS left_o_orderkey, b.o_orderkey AS right_o_orderkey
   FROM p a JOIN p b ON a.o_custkey = b.o_custkey AND a.first <= b.last AND b.first <= a.last"""
