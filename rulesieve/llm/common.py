@@ -9,6 +9,7 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -85,14 +86,28 @@ def batches(rows: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatc
             yield batch.slice(start, size)
 
 
+def by_bytes(rows: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices of about ``limit`` bytes of a text column, one row at least and 500 at most."""
+    for batch in rows:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        start, held = 0, 0
+        for at, size in enumerate(sizes.tolist()):
+            if at > start and (held + size > limit or at - start >= 500):
+                yield batch.slice(start, at - start)
+                start, held = at, 0
+            held += size
+        if start < batch.num_rows:
+            yield batch.slice(start)
+
+
 class WordHashes(dict):
     """64-bit hashes of words as eight bytes each, remembered for a while."""
 
-    def __init__(self, seed: int = 0):
-        self.seed = seed
+    def __init__(self, seed: int = 0, entries: int = CACHE_ENTRIES // 2):
+        self.seed, self.entries = seed, entries
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= CACHE_ENTRIES // 2:
+        if len(self) >= self.entries:
             self.clear()
         value = xxhash.xxh64_intdigest(word, self.seed).to_bytes(8, "little")
         self[word] = value

@@ -19,17 +19,19 @@ that only their texts are shuffled.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from rulesieve.llm.common import WordHashes, batches, fresh, id_text, stored, text_bytes
+from rulesieve.llm.common import CACHE_ENTRIES, WordHashes, by_bytes, fresh, id_text, stored, text_bytes
 
 #: Largest size of a bitmap, in bits (16 MiB).
 MAX_BITMAP_BITS = 1 << 27
+#: Bytes of text whose windows are laid out at once, and words whose hashes are remembered.
+SLICE_BYTES, WORDS_KEPT = 1 << 20, CACHE_ENTRIES // 4
 _BITMAP_BUCKET = 1 << 15  # bits per row of Spark's bitmap aggregate
 
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # odd multipliers of the two polynomials
@@ -111,12 +113,18 @@ class Bitmap:
         return run(numbers)
 
 
-def _minimisers(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """``m``: every minimiser of every document to 40 bits, runs of equal ones once."""
+def _unlisted(rows: Iterator[pa.RecordBatch], listed: Bitmap | None) -> Iterator[pa.RecordBatch]:
+    """Rows whose ``d1`` is not in the bitmap, if there is one."""
+    for batch in rows:
+        yield batch if listed is None else batch.filter(pa.array(~listed.has(batch.column("d1").to_numpy())))
+
+
+def _minimisers(docs: DataFrame, window: int, gram: int, listed: Bitmap | None = None) -> DataFrame:
+    """``m``: every minimiser of every document (but ``listed`` ones) to 40 bits, runs of equal ones once."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in batches(rows, 200):
+        hashes = WordHashes(0, WORDS_KEPT)
+        for batch in by_bytes(_unlisted(rows, listed), "text", SLICE_BYTES):
             w = Windows(text_bytes(batch.column("text")), hashes, window, gram)
             new = np.ones(len(w.least), bool)
             new[1:] = (w.least[1:] != w.least[:-1]) | (w.text[1:] != w.text[:-1])
@@ -126,15 +134,15 @@ def _minimisers(docs: DataFrame, window: int, gram: int) -> DataFrame:
     return docs.mapInArrow(run, "m long")
 
 
-def _windows(docs: DataFrame, window: int, gram: int, repeated: Bitmap) -> DataFrame:
-    """``(h1, h2, id, place)`` of windows whose minimiser is in the bitmap.
+def _windows(docs: DataFrame, window: int, gram: int, repeated: Bitmap, listed: Bitmap | None = None) -> DataFrame:
+    """``(h1, h2, id, place)`` of windows whose minimiser is in the bitmap (but of ``listed`` documents).
 
     ``place`` holds 16 bits of the text's hash above 40 bits of the position.
     """
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, second = WordHashes(), WordHashes(1)
-        for batch in batches(rows, 200):
+        first, second = WordHashes(0, WORDS_KEPT), WordHashes(1, WORDS_KEPT)
+        for batch in by_bytes(_unlisted(rows, listed), "text", SLICE_BYTES):
             texts = text_bytes(batch.column("text"))
             w = Windows(texts, first, window, gram)
             keep = repeated.has(w.least)
@@ -179,14 +187,31 @@ def repeated_windows(
         names.groupBy("d1", "d2").agg(F.min("id").alias("least"), F.max("id").alias("last")).where("least < last").drop("last"),
         "several",
     )
-    # Each text once: those that may be there several times are looked up.
-    maybe = Bitmap(several.select("d1")).column(F.col("d1"))
-    looked_up = named.where(maybe).join(several, ["d1", "d2"], "left").where("least is null or id = least")
-    texts = named.where(~maybe).select("id", "text").union(looked_up.select("id", "text"))
-
-    minimisers = _minimisers(texts, window, gram)
+    # Each text once. Most are told by the bitmap, in the task that needs them; of the
+    # others, the rows to be taken are settled by names alone and their texts put
+    # aside, so that no task runs one Python worker behind another.
+    listed = Bitmap(several.select("d1"))
+
+    def within(bitmap: Bitmap, column: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in rows:
+                yield batch.filter(pa.array(bitmap.has(batch.column(column).to_numpy())))
+
+        return run
+
+    looked_up = names.mapInArrow(within(listed, "d1"), names.schema).join(several, ["d1", "d2"], "left")
+    owners = looked_up.where("least is null or id = least").select("id", "d1", "d2").distinct()
+    owners = stored(owners.withColumn("owner", F.xxhash64("id", "d1")), "owners")
+    possible = named.withColumn("owner", F.xxhash64("id", "d1"))
+    possible = possible.mapInArrow(within(Bitmap(owners.select("owner")), "owner"), possible.schema)
+    copied = stored(possible.join(owners, ["id", "d1", "d2"], "left_semi").select("id", "text"), "copied")
+    single = named.select("id", "text", "d1")
+
+    minimisers = _minimisers(single, window, gram, listed).union(_minimisers(copied, window, gram))
     again = stored(minimisers.groupBy("m").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("m"), "minimisers")
-    windows = stored(_windows(texts, window, gram, Bitmap(again)), "windows")
+    known = Bitmap(again)
+    windows = _windows(single, window, gram, known, listed).union(_windows(copied, window, gram, known))
+    windows = stored(windows, "windows")
     first = windows.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last"))
     # Stored, so that both sides of the join are plain shuffles and a passage that very many hold can be split.
     first = stored(first.where("first < last").drop("last"), "first")
@@ -245,6 +270,17 @@ def cut(text: Column, positions: Column, whole: Column, window: int = 13) -> Col
     return run(text, positions, whole)
 
 
+def uncut(text: Column) -> Column:
+    """What :func:`cut` gives for a text that loses nothing."""
+    words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    return F.struct(
+        F.size(words).cast("long").alias("n_words"),
+        F.array().cast("array<struct<start: int, end: int>>").alias("removed"),
+        F.lit(0).cast("long").alias("n_removed"),
+        F.array_join(words, " ").alias("kept"),
+    )
+
+
 def without_repeats(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, gram: int = 5, into: str = "cut"
 ) -> DataFrame:
@@ -258,6 +294,5 @@ def without_repeats(
     text, doc_id = docs[text_col].cast("string"), docs[id_col].cast("long")
     maybe = Bitmap(found.select(F.xxhash64(key))).column(F.xxhash64(doc_id))
     same = (doc_id == key) & (F.xxhash64(text).bitwiseAND(F.lit(0xFFFF)) == digest)
-    nothing = [F.lit(None).cast("array<long>"), F.lit(False)]
     touched = docs.where(maybe).join(found, same, "left").withColumn(into, cut(text, positions, whole, window)).drop(*own)
-    return touched.union(docs.where(~maybe).withColumn(into, cut(text, *nothing, window)))
+    return touched.union(docs.where(~maybe).withColumn(into, uncut(text)))
