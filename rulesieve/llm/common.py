@@ -87,7 +87,11 @@ def batches(rows: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatc
 
 
 def by_bytes(rows: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
-    """The same rows in slices of about ``limit`` bytes of a text column, one row at least and 500 at most."""
+    """The same rows in slices of about ``limit`` bytes of a text column, one row at least and 500 at most.
+
+    What Arrow keeps of a batch that is done goes back to the system, where
+    other tasks of the executor can have it.
+    """
     for batch in rows:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         start, held = 0, 0
@@ -98,6 +102,8 @@ def by_bytes(rows: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterato
             held += size
         if start < batch.num_rows:
             yield batch.slice(start)
+        del batch
+        pa.default_memory_pool().release_unused()
 
 
 class WordHashes(dict):
