@@ -1,5 +1,7 @@
 """Tables behind a report: summaries, rollups, filters, prevalence."""
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from rulesieve import schema
@@ -56,6 +58,27 @@ def category_rollup(findings: DataFrame) -> DataFrame:
     )
 
 
+def findings_cube(findings: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Findings, blocking ones and highest severity for every combination of ``by``, with all totals.
+
+    ``level`` has a bit for each column of ``by``, the first one highest, that is
+    summed over; its value is null then, which tells a total from a group of
+    nulls. Every row is given to its ``2 ** len(by)`` combinations within the task
+    and combined there, so one shuffle carries a row per task and combination and
+    the grand total is no hot group. Without findings there is no row at all.
+    """
+    return (
+        findings.cube(*by)
+        .agg(
+            F.grouping_id().cast("long").alias("level"),
+            F.count(F.lit(1)).alias("n_findings"),
+            F.count_if(is_blocking()).alias("n_blocking"),
+            F.max(severity_rank()).alias("_rank"),
+        )
+        .select(*by, "level", "n_findings", "n_blocking", value_at("_rank", schema.SEVERITIES).alias("highest_severity"))
+    )
+
+
 def order_findings(findings: DataFrame) -> DataFrame:
     """Number the findings of an artifact in report order.
 

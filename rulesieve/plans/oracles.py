@@ -566,3 +566,41 @@ ORACLES["orders_open_together"] = """WITH p AS (
     HAVING max(CAST(l_shipdate AS DATE)) >= CAST(o_orderdate AS DATE))
   SELECT a.o_custkey, a.o_orderkey AS left_o_orderkey, b.o_orderkey AS right_o_orderkey
   FROM p a JOIN p b ON a.o_custkey = b.o_custkey AND a.first <= b.last AND b.first <= a.last"""
+_RUNS = """SELECT source, rule_id, min(doc_id) AS first_scan, max(doc_id) AS last_scan, count(*) AS n_scans,
+    bool_or(place = total) AS still_firing
+  FROM (SELECT p.*, f.rule_id, place - row_number() OVER (PARTITION BY source, rule_id ORDER BY doc_id) AS island
+        FROM (SELECT DISTINCT artifact_id, rule_id FROM findings) f
+        JOIN (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS place,
+                     count(*) OVER (PARTITION BY source) AS total FROM documents) p
+          ON CAST(p.doc_id AS VARCHAR) = f.artifact_id)
+  GROUP BY source, rule_id, island"""
+ORACLES["rule_runs"] = with_findings(_RUNS)
+ORACLES["rule_flaps"] = with_findings(f"""SELECT source, rule_id, min(first_scan) AS first_seen,
+    max(last_scan) AS last_seen, CAST(sum(n_scans) AS BIGINT) AS n_scans, count(*) - 1 AS flaps,
+    max(n_scans) AS longest_run, bool_or(still_firing) AS still_firing
+  FROM ({_RUNS}) GROUP BY source, rule_id""")
+_DESCRIBED = """(SELECT f.*, d.source, d.lang, d.n_chars FROM findings f
+  JOIN documents d ON CAST(d.doc_id AS VARCHAR) = f.artifact_id)"""
+ORACLES["findings_cube"] = with_findings(f"""SELECT source, lang, category,
+    CAST(GROUPING_ID(source, lang, category) AS BIGINT) AS level, count(*) AS n_findings,
+    count(*) FILTER ({BLOCKING}) AS n_blocking, arg_max(severity, {SEVERITY_RANK}) AS highest_severity
+  FROM {_DESCRIBED} GROUP BY CUBE (source, lang, category)""")
+ORACLES["rule_reach_merged"] = with_findings("""SELECT rule_id, count(DISTINCT artifact_id) AS n_artifacts,
+    TRUE AS within_error FROM findings GROUP BY rule_id""")
+ORACLES["rule_sizes_merged"] = with_findings(f"""SELECT rule_id, CAST(quantile_disc(n_chars, 0.5) AS BIGINT) AS p50,
+    CAST(quantile_disc(n_chars, 0.9) AS BIGINT) AS p90, TRUE AS within_error
+  FROM {_DESCRIBED} WHERE n_chars IS NOT NULL GROUP BY rule_id""")
+_DAY, _HOUR = 86_400_000, 3_600_000
+
+
+def _windows(slide: int) -> str:
+    """Windows of a day that begin every ``slide`` milliseconds and end an hour before the last event or earlier."""
+    return f"""WITH e AS (SELECT event_type, epoch_ms(ts) AS ms FROM events WHERE ts IS NOT NULL),
+    w AS (SELECT event_type, unnest(range(0, {_DAY // slide})) * {slide} AS back, ms FROM e),
+    placed AS (SELECT event_type, ms - ms % {slide} - back AS start_ms FROM w)
+    SELECT event_type, CAST(start_ms AS BIGINT) AS start_ms, CAST(start_ms + {_DAY} AS BIGINT) AS end_ms, count(*) AS n
+    FROM placed WHERE start_ms + {_DAY} <= (SELECT max(ms) FROM e) - {_HOUR} GROUP BY ALL"""
+
+
+ORACLES["event_days_streamed"] = _windows(_DAY)
+ORACLES["event_sliding_days_streamed"] = _windows(6 * _HOUR)

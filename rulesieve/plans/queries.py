@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rulesieve import schema
 from rulesieve.functions import text as tx
-from rulesieve.operators import budgets, diff, evidence as ev, findings as fi, intervals, matching, policy, report
+from rulesieve.operators import budgets, diff, evidence as ev, findings as fi, intervals, matching, policy, report, runs, sketches
 from rulesieve.plans import corpus, pack
 from rulesieve.session import dealt, scratch_path
 from rulesieve.sources import catalogue, files, history
+from rulesieve.streaming import windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -565,6 +566,68 @@ def category_rollup_sources(spark, sf_dir):
     return report.category_rollup(corpus.findings(spark, sf_dir, "source"))
 
 
+def _described(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings per document with the document's language, source and size."""
+    docs = corpus.table(spark, sf_dir, "documents").select(
+        F.col("doc_id").cast("string").alias("artifact_id"), "doc_id", "lang", "source", "n_chars"
+    )
+    return corpus.findings(spark, sf_dir).join(docs, "artifact_id")
+
+
+@query
+def findings_cube(spark, sf_dir):
+    return report.findings_cube(_described(spark, sf_dir), ["source", "lang", "category"])
+
+
+@query
+def rule_reach_merged(spark, sf_dir):
+    """Documents per rule from sketches kept per source, beside the exact count."""
+    found = _described(spark, sf_dir)
+    kept = sketches.distinct_sketches(found, ["source", "rule_id"], "artifact_id")
+    estimated = sketches.distinct_estimates(sketches.merge_distinct(kept, ["rule_id"]))
+    exact = found.groupBy("rule_id").agg(F.count_distinct("artifact_id").alias("n_artifacts"))
+    off = F.abs(F.col("estimate") - F.col("n_artifacts"))
+    within = off <= F.greatest(F.lit(1.0), sketches.distinct_error() * F.col("n_artifacts"))
+    return exact.join(estimated, "rule_id").select("rule_id", "n_artifacts", within.alias("within_error"))
+
+
+@query
+def rule_sizes_merged(spark, sf_dir):
+    """Quantiles of the sizes of the documents that a rule found, from bins kept per source, beside the exact ones."""
+    found = _described(spark, sf_dir).where("n_chars is not null")
+    shares = [0.5, 0.9]
+    kept = sketches.amount_bins(found, ["source", "rule_id"], F.col("n_chars"))
+    estimated = sketches.quantiles(sketches.merge_bins(kept, ["rule_id"]), ["rule_id"], shares)
+    exact = found.groupBy("rule_id").agg(
+        *[F.expr(f"percentile_disc({share}) WITHIN GROUP (ORDER BY n_chars)").cast("long").alias(f"p{share * 100:.0f}") for share in shares]
+    )
+    both = exact.join(estimated, "rule_id")
+    # The last ulp of a logarithm may put an amount at the edge into the next bin.
+    bound = sketches.ACCURACY + 1e-9
+    within = [
+        (F.abs(F.col("quantiles")[i] - F.col(f"p{share * 100:.0f}")) <= bound * F.col(f"p{share * 100:.0f}"))
+        for i, share in enumerate(shares)
+    ]
+    return both.select("rule_id", "p50", "p90", (within[0] & within[1]).alias("within_error"))
+
+
+def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of documents, as the scans of their source, in which a rule fired."""
+    scans = corpus.table(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("scan"))
+    found = corpus.findings(spark, sf_dir).select(F.col("artifact_id").cast("long").alias("scan"), "rule_id")
+    return runs.firing_runs(scans, scans.join(found, "scan"), ["source"])
+
+
+@query
+def rule_runs(spark, sf_dir):
+    return _runs(spark, sf_dir)
+
+
+@query
+def rule_flaps(spark, sf_dir):
+    return runs.firing_history(_runs(spark, sf_dir), ["source"])
+
+
 @query
 def ordered_findings(spark, sf_dir):
     ordered = report.order_findings(corpus.findings(spark, sf_dir))
@@ -762,3 +825,25 @@ def orders_open_together(spark, sf_dir):
     periods = orders.select("o_custkey", "o_orderkey", day.alias("start"), last.alias("end"))
     pairs = intervals.overlapping(periods, periods, by=["o_custkey"])
     return pairs.select("o_custkey", "left_o_orderkey", "right_o_orderkey")
+
+
+# --- windows of a stream --------------------------------------------------------
+
+
+def _streamed(spark: SparkSession, sf_dir: str, slide: str | None) -> DataFrame:
+    """Closed windows of a day of the events, read as a stream; events are at most an hour late."""
+    # A pattern, as a stream takes a plain path for a folder, and the table may be one file.
+    stream = spark.readStream.schema(corpus.COLUMNS["events"]).parquet(f"{sf_dir}/[e]vents.parquet")
+    events = stream.select("event_type", F.timestamp_millis(tx.utc_millis(F.col("ts"))).alias("at"))
+    closed = windows.windows_so_far(spark, windows.window_counts(events, "at", ["event_type"], "1 day", slide))
+    return closed.select("event_type", F.unix_millis("start").alias("start_ms"), F.unix_millis("end").alias("end_ms"), "n")
+
+
+@query
+def event_days_streamed(spark, sf_dir):
+    return _streamed(spark, sf_dir, None)
+
+
+@query
+def event_sliding_days_streamed(spark, sf_dir):
+    return _streamed(spark, sf_dir, "6 hours")
