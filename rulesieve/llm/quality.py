@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from rulesieve.llm.common import WordHashes, text_bytes
+from rulesieve.llm.common import WordHashes, give_back, text_bytes
 from rulesieve.llm.training import held_out, labelled_sample
 
 #: Words described together; bounds the memory that a long text takes.
@@ -168,7 +168,8 @@ def fit(texts: list[bytes], y: np.ndarray, s: Settings) -> dict[str, np.ndarray]
     """All arrays of the model, from texts and their labels."""
     hashes = WordHashes()
     bags = [passages(t, hashes, s.words) for t in texts]
-    rows = np.vstack(bags)
+    rows, ends = np.vstack(bags), np.cumsum([len(b) for b in bags])
+    bags = np.split(rows, ends[:-1])  # views, so that passages are held once
     mean, scale = rows.mean(0), rows.std(0) + 1e-3
     model = GatedAttention(s, mean, scale)
     model.fit(bags, y)
@@ -198,6 +199,8 @@ def train(sample: DataFrame, s: Settings = Settings()) -> dict[str, np.ndarray]:
                 },
                 pa.schema([("name", pa.string()), ("columns", pa.int32()), ("content", pa.binary())]),
             )
+        del table
+        give_back()
 
     rows = sample.repartition(1).mapInArrow(run, "name string, columns int, content binary").collect()
     return {
@@ -234,6 +237,7 @@ def quality(
 
         for texts in batches:
             yield pa.array([of_text(t) for t in text_bytes(texts)], pa.float64())
+            give_back()
 
     scored = docs.withColumns({"held_out": held_out(docs[id_col]), "score": score(docs[text_col].cast("string"))})
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
