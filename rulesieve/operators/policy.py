@@ -10,8 +10,9 @@ empty ``fields`` always does, and where nothing matches the verdict is unknown.
 which profiles. The checks of one artifact are at most the catalogue, so they
 travel as one array: a pair is one row, every verdict and every count is
 computed within it, and no later step shuffles again. A decision table of up to
-``MAX_SHARED_ROWS`` rows is read once and shared by all tasks; a larger one
-meets the findings by rule.
+``MAX_SHARED_ROWS`` rows and ``MAX_SHARED_CHARS`` characters is read once and
+shared by all tasks; a larger one meets the findings by rule, and a catalogue
+evaluated without artifacts is then dealt into blocks of about that size.
 """
 
 from collections.abc import Sequence
@@ -21,8 +22,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from rulesieve import __version__, schema
 from rulesieve.functions.ranks import category_rank, is_blocking, severity_rank, verdict_rank
 
-# Decision rows that every task may hold as one map.
-MAX_SHARED_ROWS = 2_000
+# Decision rows, and characters of them, that every task may hold as one value.
+MAX_SHARED_ROWS, MAX_SHARED_CHARS = 2_000, 4_000_000
 _CHECK = ("rule_id", "rule_name", "category", "severity", "behavior", "evidence")
 
 
@@ -75,6 +76,14 @@ def _decision_rows(conditions: DataFrame) -> DataFrame:
     return conditions.where("rule_id is not null").groupBy("rule_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
 
 
+def _blocks(table: DataFrame, rows: Column, chars: Column) -> int:
+    """Into how many blocks a table goes so that one is within the bounds of what tasks share."""
+    found = table.agg(
+        F.coalesce(F.sum(rows), F.lit(0)).alias("rows"), F.coalesce(F.sum(chars), F.lit(0)).alias("chars")
+    ).first()
+    return max(1, -(-found["rows"] // MAX_SHARED_ROWS), -(-found["chars"] // MAX_SHARED_CHARS))
+
+
 def _checks(found: DataFrame, attributes: Sequence[str], decisions: DataFrame | None = None) -> DataFrame:
     """Findings (or catalogue rules) as one struct, with their decision rows if these are given."""
     ranks = {"category": category_rank().alias("category_rank"), "severity": severity_rank().alias("severity_rank")}
@@ -121,7 +130,8 @@ def evaluate_pairs(
     catalogue has rules.
     """
     decisions = _decision_rows(conditions)
-    shared = conditions.limit(MAX_SHARED_ROWS + 1).count() <= MAX_SHARED_ROWS
+    row = F.struct(*conditions.columns)
+    shared = _blocks(conditions.limit(MAX_SHARED_ROWS + 1), F.lit(1), F.length(F.to_json(row))) == 1
     checks = _checks(findings, attributes, None if shared else decisions)
     per_artifact = checks.groupBy("artifact_id").agg(F.collect_list("check").alias("checks"))
     nothing_known = F.create_map().cast("map<string,boolean>")
@@ -183,8 +193,11 @@ def evaluate_catalogue(
     """Which rules of the catalogue fire for a profile, without any artifact.
 
     Rules without conditions and rules of the ``excluded`` categories are left
-    out. The result has a row for every profile and remaining rule; the rules
-    reach each profile as one shared array, so nothing is joined or shuffled.
+    out. The result has a row for every profile and remaining rule. Within the
+    bounds the rules reach each profile as one shared array, so nothing is joined
+    or shuffled; more of them go block by block: a profile is there once for each
+    block, and a block once for each part of the profiles, so that neither side
+    gathers in one task. Equal profile ids are evaluated each for itself.
     """
     found = (
         rules.where(~F.col("category").isin(*excluded))
@@ -198,9 +211,20 @@ def evaluate_catalogue(
         )
         .join(conditions.select("rule_id").distinct(), "rule_id", "left_semi")
     )
-    checks = _checks(found, _CHECK, _decision_rows(conditions)).agg(F.collect_list("check").alias("checks")).scalar()
+    checks = _checks(found, _CHECK, _decision_rows(conditions)).select("check")
+    gathered = F.collect_list("check").alias("checks")
+    blocks = _blocks(checks, F.size("check.rows"), F.length(F.to_json("check")))
+    every = profiles.select("profile_id", "profile")
+    if blocks == 1:
+        every = every.withColumn("checks", checks.agg(gathered).scalar())
+    else:
+        parts = int(profiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        block = F.pmod(F.xxhash64("check.rule_id"), F.lit(blocks)).cast("int").alias("block")
+        dealt = checks.groupBy(block).agg(gathered).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        part = F.pmod(F.xxhash64("profile_id"), F.lit(parts)).cast("int")
+        every = every.withColumn("part", part).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        every = every.join(dealt, ["block", "part"])
     entries = F.transform("checks", lambda c: _decide(c, c["rows"], F.col("profile"), _CHECK))
-    every = profiles.withColumn("checks", checks)
     return verdict_rows(every.select("profile_id", entries.alias("entries")))
 
 

@@ -118,6 +118,29 @@ def test_catalogue_leaves_out_artifact_side_and_unmapped_rules(make_rules, condi
     }
 
 
+@pytest.mark.parametrize("bound", [dict(MAX_SHARED_ROWS=7), dict(MAX_SHARED_CHARS=900)])
+def test_a_catalogue_in_blocks_gives_what_the_shared_one_gives(make_rules, conditions, profiles, monkeypatch, bound):
+    names = [f"r{i}" for i in range(30)]
+    rules = make_rules(*[(n, ["x"]) for n in names])
+    table = conditions(
+        *[(n, 1, {"rooted": i % 2 == 0}, "triggered") for i, n in enumerate(names)],
+        *[(n, 2, {}, "not_triggered") for n in names[::3]],
+        *[("r4", k, {"emulator": k % 2 == 0}, "triggered") for k in range(2, 20)],  # more rows than a block
+    )
+    people = profiles(x=dict(rooted=True), y=dict(rooted=False, emulator=False), z={})
+    people = people.union(people.where("profile_id = 'x'"))
+    listed = lambda: sorted(map(repr, p.evaluate_catalogue(rules, people, table).collect()))
+    want = listed()
+    assert len(want) == 4 * 30
+    for name, value in bound.items():
+        monkeypatch.setattr(p, name, value)
+    done = p.evaluate_catalogue(rules, people, table)
+    plan = done._jdf.queryExecution().optimizedPlan().toString()
+    assert "block" in plan and "Cross" not in plan
+    assert listed() == want
+    assert p.evaluate_catalogue(rules, people.limit(0), table).count() == 0
+
+
 def test_listing_order_and_document(make_findings, conditions, profiles, pairs):
     findings = make_findings(
         ("a", "u", "root", "critical", "hard_block"), ("a", "n", "root", "low", "hard_block"),
