@@ -118,14 +118,33 @@ def _anchors(segments: tuple[Segment, ...], home: bool) -> Column:
     return F.flatten(F.array(*out))
 
 
-def links(nodes: DataFrame, threshold: int = 4, segments: tuple[Segment, ...] = SEGMENTS) -> DataFrame:
-    """Pairs ``(u, v)`` of ``nodes(node, fp)``, distinct in fp, within ``threshold`` bits."""
+def _at_anchors(nodes: DataFrame, threshold: int, segments: tuple[Segment, ...]) -> tuple[DataFrame, DataFrame]:
+    """``(anchor, node, fp)`` at home, and the copies as ``(anchor, other, fp2)``."""
     if sum(s.threshold + 1 for s in segments) <= threshold:
         raise ValueError("the segments' thresholds do not cover the whole threshold")
     homes = nodes.select(F.explode(_anchors(segments, True)).alias("anchor"), "node", "fp")
     copies = nodes.select(
         F.explode(_anchors(segments, False)).alias("anchor"), F.col("node").alias("other"), F.col("fp").alias("fp2")
     )
+    return homes, copies
+
+
+def home_links(nodes: DataFrame, threshold: int = 4, segments: tuple[Segment, ...] = SEGMENTS) -> DataFrame:
+    """Pairs ``(u, v)`` within ``threshold`` bits where ``u`` is the first node at home at an anchor that ``v`` comes to.
+
+    At most one pair for each copy, however many nodes an anchor is home to. A
+    pair of two others at a home is not compared, so this is a first step, before
+    a search that looks at all pairs that are still apart.
+    """
+    homes, copies = _at_anchors(nodes, threshold, segments)
+    first = homes.groupBy("anchor").agg(F.min(F.struct("node", "fp")).alias("u"))
+    near = (F.col("u.node") != F.col("other")) & (F.bit_count(F.col("u.fp").bitwiseXOR(F.col("fp2"))) <= threshold)
+    return first.join(copies, "anchor").where(near).select(F.col("u.node").alias("u"), F.col("other").alias("v")).distinct()
+
+
+def links(nodes: DataFrame, threshold: int = 4, segments: tuple[Segment, ...] = SEGMENTS) -> DataFrame:
+    """Pairs ``(u, v)`` of ``nodes(node, fp)``, distinct in fp, within ``threshold`` bits."""
+    homes, copies = _at_anchors(nodes, threshold, segments)
     near = (F.col("fp") < F.col("fp2")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= threshold)
     return homes.join(copies, "anchor").where(near).select(F.col("node").alias("u"), F.col("other").alias("v")).distinct()
 
