@@ -28,6 +28,10 @@ from rulesieve.operators.matching import match
 #: Folders that evidence is laid out in; also the most that a plan names one by one.
 PARTS = 256
 
+#: So many artifacts are broadcast, and only their evidence is matched. Of more, the evidence of
+#: their folders is matched and their matches are kept. Evidence is shuffled in neither case.
+FEW = 100_000
+
 _SNAPSHOT = "artifact_id string, fingerprint string, since long"
 _FOUND = "artifact_id string, rule_id string, evidence string"
 
@@ -130,7 +134,10 @@ class FindingStore:
         target = f"{self.path}/snapshot/version={version}"
         current.write.mode("overwrite").parquet(target)
         todo = self.snapshot(version).where(F.col("since") == version).select("artifact_id")
-        found = scan(evidence_of(evidence, todo, parts), rules, cap)
+        if todo.limit(FEW + 1).count() <= FEW:
+            found = scan(evidence_of(evidence, F.broadcast(todo), parts), rules, cap)
+        else:
+            found = scan(_in_folders(evidence, todo, parts), rules, cap, artifacts=todo)
         found.select("artifact_id", "rule_id", "evidence").write.mode("overwrite").parquet(
             f"{self.path}/findings/version={version}"
         )
@@ -147,10 +154,15 @@ class FindingStore:
 
 def evidence_of(evidence: DataFrame, artifacts: DataFrame, parts: int = PARTS) -> DataFrame:
     """Evidence of ``artifacts``; of a table laid out by ``part``, only their folders are read."""
-    if "part" in evidence.columns:
-        touched = artifacts.select(part_of(F.col("artifact_id"), parts).alias("part")).distinct().collect()
-        evidence = evidence.where(F.col("part").isin(*[r["part"] for r in touched]))
-    return evidence.join(artifacts, "artifact_id", "left_semi").select(*schema.EVIDENCE.names)
+    return _in_folders(evidence, artifacts, parts).join(artifacts, "artifact_id", "left_semi").select(*schema.EVIDENCE.names)
+
+
+def _in_folders(evidence: DataFrame, artifacts: DataFrame, parts: int) -> DataFrame:
+    """Evidence of the folders of ``artifacts``, where it is laid out by ``part``."""
+    if "part" not in evidence.columns:
+        return evidence
+    touched = artifacts.select(part_of(F.col("artifact_id"), parts).alias("part")).distinct().collect()
+    return evidence.where(F.col("part").isin(*[r["part"] for r in touched]))
 
 
 def _inventory(artifacts: DataFrame) -> DataFrame:

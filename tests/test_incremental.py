@@ -126,3 +126,33 @@ def test_folders_without_changes_are_not_read(spark, make_evidence):
     plan = read._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [part" in plan and len(parts) == 2
     assert all(str(part) in plan.split("PartitionFilters: [", 1)[1].split("]")[0] for part in parts)
+
+
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_evidence_is_not_shuffled_for_the_artifacts_to_be_scanned(spark, store, make_evidence, make_rules, monkeypatch, few):
+    """Of many artifacts the matches are picked, of few the ids are broadcast; findings are the same."""
+    from rulesieve.operators import incremental
+
+    monkeypatch.setattr(incremental, "FEW", few, raising=False)
+    scanned = []
+
+    def looked_at(evidence, *more, **named):
+        scanned.append(evidence._jdf.queryExecution().executedPlan().toString())
+        return scan(evidence, *more, **named)
+
+    monkeypatch.setattr(incremental, "scan", looked_at)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for a table over the threshold
+    try:
+        rules = make_rules(("a", ["frida"], {}), ("b", ["su"], {}))
+        rng = random.Random(1)
+        artifacts = {f"a{i}": [("dex_string", "frida su"), ("dex_string", "su")] for i in range(6)}
+        for _ in range(2):
+            evidence, listed = state(rng, make_evidence, spark, artifacts)
+            path = scratch_path(spark, "evidence")
+            write_evidence(evidence, path, 4)
+            store.refresh(listed, read_evidence(spark, path), rules, parts=4)
+            assert rows(store.findings()) == rows(scan(evidence, rules))
+            artifacts["a1"] = [("dex_string", "x frida")]
+        assert len(scanned) == 2 and not any("SortMergeJoin" in plan or "hashpartitioning" in plan for plan in scanned)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
