@@ -81,7 +81,9 @@ def _blocks(table: DataFrame, rows: Column, chars: Column) -> int:
     found = table.agg(
         F.coalesce(F.sum(rows), F.lit(0)).alias("rows"), F.coalesce(F.sum(chars), F.lit(0)).alias("chars")
     ).first()
-    return max(1, -(-found["rows"] // MAX_SHARED_ROWS), -(-found["chars"] // MAX_SHARED_CHARS))
+    bounds = ((found["rows"], MAX_SHARED_ROWS), (found["chars"], MAX_SHARED_CHARS))
+    # A bound of zero lets nothing be shared.
+    return max(1, *(-(-n // bound) if bound else n + 1 for n, bound in bounds))
 
 
 def _checks(found: DataFrame, attributes: Sequence[str], decisions: DataFrame | None = None) -> DataFrame:
