@@ -137,13 +137,14 @@ class WordHashes(dict):
         return np.frombuffer(b"".join(map(self.__getitem__, words)), np.uint64)
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """``(node, component)`` for every node of the undirected ``edges(u, v)``.
 
     The component is the smallest node reachable. Alternates large-star and
     small-star until nothing changes; each round is written to the shared
     folder. Only one row of counts per round reaches the driver. Null ends and
-    loops are left out.
+    loops are left out. With ``rounds`` it stops after so many: nodes with the
+    same component are connected then, but not all connected ones have the same.
     """
     now = stored(
         edges.where("u is not null and v is not null and u <> v")
@@ -151,7 +152,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         .distinct(),
         "edges",
     )
-    before = None
+    before, done = None, 0
     while True:
         found = now.agg(
             F.count(F.lit(1)).alias("n"),
@@ -162,10 +163,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
                 now.select("v", "v").distinct()
             )
-        before = found
+        if done == rounds:
+            ends = now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v"))
+            return ends.groupBy("node").agg(F.min("component").alias("component"))
+        before, done = found, done + 1
         both = now.union(now.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # Not made distinct: it has no more rows than there are edges, and the shuffle would cost as much as it saves.
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = stored(small.union(least).distinct(), "edges")

@@ -50,6 +50,19 @@ def test_near_dedup_keeps_one_of_each_group(spark, docs, rows):
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == want
 
 
+def test_near_dedup_shuffles_only_texts_that_may_go(spark):
+    """A table without near duplicates loses nothing, and its texts stay where they are."""
+    import random
+
+    rng = random.Random(21)
+    rows = [(i, words(rng, 120), "en", "s", 1) for i in range(30)] + [(None, "x y", "en", "s", 1)]
+    docs = spark.createDataFrame([*rows, (99, rows[0][1], "en", "s", 1)], DOCS)
+    kept = cp.near_dedup(spark, docs, "")
+    assert sorted(str(tuple(r)) for r in kept.collect()) == sorted(map(str, rows))
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Union", plan) and plan.count("LeftAnti") == 1
+
+
 def test_substring_dedup_changes_only_what_repeats(spark, docs, rows):
     found = cp.substring_dedup(spark, docs, "")
     assert found.schema == docs.schema
