@@ -1,7 +1,8 @@
 """License scans by an exact set-similarity join of text blocks with templates.
 
-Only DataFrame functions. The words of all templates are ordered by the number
-of documents that hold them, rarest first. A block whose words contain the
+Only DataFrame functions. A text is cut into words once for its blocks; those
+that hold enough template words are stored. The words of all templates are
+ordered by the number of such blocks that hold them, rarest first. A block whose words contain the
 threshold's share of a template's must share a word with it among the first few
 of both in that order (prefix filter), hold enough template words at all (length
 filter), and have enough of them left behind the shared word on both sides
@@ -13,11 +14,13 @@ template they are for, so that a text of a template's length lies whole in one.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from math import ceil
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from rulesieve.llm.common import stored
+
 #: Phrases and the labels they stand for.
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
@@ -70,7 +73,8 @@ TEMPLATES = (
 )
 
 THRESHOLD = 0.8
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between words, in lower case.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def words_of(text: Column) -> Column:
@@ -78,8 +82,10 @@ def words_of(text: Column) -> Column:
 
     ``lower`` changes other letters as well, but only the Kelvin sign becomes an
     ASCII letter; with that set apart, no word is cut or made equal otherwise.
+    Splitting takes a seventh of the time of extracting the same words.
     """
-    return F.regexp_extract_all(F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit("\u212a"), F.lit("\u0138"))), F.lit(WORD), F.lit(0))
+    lowered = F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit("\u212a"), F.lit("\u0138")))
+    return F.array_remove(F.split(lowered, BETWEEN), "")
 
 
 def plain_words(text: str) -> list[str]:
@@ -127,18 +133,54 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return out.select("id", "h1", "h2", words_of(F.col("text")).alias("words"))
 
 
-def word_order(docs: DataFrame, vocabulary: Sequence[str], id_col: str = "doc_id", text_col: str = "text") -> list[str]:
-    """``vocabulary`` by the number of rows of ``docs`` that hold a word, rarest first, ties by word.
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``; the value is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def word_order(blocks: DataFrame, vocabulary: Sequence[str]) -> list[str]:
+    """``vocabulary`` by the number of rows of ``blocks`` that hold a word, rarest first, ties by word.
 
     Words are counted in Spark; the driver gets one row per word of the templates at most.
     """
-    held = _keyed(docs, id_col, text_col).select(
-        F.explode(F.array_intersect(_strings(sorted(vocabulary)), "words")).alias("word")
-    )
+    held = blocks.select(F.explode("held").alias("word"))
     counts = {r["word"]: r["n"] for r in held.groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()}
     return sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
 
 
+def _full_blocks(words: Column, chosen: list[dict]) -> Column:
+    """The blocks of a text that hold enough words for some template, as structs ``(window, start, least, held)``."""
+
+    def of_window(words: Column, held: Column, window: int) -> Column:
+        """Windows of a text are looked at where the whole text holds enough of a template that needs them."""
+        own, half = [t for t in chosen if t["window"] == window], window // 2
+        least = min(t["need"] for t in own)
+        enough = _any(
+            (F.size(held) >= t["need"]) & (F.size(F.array_intersect(held, _strings(t["words"]))) >= t["need"]) for t in own
+        )
+        last = F.greatest(F.lit(0), F.floor((F.size(words) + (half - 1)) / half).cast("int") - 2)
+        blocks = F.transform(
+            F.sequence(F.lit(0), last),
+            lambda i: F.struct(
+                F.lit(window).alias("window"),
+                (i * half).alias("start"),
+                F.lit(least).alias("least"),
+                F.array_intersect(held, F.slice(words, i * half + 1, F.lit(window))).alias("held"),
+            ),
+        )
+        return F.when(enough, F.filter(blocks, lambda b: F.size(b["held"]) >= least)).otherwise(none)
+
+    none = F.array().cast("array<struct<window:int,start:int,least:int,held:array<string>>>")
+    vocabulary = _strings(sorted({w for t in chosen for w in t["words"]}))
+    return _once(
+        words,
+        lambda words: _once(
+            F.array_intersect(vocabulary, words),
+            lambda held: F.concat(none, *[of_window(words, held, window) for window in sorted({t["window"] for t in chosen})]),
+        ),
+    )
+
+
 def license_blocks(
     docs: DataFrame,
     templates: Sequence[tuple[str, str]] = TEMPLATES,
@@ -155,37 +197,11 @@ def license_blocks(
     rows repeated whole give their blocks once. Null texts have no blocks.
     """
     chosen = template_parameters(templates, threshold)
-    order = word_order(docs, sorted({w for t in chosen for w in t["words"]}), id_col, text_col)
+    blocks = _keyed(docs, id_col, text_col).select("id", "h1", "h2", F.explode(_full_blocks(F.col("words"), chosen)).alias("block"))
+    blocks = stored(blocks.select("id", "h1", "h2", "block.*").distinct(), "blocks")
+    order = word_order(blocks, sorted({w for t in chosen for w in t["words"]}))
     rank = {word: i for i, word in enumerate(order)}
-    windows = sorted({t["window"] for t in chosen})
-    least = {w: min(t["need"] for t in chosen if t["window"] == w) for w in windows}
-
-    # Windows of a text are looked at where the whole text holds enough of a template that needs them.
-    whole = _keyed(docs, id_col, text_col).withColumn("held", F.array_intersect(_strings(order), "words"))
-    classes = F.filter(
-        F.array(
-            *[
-                F.when(
-                    _any(
-                        F.size(F.array_intersect("held", _strings(t["words"]))) >= t["need"] for t in chosen if t["window"] == w
-                    ),
-                    F.lit(w),
-                )
-                for w in windows
-            ]
-        ).cast("array<int>"),
-        lambda w: w.isNotNull(),
-    )
-    whole = whole.where(F.size("held") >= min(least.values(), default=1)).select("id", "h1", "h2", "words", F.explode(classes).alias("window"))
-    half = F.expr("window div 2").cast("int")
-    last = F.greatest(F.lit(0), F.expr("(size(words) + window div 2 - 1) div (window div 2) - 2").cast("int"))
-    blocks = whole.select(
-        "id", "h1", "h2", "words", "window", F.explode(F.transform(F.sequence(F.lit(0), last), lambda i: i * half)).alias("start")
-    ).select(
-        "id", "h1", "h2", "window", "start", F.array_intersect(_strings(order), F.slice("words", F.col("start") + 1, F.col("window"))).alias("held")
-    )
-    needed = F.element_at(F.create_map(*[F.lit(x) for w in windows for x in (w, least[w])]), F.col("window"))
-    blocks = blocks.withColumn("least", needed).where("size(held) >= least").distinct()
+    blocks = blocks.withColumn("held", F.array_intersect(_strings(order), "held"))
     # The block's words come in the order of rarity, so these are its prefix.
     prefix = blocks.select(
         "id", "h1", "h2", "window", "start", "held",

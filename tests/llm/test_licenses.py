@@ -59,6 +59,7 @@ def planted(rng):
 
 SHORT = ["Under the MIT License!", "under the mit licenses", "UNDER-THE-MIT-LICENSE under the mit license", "CC BY-NC 4.0 cc_by_nc",
          "Apache License, Version 2.0", "apache license version 20", "Kcc by ncİ", "cc cc by nc by nc", "éunder the mit license", "by"]
+ODD = ["".join(map(chr, range(0x180))), " , ", "-mit", "mit-", "\u212aelvin \u0130 Éa", "a\U0001f600b \u2028c\u00a0d", "\ud7ff\ue000 x"]
 
 
 def test_equals_brute_force(spark, rows):
@@ -97,3 +98,14 @@ def test_empty_table_and_clashing_names(docs, no_docs, clashing):
 def test_no_python_in_the_plan(docs):
     plan = licenses.license_labels(docs)._jdf.queryExecution().toString()
     assert not re.search("ArrowEvalPython|BatchEvalPython|MapInArrow|MapInPandas|CartesianProduct|NestedLoop", plan)
+
+
+def test_texts_are_cut_twice_and_nothing_is_extracted(spark, rows, monkeypatch):
+    """Once for the blocks, once for the phrases, and the order of words comes from the blocks."""
+    cut, made = licenses.words_of, []
+    monkeypatch.setattr(licenses, "words_of", lambda text: made.append(1) or cut(text))
+    more = rows + [(500 + i, t, None, None, None) for i, t in enumerate([*SHORT, *planted(random.Random(8)), *ODD])]
+    found = licenses.license_labels(spark.createDataFrame(more, DOCS))
+    assert len(made) == 2
+    assert "regexp_extract_all" not in found._jdf.queryExecution().toString()
+    assert listed(found) == expected(more)
