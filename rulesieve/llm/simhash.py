@@ -119,14 +119,19 @@ def _anchors(segments: tuple[Segment, ...], home: bool) -> Column:
 
 
 def _at_anchors(nodes: DataFrame, threshold: int, segments: tuple[Segment, ...]) -> tuple[DataFrame, DataFrame]:
-    """``(anchor, node, fp)`` at home, and the copies as ``(anchor, other, fp2)``."""
+    """``(anchor, node, fp)`` at home, and the copies as ``(anchor, other, fp2)``.
+
+    Spark takes an exploded table to be as large as the one before, so it would
+    send some forty rows for each node to the driver and broadcast them; the
+    copies ask for a merge join.
+    """
     if sum(s.threshold + 1 for s in segments) <= threshold:
         raise ValueError("the segments' thresholds do not cover the whole threshold")
     homes = nodes.select(F.explode(_anchors(segments, True)).alias("anchor"), "node", "fp")
     copies = nodes.select(
         F.explode(_anchors(segments, False)).alias("anchor"), F.col("node").alias("other"), F.col("fp").alias("fp2")
     )
-    return homes, copies
+    return homes, copies.hint("merge")
 
 
 def home_links(nodes: DataFrame, threshold: int = 4, segments: tuple[Segment, ...] = SEGMENTS) -> DataFrame:

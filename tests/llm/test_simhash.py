@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from rulesieve.llm import simhash as sh
 from tests.llm.conftest import plain
@@ -73,6 +74,17 @@ def test_codes_cover_their_segments():
         sh.links(None, threshold=5)
 
 
+@pytest.mark.parametrize("search", [sh.links, sh.home_links])
+def test_copies_are_not_broadcast(spark, search):
+    """Spark sizes exploded copies like their nodes, so a table under its bound for broadcasts would not fit the driver."""
+    nodes = spark.range(2_000).select("id", F.xxhash64("id").alias("fp"))
+    pairs = search(nodes.groupBy("fp").agg(F.min("id").alias("node")))
+    for _ in ("before", "after it ran"):
+        plan = pairs._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+        pairs.collect()
+
+
 def test_empty_table_and_extra_columns(docs, no_docs, clashing):
     assert sh.near_duplicates(no_docs).collect() == []
     assert plain(sh.near_duplicates(clashing(docs))) == plain(sh.near_duplicates(docs))
